@@ -1,0 +1,97 @@
+"""Secrets: fixed patterns, and candidate strings whose entropy in some window is high for their class of characters.
+
+Everything is DataFrame functions. A window of WINDOW characters slides over a candidate; the sum of c * log2(c) over its
+character counts c is updated by the counts of the character that leaves and of the one that enters.
+"""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ._runtime import text_input
+from .spans import Kind, rendered, with_spans
+
+WINDOW = 20
+#: Bits a character, by class, from which a window counts as random; a window of 20 reaches 4.32 at most.
+THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
+
+#: Strings that look random and are none: identifiers, dates, words joined by signs, published examples.
+ALLOWED = [
+    r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
+    r"^(19|20)[0-9]{2}[-/][0-9]{2}[-/][0-9]{2}",
+    r"^[a-z]+([-_/=][a-z0-9]+)*$",
+    r"^[A-Z]+([-_/=][A-Z0-9]+)*$",
+    r"^[^A-Za-z]+$",
+    r"^[^0-9]+$",
+    r"EXAMPLE",
+]
+
+_ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+
+
+def _weight(n: Column) -> Column:
+    """n * log2(n); 0 at 0 and 1."""
+    return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
+
+
+def _count(chars: Column, one: Column) -> Column:
+    return F.size(F.filter(chars, lambda c: c == one))
+
+
+def window_entropy(text: Column, window: int = WINDOW) -> Column:
+    """The highest Shannon entropy, in bits a character, of any window of a string; 0 for shorter strings."""
+
+    def of(chars: Column) -> Column:
+        head = F.slice(chars, 1, window)
+        first = F.aggregate(F.array_distinct(head), F.lit(0.0), lambda s, c: s + _weight(_count(head, c)))
+
+        def slide(acc: Column, i: Column) -> Column:
+            shared, leaves, enters = F.slice(chars, i + 1, F.lit(window - 1)), F.get(chars, i - 1), F.get(chars, i + window - 1)
+            n_out, n_in = _count(shared, leaves), _count(shared, enters)
+            s = acc["s"] - _weight(n_out + 1) + _weight(n_out) + _weight(n_in + 1) - _weight(n_in)
+            return F.transform(F.array(s), lambda v: F.struct(v.alias("s"), F.least(acc["least"], v).alias("least")))[0]
+
+        begin = F.transform(F.array(first), lambda v: F.struct(v.alias("s"), v.alias("least")))[0]
+        steps = F.when(F.size(chars) > window, F.sequence(F.lit(1), F.size(chars) - window)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, begin, slide, lambda acc: F.lit(math.log2(window)) - acc["least"] / window)
+
+    chars = F.filter(F.split(text, ""), lambda c: F.length(c) > 0)
+    return F.when(F.length(text) >= window, F.transform(F.array(chars), of)[0]).otherwise(F.lit(0.0))
+
+
+def _random(match: Column, before: Column) -> Column:
+    allowed = F.lit(False)
+    for pattern in ALLOWED:
+        allowed = allowed | match.rlike(pattern)
+    threshold = F.when(match.rlike("^([0-9a-f]+|[0-9A-F]+)$"), THRESHOLDS["hex"]).when(match.rlike("^[A-Za-z0-9]+$"), THRESHOLDS["alnum"]).otherwise(THRESHOLDS["base64"])
+    return F.when(allowed, F.lit(False)).otherwise(window_entropy(match) >= threshold)
+
+
+BASE_KINDS = [
+    Kind("assign", _ASSIGN, keep=lambda match, before: F.length(F.regexp_extract(match, _ASSIGN, 2)) >= 6),
+    Kind("access", r"AKIA[A-Z0-9]{16,}+", needs=lambda t: t.contains("AKIA")),
+    Kind("hex", r"(?<![0-9a-f])[0-9a-f]{24,}+"),
+]
+ADDED_KINDS = [Kind("entropy", rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}+", keep=_random)]
+
+
+def secret_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text, and an array of spans (kind, start, end, score) a kind, in columns spans_<kind>.
+
+    Null and empty texts have no spans; each row is judged by itself, so repeated rows repeat; further columns are not read.
+    """
+    return with_spans(text_input(docs, id_col, text_col), "text", BASE_KINDS + ADDED_KINDS, "spans_")
+
+
+def _by_start(kinds: list[Kind]) -> Column:
+    numbered = [F.transform(F.col(f"spans_{k.name}"), lambda s, i=i: F.struct(s["start"].alias("start"), F.lit(i).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"))) for i, k in enumerate(kinds)]
+    return F.array_sort(F.concat(*numbered))
+
+
+def secret_digest(docs: DataFrame) -> DataFrame:
+    found = secret_spans(docs)
+    counts = [F.size(f"spans_{k.name}").cast("long").alias(f"n_{k.name}") for k in BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(rendered(_by_start(BASE_KINDS)), 256).alias("base_sha256"), rendered(_by_start(BASE_KINDS + ADDED_KINDS)).alias("spans"))
