@@ -4,22 +4,44 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from factloom.llm import packing, pii
+from factloom.llm import decontamination, near_duplicates, packing, pii, quality
 from factloom.llm._runtime import settle, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.redact_pii(docs).select(*COLUMNS)
+def _recounted(docs: DataFrame) -> DataFrame:
+    """n_chars of what the text is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+
+
+def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays, the one with the smallest id."""
+    return near_duplicates.one_of_each(docs.select(*COLUMNS), width=5, percent=80)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated documents go; shorter benchmark passages are cut out of the others."""
+    return _recounted(decontamination.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")))
+
+
+def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by its kind."""
+    return _recounted(pii.redact_pii(docs.select(*COLUMNS)))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), max_tokens=4096)
 
 
-STAGES = [("pii", redact), ("packing", pack)]
+STAGES = [("quality", good_quality), ("near_duplicates", unique), ("decontamination", uncontaminated), ("pii", without_pii), ("packing", packed)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

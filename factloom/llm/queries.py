@@ -4,15 +4,32 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, language_id, packing, pii, quality, secrets, token_counts
+from . import decontamination, language_id, near_duplicates, packing, pii, quality, secrets, token_counts, top_k, url_filters
 from ._runtime import table
 
 
+URL_RULES = [
+    url_filters.Rule("block", "net", "/"),
+    url_filters.Rule("allow", "example.net", "/en/"),
+    url_filters.Rule("block", "example.com", "/de/"),
+    url_filters.Rule("allow", "org", "/fr/"),
+]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -25,6 +42,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
@@ -37,6 +58,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_quality, op5_secret_scan, op6_decontamination, op8_pii, op9_best_fit_packing, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_top_k, op4_quality, op5_secret_scan, op6_decontamination, op7_near_duplicates, op8_pii, op9_best_fit_packing, op10_language_id)}
 
 ORACLE_SQL: dict[str, str] = {}
