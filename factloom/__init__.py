@@ -1,0 +1 @@
+"""Traceable content at table scale: extraction, grounding, review, release, audit, as Spark DataFrame operators."""
