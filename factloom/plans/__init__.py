@@ -1,6 +1,6 @@
 """Queries over the engine tables; importing the modules registers them."""
 
-from . import knowledge
+from . import crawl, knowledge, review, streams, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "knowledge"]
+__all__ = ["ORACLES", "QUERIES", "crawl", "knowledge", "review", "streams", "text"]
