@@ -74,8 +74,8 @@ def _latent_space(rows: np.ndarray, dimensions: int) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """text and label of at most `sample` labelled rows, chosen by a hash of the id. docs: doc_id, text; labels: doc_id, label, not null."""
-    chosen = labels.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    """text and label of at most `sample` labelled rows, chosen by a hash of the id; of an id's labels the least counts. docs: doc_id, text; labels: doc_id, label, not null."""
+    chosen = labels.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     return docs.where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).select("doc_id", "text", "label").limit(sample)
 
 
