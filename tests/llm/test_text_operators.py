@@ -1,0 +1,237 @@
+"""Token counts, packing, PII, secrets, language and quality against brute force on small tables."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from factloom.llm import bpe, language_id, packing, pii, quality, secrets, token_counts
+
+BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+
+#: Pieces of odd texts.
+PARTS = [
+    "a", "@", ".", "com", "1", "22", "255", "999", "+1", "-", " ", "  ", "\n", "\t", "(", "4111 1111 1111 1111", "4111111111111111", "password", "Token", "=", ":", "'", '"', "AKIA", "ABCD1234EFGH5678", "deadbeef", "0123456789abcdef",
+    "é", "É", "\U0001f600", "漢字", "_", "%", "x@y.co", "api_key", "sk-9fQ2zLm8Xv7Tb3Nc1Rw", "GB82WEST12345698765432", "078-05-1120", "SSN ", "<|endoftext|>", "'s", "'LL", "n't", "\xa0", "\xad", "\u200b", "\x1c", "e\u0301", "²",
+]
+
+
+def odd_texts(n=400, seed=3):
+    r = random.Random(seed)
+    out = ["".join(r.choice(PARTS) for _ in range(r.randint(0, 30))) for _ in range(n)]
+    return [*out, None, "", " ", "a." * 30000 + "@" + "b." * 30000, "1 " * 30000, "aaaa" * 20000, "me@x.org " * 2000, "+1 " * 1000, out[0], out[0]]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    """Odd texts with columns whose names clash with those that operators make."""
+    rows = [(i, t, "en", "src0", i, "x", 1) for i, t in enumerate(odd_texts())]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, spans string, piece int").repartition(3)
+
+
+def test_token_counts(spark, docs):
+    library = Tokenizer.from_file(BYTES)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    found = token_counts.token_counts(docs, BYTES, limit=20)
+    assert found.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    for r in found.collect():
+        text = texts[r.doc_id] or ""
+        n = len(library.encode(text, add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 20), text[:80]
+    assert token_counts.token_counts(docs.limit(0), BYTES).count() == 0
+    again = token_counts.token_counts(docs, BYTES, limit=20, frequent=3)  # tier one decides speed only
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_compact_table():
+    pieces = [f"piece {i}".encode() for i in range(1000)]
+    table = bpe.CompactTable(pieces, list(range(1000)))
+    probe = [*pieces, b"piece 1000", b"", b"\0"]
+    data = np.frombuffer(b"".join(probe), np.uint8)
+    length = np.array([len(p) for p in probe])
+    keys = bpe.packed_keys(data, np.cumsum(length) - length, length)
+    assert table.find(keys, bpe.mixed(keys)).tolist() == [*range(1000), -1, -1, -1]
+
+
+def test_equal_hashes_are_told_apart():
+    data = np.frombuffer(b"abcabc", np.uint8)
+    begin, length = np.array([0, 3, 1]), np.array([3, 3, 2])
+    keys = bpe.packed_keys(data, begin, length)
+    pieces, inverse = bpe.distinct(data, begin, length, keys, np.zeros(3, np.uint64))
+    assert [pieces[i] for i in inverse] == [b"abc", b"abc", b"bc"]
+
+
+@pytest.mark.parametrize("size", [16, 4096])
+def test_packing(spark, docs, size):
+    library = Tokenizer.from_file(WORDS)
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    rows = packing.pack_documents(docs, WORDS, max_tokens=size).collect()
+    pieces, bins = defaultdict(list), defaultdict(list)
+    for r in rows:
+        pieces[r.doc_id].append(r)
+        bins[r.sequence_id].append((r.offset, r.length))
+    assert set(pieces) == set(texts)
+    for doc, own in pieces.items():
+        ids = np.array([*library.encode(texts[doc] or "", add_special_tokens=False).ids, 1], "<u4")
+        own.sort(key=lambda r: r.piece)
+        assert [r.piece for r in own] == list(range(-(-len(ids) // size)))
+        for r in own:
+            part = ids[r.piece * size : (r.piece + 1) * size]
+            assert (r.start, r.length, r.ids_crc32) == (r.piece * size, len(part), zlib.crc32(part.tobytes()))
+    for own in bins.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= size
+    least = sum(r.length for r in rows) / size
+    assert len(bins) <= 1.1 * least + 2
+    assert packing.pack_documents(docs.limit(0), WORDS).count() == 0
+
+
+def test_best_two_fit_uses_every_piece_once():
+    r = np.random.default_rng(0)
+    counts = np.bincount(r.integers(1, 101, 5000), minlength=101)
+    used = np.zeros(101, int)
+    for lengths, times in packing.best_two_fit(counts, 100):
+        assert sum(lengths) <= 100
+        np.add.at(used, lengths, times)
+    assert (used == counts).all()
+    counts = np.zeros(11, int)
+    counts[[7, 2, 6, 4]] = [1, 1, 1, 1]  # 7 + 2 leaves 1; in place of 2 nothing fits better; 6 + 4 fill
+    assert sum(p.times for p in packing.best_two_fit(counts, 10)) == 2
+
+
+def _matches(pattern, text, keep=lambda m: True):
+    return [(m.start(), m.end()) for m in re.finditer(pattern, text) if keep(m)]
+
+
+def _digits(m):
+    return [int(c) for c in m.group() if c in "0123456789"]
+
+
+def _luhn(m):
+    return sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(_digits(m)))) % 10 == 0
+
+
+PII = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.group().split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(_digits(m)) <= 19 and _luhn(m)),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(_digits(m)) <= 15),
+]
+SECRETS = [
+    ("assign", r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m.group(2)) >= 6),
+    ("access", r"AKIA[A-Z0-9]+", lambda m: len(m.group()) >= 20),
+    ("hex", r"[0-9a-f]+", lambda m: len(m.group()) >= 24),
+]
+
+
+def _spans(text, kinds):
+    return [(k, a, b) for k, p, keep in kinds for a, b in _matches(p, text or "", keep)]
+
+
+def _written(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+def _sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_pii(spark, docs):
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    found = pii.pii_digest(docs).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        base = _spans(texts[r.doc_id], PII)
+        assert r.base_sha256 == _sha(_written(base)), texts[r.doc_id][:80]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == s[0] for s in base) for k in ("email", "ip", "card", "phone")]
+        assert r.spans.startswith(_written(base))
+    assert pii.pii_digest(docs.limit(0)).count() == 0
+
+
+def test_pii_checksums_and_context(spark):
+    rows = [(1, "GB82WEST12345698765432"), (2, "GB82WEST12345698765433"), (3, "SSN 078-05-1120"), (4, "078-05-1120")]
+    found = {r.doc_id: r.spans for r in pii.pii_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: "iban:0:22", 2: "", 3: "ssn:4:15", 4: ""}
+
+
+def test_redaction(spark, docs):
+    text = "mail me@x.org, card 4111 1111 1111 1111 and +44 20 7946 0958."
+    one = spark.createDataFrame([(1, text, 5), (2, None, 6), (3, "clean", 7)], "doc_id long, text string, spans_email int")
+    found = {r.doc_id: r for r in pii.redact_pii(one).collect()}
+    assert found[1].text == "mail <EMAIL>, card <CARD> and <PHONE>." and found[1].spans_email == 5
+    assert found[2].text is None and found[3].text == "clean"
+    redone = pii.redact_pii(docs)
+    assert redone.columns == docs.columns and redone.count() == docs.count()
+
+
+def test_secrets(spark, docs):
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    place = {k: i for i, (k, _, _) in enumerate(SECRETS)}
+    found = secrets.secret_digest(docs).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        base = sorted(_spans(texts[r.doc_id], SECRETS), key=lambda s: (s[1], place[s[0]]))
+        assert r.base_sha256 == _sha(_written(base)), texts[r.doc_id][:80]
+        assert [s for s in r.spans.split(",") if s and not s.startswith("entropy")] == [f"{k}:{a}:{b}" for k, a, b in base]
+    assert secrets.secret_digest(docs.limit(0)).count() == 0
+
+
+def test_entropy(spark):
+    r = random.Random(1)
+    texts = ["".join(r.choice("abcdefXYZ0123456789") for _ in range(n)) for n in (5, 20, 21, 60, 300)]
+
+    def brute(t):
+        def h(w):
+            return -sum(w.count(c) / 20 * np.log2(w.count(c) / 20) for c in set(w))
+
+        return max((h(t[i : i + 20]) for i in range(len(t) - 19)), default=0.0)
+
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = {x.i: x.e for x in df.select("i", secrets.window_entropy(F.col("t")).alias("e")).collect()}
+    assert all(abs(found[i] - brute(t)) < 1e-9 for i, t in enumerate(texts))
+    rows = [(1, "key sk-9fQ2zLm8Xv7Tb3Nc1RwQ x"), (2, "id 123e4567-e89b-12d3-a456-426614174000"), (3, "some-long-hyphenated-name-2024"), (4, "zzzzzzzzzzzzzzzzzzzzzzzz1")]
+    spans = {x.doc_id: x.spans for x in secrets.secret_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert spans[1] == "entropy:4:27" and spans[2] == spans[3] == spans[4] == ""
+
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+def test_language(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    found = language_id.language_digest(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found)
+    held = [r for r in found if r.held_out]
+    assert np.mean([r.lang == r.lang_pred for r in held]) >= 0.97
+    odd = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "12 ;", None), (None, "the", "en"), (5, "x" * 300_000, None)], "doc_id long, text string, lang string")
+    preds = {r.doc_id: (r.lang_pred, r.score) for r in language_id.language_digest(odd).collect()}
+    assert preds[1] == preds[2] == preds[3] == ("und", 0.0) and len(preds) == 5
+    assert language_id.language_digest(odd.limit(0)).count() == 0
+
+
+def test_quality(spark):
+    docs, labels = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "labels"))
+    found = quality.quality_digest(docs, labels).join(labels, "doc_id").collect()
+    held = [r for r in found if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in found)
+    assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in found)
+    base = max(np.mean([r.quality for r in held]), 1 - np.mean([r.quality for r in held]))
+    assert np.mean([r.quality == r.predicted for r in held]) >= max(0.93, base)
+    odd = spark.createDataFrame([(1, None), (2, ""), (None, "abc"), (4, "x" * 200_000), (4, "x" * 200_000)], "doc_id long, text string")
+    assert quality.quality_digest(odd, labels).count() == 5
+    assert {r.score for r in quality.quality_digest(odd, labels.limit(0)).collect()} == {0.5}
+    assert quality.quality_digest(odd.limit(0), labels).count() == 0
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    good = {r.doc_id for r in quality.quality_digest(docs, labels).where("predicted = 1").collect()}
+    assert {r.doc_id for r in kept.collect()} == good
