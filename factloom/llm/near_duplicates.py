@@ -4,10 +4,12 @@
    i every shingle goes to one bin with a value in [i, i+1); after COORDINATES rounds, round COORDINATES + j puts all of
    them in bin j, so every bin fills; a bin keeps its least value.
 2. Texts of equal shingle sets are one class from here on. Bands of four coordinates give buckets of classes.
-3. In each bucket every class is compared with the bucket's smallest class, on full sets. Buckets whose classes are not
-   all connected thereby go on: those outside take their own smallest class, HUB_ROUNDS times; what is then still apart
-   within a bucket is compared pair by pair, sets of too different sizes excepted. Pairs that are connected already need
-   no comparison, so a large group of copies costs a few comparisons a member, and no link between groups is lost.
+3. In each bucket every class is compared, on full sets, with the bucket's hub: the class that shares most buckets with
+   others, so in a group of edited copies the one that they were made from. Classes that are far from it (by the
+   triangle inequality nothing linked to the hub is linked to them) take a hub of their own, HUB_ROUNDS times at most;
+   those that are near but not linked are joined with others around the hub on shingles that the hub lacks. Pairs that
+   are connected already need no comparison. So a large group of copies costs a few comparisons a member, and no link
+   between groups is lost.
 4. Connected components.
 
 At similarity 0.8 all 32 bands miss a pair with probability (1 - 0.8^4)^32, below 1e-7.
@@ -152,62 +154,94 @@ def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return settle(placed.mapInArrow(run, "id long, shingles array<long>"))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets are similar enough."""
+def _similar(shared: Column, m: Column, n: Column, percent: int) -> Column:
+    return 100 * shared >= percent * (m + n - shared)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, near: int) -> DataFrame:
+    """Pairs (a, b) with the sizes of both full sets and of what they share, and what a has beyond b if they are at least `near` per cent similar."""
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
-    shared = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).cast("long").alias("shared"), (F.size("sa") + F.size("sb")).cast("long").alias("total"))
-    return shared.where(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
+    sized = both.withColumns({"na": F.size("sa").cast("long"), "nb": F.size("sb").cast("long"), "shared": F.size(F.array_intersect("sa", "sb")).cast("long")})
+    added = F.when(_similar(F.col("shared"), F.col("na"), F.col("nb"), near), F.array_except("sa", "sb"))
+    return sized.select("a", "b", "na", "nb", "shared", added.alias("added"))
+
 
+def _links_of(compared: DataFrame, percent: int) -> DataFrame:
+    return compared.where(_similar(F.col("shared"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
-def _may(m: Column, n: Column, percent: int) -> Column:
-    return F.least(m, n) * 100 >= F.greatest(m, n) * percent
 
+def _as_links(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
-def _hubs(members: DataFrame) -> DataFrame:
-    return members.groupBy("key").agg(F.min(F.struct("id", "n")).alias("least"), F.count("*").alias("m")).where("m > 1").select("key", F.col("least.id").alias("hub"), F.col("least.n").alias("hub_n"))
 
+def _with_root(df: DataFrame, roots: DataFrame, column: str, as_: str) -> DataFrame:
+    joined = df.join(roots.select(F.col("node").alias(column), F.col("root").alias("_r")).hint("merge"), column, "left")
+    return joined.withColumn(as_, F.coalesce("_r", column)).drop("_r")
 
-def _labelled(members: DataFrame, roots: DataFrame) -> DataFrame:
-    joined = members.join(roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left")
-    return joined.select("key", "id", "n", F.coalesce("root", "id").alias("root"))
 
+def _apart_within_hub(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) around the same hub that may be linked and are not connected yet.
 
-def _unsettled(members: DataFrame) -> DataFrame:
-    """Members (key, id, n, root) of the buckets that hold more than one component."""
-    several = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-    return members.join(several.select("key", "r0").hint("merge"), "key")
+    Two sets with Ax and Ay shingles beyond the hub's, and without Mx and My of the hub's, differ in at least
+    Ax + Ay - 2c + |Mx - My| shingles, c the number of added ones that they share. Either that is small enough with c = 0
+    ('free' pairs), or the two share an added shingle, on which they are joined.
+    """
+    own = _with_root(_with_root(stars, roots, "a", "root"), roots, "b", "hub_root")
+    own = own.select("a", F.col("b").alias("hub"), "root", "hub_root", "added", F.col("na").alias("n"), (F.col("na") - F.col("shared")).alias("plus"), (F.col("nb") - F.col("shared")).alias("minus"))
+    several = own.where("root <> hub_root").select("hub").distinct()
+    own = settle(own.join(several.hint("merge"), "hub"))
+    if not own.take(1):
+        return own.select("a", F.col("hub").alias("b")).limit(0)
+    side = lambda i, *more: own.select("hub", *more, *[F.col(c).alias(f"{c}_{i}") for c in ("a", "root", "n", "plus", "minus")])
+    least = lambda c: F.col("plus_x") + F.col("plus_y") - 2 * c + F.abs(F.col("minus_x") - F.col("minus_y"))
+    fits = lambda difference: (100 + percent) * difference <= (100 - percent) * (F.col("n_x") + F.col("n_y"))
+    apart = F.col("root_x") != F.col("root_y")
+    outside = F.col("root") != F.col("hub_root")
+    x = own.where(outside)
+    x_side = lambda *more: x.select("hub", *more, *[F.col(c).alias(f"{c}_x") for c in ("a", "root", "n", "plus", "minus")])
+    free = x_side().join(side("y").hint("merge"), "hub").where(apart & fits(least(F.lit(0)))).select(F.col("a_x").alias("a"), F.col("a_y").alias("b"))
+    possible = fits(least(F.least("plus_x", "plus_y")))
+    meeting = x_side(F.explode("added").alias("shingle")).join(side("y", F.explode("added").alias("shingle")).hint("merge"), ["hub", "shingle"]).where(apart & possible & ~fits(least(F.lit(0))))
+    shared = meeting.groupBy("hub", *[f"{c}_{i}" for i in "xy" for c in ("a", "n", "plus", "minus")]).agg(F.count("*").alias("c"))
+    return free.unionByName(shared.where(fits(least(F.col("c")))).select(F.col("a_x").alias("a"), F.col("a_y").alias("b"))).distinct()
 
 
 def near_duplicate_links(docs: DataFrame, classes: DataFrame, *, width: int, percent: int) -> DataFrame:
     """Links a, b between classes (id, n_shingles, bands) that connect all that are linked."""
+    near = max(0, 2 * percent - 100)  # by the triangle inequality, those linked to a hub have no links to what is less similar to it
     buckets = classes.select(F.explode("bands").alias("key"), "id", F.col("n_shingles").alias("n"))
-    hubs = _hubs(buckets)
-    members = settle(buckets.join(hubs.hint("merge"), "key").select("key", "id", "n", "hub", "hub_n"))
+    shared = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    members = settle(buckets.join(shared.hint("merge"), "key"))
     sets = _sets_of(docs, members.select("id").distinct(), width)
-    first = members.where((F.col("id") != F.col("hub")) & _may(F.col("n"), F.col("hub_n"), percent)).select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    roots = components(_linked(first, sets, percent))
-    rest = members.select("key", "id", "n")
-    for k in range(HUB_ROUNDS + 1):
-        left = settle(_unsettled(_labelled(rest, roots)))
-        if not left.take(1):
+    scores = members.groupBy("id").agg(F.sum("m").alias("score"))
+    current = settle(members.join(scores.hint("merge"), "id").select("key", "id", "n", "score", F.lit(True).alias("active")))
+    stars_of = []
+    for _ in range(HUB_ROUNDS):
+        hubs = current.where("active").groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("hub"))
+        placed = settle(current.join(hubs.hint("merge"), "key").where("id <> hub").select("key", "id", "n", "score", "hub"))
+        stars = settle(_compared(placed.select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct(), sets, near))
+        stars_of.append(stars)
+        apart = stars.where(~_similar(F.col("shared"), F.col("na"), F.col("nb"), percent)).select(F.col("a").alias("id"), F.col("b").alias("hub"), F.col("added").isNull().alias("active"))
+        met = placed.join(apart.hint("merge"), ["id", "hub"]).select("key", "id", "n", "score", "active")
+        going = met.groupBy("key").agg(F.max("active").alias("any"), F.count("*").alias("m")).where("any and m > 1").select("key")
+        current = settle(met.join(going.hint("merge"), "key"))
+        if not current.take(1):
             break
-        if k < HUB_ROUNDS:  # the smallest class outside the first component of each bucket, against all of other components
-            hubs = left.where("root <> r0").groupBy("key").agg(F.min(F.struct("id", "n", "root")).alias("least"))
-            hubs = hubs.select("key", F.col("least.id").alias("hub"), F.col("least.n").alias("hub_n"), F.col("least.root").alias("hub_root"))
-            pairs = left.join(hubs.hint("merge"), "key").where((F.col("root") != F.col("hub_root")) & _may(F.col("n"), F.col("hub_n"), percent)).select(F.col("id").alias("a"), F.col("hub").alias("b"))
-        else:
-            x, y = (left.select("key", F.col("id").alias(i), F.col("n").alias(f"n_{i}"), F.col("root").alias(f"root_{i}")) for i in "ab")
-            pairs = x.join(y.hint("merge"), "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & _may(F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
-        found = settle(_linked(pairs.distinct(), sets, percent))
-        if found.take(1):
-            roots = components(_as_links(roots).unionByName(found))
-        rest = left.select("key", "id", "n")
-    return _as_links(roots)
-
-
-def _as_links(roots: DataFrame) -> DataFrame:
-    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    stars = stars_of[0]
+    for more in stars_of[1:]:
+        stars = stars.unionByName(more)
+    roots = components(_links_of(stars, percent))
+    pairs = _apart_within_hub(stars.where("added is not null"), roots, percent)
+    if current.take(1):  # what no hub came near to
+        rest = _with_root(current, roots, "id", "root")
+        x, y = (rest.select("key", *[F.col(c).alias(f"{c}_{i}") for c in ("id", "n", "root", "active")]) for i in "xy")
+        near_enough = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
+        left = x.join(y.hint("merge"), "key").where((F.col("id_x") < F.col("id_y")) & (F.col("root_x") != F.col("root_y")) & (F.col("active_x") | F.col("active_y")) & near_enough)
+        pairs = pairs.unionByName(left.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")))
+    pairs = settle(pairs.distinct())
+    links = _as_links(roots)
+    return links.unionByName(_links_of(_compared(pairs, sets, 101), percent)) if pairs.take(1) else links
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
