@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step works on at a time.
-CHUNK_CHARS = 2_000_000
+CHUNK_CHARS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,10 +48,16 @@ def drop_settled(df: DataFrame) -> None:
         hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Rows and bytes that a worker holds of a table at a time.
+BATCH_ROWS, BATCH_BYTES = 2_000, 8 * 2**20
+
+
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches end at some MB of data also where rows are long, unless the session already says so."""
-    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "", "-1", str(2**31 - 1), str(2**63 - 1)):
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 * 2**20))
+    """Arrow batches end at some thousand rows, and at some MB where rows are long; smaller settings of the session stay."""
+    for name, limit in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(name, None) or 0)
+        if now <= 0 or now > limit:
+            spark.conf.set(name, str(limit))
 
 
 def text_input(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
