@@ -8,7 +8,7 @@
    others, so in a group of edited copies the one that they were made from. Classes that are far from it (by the
    triangle inequality nothing linked to the hub is linked to them) take a hub of their own, HUB_ROUNDS times at most;
    those that are near but not linked are joined with others around the hub on shingles that the hub lacks. Pairs that
-   are connected already need no comparison. So a large group of copies costs a few comparisons a member, and no link
+   are connected already need no comparison, nor do those whose sketches differ too much. So a large group of copies costs a few comparisons a member, and no link
    between groups is lost.
 4. Connected components.
 
@@ -30,6 +30,8 @@ from .components import components
 COORDINATES = 128
 BANDS = 32
 HUB_ROUNDS = 3
+#: Bits that a sketch leaves of each coordinate, to tell pairs apart before they are compared.
+MARK_BITS = 2
 #: Bits of the filter that spares texts without candidates the way to verification: 8 MB, whatever the input.
 FILTER_BITS = 1 << 26
 
@@ -109,24 +111,37 @@ def band_keys(bins: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def marks(bins: np.ndarray) -> np.ndarray:
+    """The low bits of all coordinates, in machine words."""
+    bits = (bins[:, None] >> np.arange(MARK_BITS, dtype=np.uint64)) & np.uint64(1)
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def most_differing(percent: int) -> int:
+    """How many mark bits a pair of this similarity differs in at most, seven standard deviations above the mean."""
+    p = 1 - percent / 100
+    variance = COORDINATES * (p * (MARK_BITS / 4 + MARK_BITS**2 / 4) - (p * MARK_BITS / 2) ** 2)
+    return int(np.ceil(COORDINATES * p * MARK_BITS / 2 + 7 * np.sqrt(variance)))
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """docs: doc_id, text. doc_id, n_shingles, set_hash (null: no shingles) and bands of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """docs: doc_id, text. doc_id, n_shingles, set_hash (null: no shingles), bands and marks of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_hash", pa.binary()), ("bands", pa.list_(pa.int64())), ("marks", pa.list_(pa.int64()))])
 
     def run(batches):
         for ids, texts in chunks(batches):
             sets = shingle_sets([t or "" for t in texts], width)
-            known: dict[bytes, np.ndarray] = {}
-            hashes, bands = [], []
+            known: dict[bytes | None, tuple] = {None: (None, None)}
+            hashes = []
             for s in sets:
                 h = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
                 if h is not None and h not in known:
-                    known[h] = band_keys(sketch(s))
+                    bins = sketch(s)
+                    known[h] = (band_keys(bins), marks(bins))
                 hashes.append(h)
-                bands.append(known[h] if h is not None else None)
-            yield as_batch([ids, [len(s) for s in sets], hashes, bands], schema)
+            yield as_batch([ids, [len(s) for s in sets], hashes, [known[h][0] for h in hashes], [known[h][1] for h in hashes]], schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>, marks array<long>")
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
@@ -234,9 +249,11 @@ def near_duplicate_links(docs: DataFrame, classes: DataFrame, *, width: int, per
     roots = components(_links_of(stars, percent))
     pairs = _apart_within_hub(stars.where("added is not null"), roots, percent)
     if current.take(1):  # what no hub came near to
-        rest = _with_root(current, roots, "id", "root")
-        x, y = (rest.select("key", *[F.col(c).alias(f"{c}_{i}") for c in ("id", "n", "root", "active")]) for i in "xy")
-        near_enough = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
+        rest = _with_root(current, roots, "id", "root").join(classes.select("id", "marks").hint("merge"), "id")
+        x, y = (rest.select("key", *[F.col(c).alias(f"{c}_{i}") for c in ("id", "n", "root", "active", "marks")]) for i in "xy")
+        words = COORDINATES * MARK_BITS // 64
+        differing = sum((F.bit_count(F.get("marks_x", F.lit(w)).bitwiseXOR(F.get("marks_y", F.lit(w)))) for w in range(words)), F.lit(0))
+        near_enough = (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent) & (differing <= most_differing(percent))
         left = x.join(y.hint("merge"), "key").where((F.col("id_x") < F.col("id_y")) & (F.col("root_x") != F.col("root_y")) & (F.col("active_x") | F.col("active_y")) & near_enough)
         pairs = pairs.unionByName(left.select(F.col("id_x").alias("a"), F.col("id_y").alias("b")))
     pairs = settle(pairs.distinct())
@@ -254,7 +271,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = settle(sketches(own, width))
     linked = rows.where("set_hash is not null and doc_id is not null")
-    classes = settle(linked.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
+    classes = settle(linked.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("marks").alias("marks"), F.count("*").alias("copies")))
     links = near_duplicate_links(own, classes, width=width, percent=percent)
     copies = linked.select("set_hash", "doc_id").join(classes.where("copies > 1").select("set_hash", "id").hint("merge"), "set_hash").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
     roots = components(links.unionByName(copies))
