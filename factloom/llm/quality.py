@@ -83,11 +83,14 @@ class Model:
     """Term weights, latent space and labelled vectors; small enough to broadcast (SAMPLE and TERMS bound it)."""
 
     def __init__(self, counts: np.ndarray, labels: np.ndarray):
+        """counts is used up: it is the one large matrix of the driver, and is weighted in place."""
         self.prior = float(labels.mean()) if len(labels) else 0.5
         self.labels = labels.astype(np.float32)
-        self.weights = (np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1).astype(np.float32)
-        self.space = _latent_space(_unit(counts * self.weights), DIMENSIONS) if len(counts) else np.zeros((TERMS, 0), np.float32)
-        self.vectors = self.project(counts)
+        self.weights = (np.log((1 + len(counts)) / (1 + np.count_nonzero(counts, axis=0))) + 1).astype(np.float32)
+        counts *= self.weights
+        counts /= np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-9)
+        self.space = _latent_space(counts, DIMENSIONS) if len(counts) else np.zeros((TERMS, 0), np.float32)
+        self.vectors = _unit(counts @ self.space)
 
     def project(self, counts: np.ndarray) -> np.ndarray:
         return _unit((counts * self.weights) @ self.space)
@@ -105,18 +108,20 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
-    """docs: doc_id, text; labels: doc_id, label (0 or 1). Terms are counted where the rows lie; the driver gets `sample` rows of counts."""
+    """docs: doc_id, text; labels: doc_id, label (0 or 1). Terms are counted where the rows lie; the driver gets the terms that occur in `sample` rows."""
     rows = labelled_sample(docs, labels, sample)
-    schema = pa.schema([("label", pa.int32()), ("counts", pa.binary())])
+    schema = pa.schema([("label", pa.int32()), ("terms", pa.binary()), ("counts", pa.binary())])
 
     def count(batches):
         for labels, texts in _blocks(batches):
-            yield as_batch([labels, [x.astype(np.float16).tobytes() for x in term_counts(texts)]], schema)
-
-    found = rows.select("label", "text").mapInArrow(count, "label int, counts binary").toArrow()
-    if not found.num_rows:
-        return Model(np.zeros((0, TERMS), np.float32), np.zeros(0))
-    counts = np.frombuffer(b"".join(found.column(1).to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
+            rows = term_counts(texts)
+            terms = [np.flatnonzero(x) for x in rows]
+            yield as_batch([labels, [t.astype("<u2").tobytes() for t in terms], [x[t].astype(np.float16).tobytes() for x, t in zip(rows, terms, strict=True)]], schema)
+
+    found = rows.select("label", "text").mapInArrow(count, "label int, terms binary, counts binary").toArrow()
+    counts = np.zeros((found.num_rows, TERMS), np.float32)
+    for row, terms, values in zip(counts, found.column(1).to_pylist(), found.column(2).to_pylist(), strict=True):
+        row[np.frombuffer(terms, "<u2")] = np.frombuffer(values, np.float16)
     return Model(counts, found.column(0).to_numpy())
 
 
