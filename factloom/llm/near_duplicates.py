@@ -7,7 +7,7 @@
 3. In each bucket every class is compared, on full sets, with the bucket's hub: the class that shares most buckets with
    others, so in a group of edited copies the one that they were made from. Classes that are far from it (by the
    triangle inequality nothing linked to the hub is linked to them) take a hub of their own, HUB_ROUNDS times at most;
-   those that are near but not linked are joined with others around the hub on shingles that the hub lacks. Pairs that
+   those that are near but not linked meet the others around the hub by what they add to it. Pairs that
    are connected already need no comparison, nor do those whose sketches differ too much. So a large group of copies costs a few comparisons a member, and no link
    between groups is lost.
 4. Connected components.
@@ -199,27 +199,19 @@ def _apart_within_hub(stars: DataFrame, roots: DataFrame, percent: int) -> DataF
     """Pairs (a, b) around the same hub that may be linked and are not connected yet.
 
     Two sets with Ax and Ay shingles beyond the hub's, and without Mx and My of the hub's, differ in at least
-    Ax + Ay - 2c + |Mx - My| shingles, c the number of added ones that they share. Either that is small enough with c = 0
-    ('free' pairs), or the two share an added shingle, on which they are joined.
+    Ax + Ay - 2c + |Mx - My| shingles, c the number of added ones that they share. Only pairs for which that is small
+    enough leave the join; sizes decide first, and the few added shingles are met only where they can matter.
     """
     own = _with_root(_with_root(stars, roots, "a", "root"), roots, "b", "hub_root")
     own = own.select("a", F.col("b").alias("hub"), "root", "hub_root", "added", F.col("na").alias("n"), (F.col("na") - F.col("shared")).alias("plus"), (F.col("nb") - F.col("shared")).alias("minus"))
     several = own.where("root <> hub_root").select("hub").distinct()
     own = settle(own.join(several.hint("merge"), "hub"))
-    if not own.take(1):
-        return own.select("a", F.col("hub").alias("b")).limit(0)
-    side = lambda i, *more: own.select("hub", *more, *[F.col(c).alias(f"{c}_{i}") for c in ("a", "root", "n", "plus", "minus")])
+    x, y = (own.select("hub", *[F.col(c).alias(f"{c}_{i}") for c in ("a", "root", "hub_root", "added", "n", "plus", "minus")]) for i in "xy")
     least = lambda c: F.col("plus_x") + F.col("plus_y") - 2 * c + F.abs(F.col("minus_x") - F.col("minus_y"))
     fits = lambda difference: (100 + percent) * difference <= (100 - percent) * (F.col("n_x") + F.col("n_y"))
-    apart = F.col("root_x") != F.col("root_y")
-    outside = F.col("root") != F.col("hub_root")
-    x = own.where(outside)
-    x_side = lambda *more: x.select("hub", *more, *[F.col(c).alias(f"{c}_x") for c in ("a", "root", "n", "plus", "minus")])
-    free = x_side().join(side("y").hint("merge"), "hub").where(apart & fits(least(F.lit(0)))).select(F.col("a_x").alias("a"), F.col("a_y").alias("b"))
-    possible = fits(least(F.least("plus_x", "plus_y")))
-    meeting = x_side(F.explode("added").alias("shingle")).join(side("y", F.explode("added").alias("shingle")).hint("merge"), ["hub", "shingle"]).where(apart & possible & ~fits(least(F.lit(0))))
-    shared = meeting.groupBy("hub", *[f"{c}_{i}" for i in "xy" for c in ("a", "n", "plus", "minus")]).agg(F.count("*").alias("c"))
-    return free.unionByName(shared.where(fits(least(F.col("c")))).select(F.col("a_x").alias("a"), F.col("a_y").alias("b"))).distinct()
+    may = (F.col("root_x") != F.col("root_y")) & fits(least(F.least("plus_x", "plus_y"))) & fits(least(F.size(F.array_intersect("added_x", "added_y"))))
+    outside = x.where("root_x <> hub_root_x")
+    return outside.join(y.hint("merge"), "hub").where(may).select(F.col("a_x").alias("a"), F.col("a_y").alias("b"))
 
 
 def near_duplicate_links(docs: DataFrame, classes: DataFrame, *, width: int, percent: int) -> DataFrame:
