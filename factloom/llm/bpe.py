@@ -15,7 +15,7 @@ import numpy as np
 #: Longest pre-token, in bytes, that packs into three machine words; longer ones are looked up one by one.
 PACKED = 24
 #: Pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 
 _PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa0-\xff]")
 _SEPARATOR, _LETTER, _NUMBER, _SPACE, _OTHER = range(5)
