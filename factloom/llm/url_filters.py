@@ -57,12 +57,12 @@ def matched_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def tokens(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: labels of the host and parts of hyphenated ones, the path's first two pieces, names in the query. Numbers in the path read as 0."""
-    tag = lambda prefix: lambda x: F.concat(F.lit(prefix), F.substring(x, 1, 100))
+    """Distinct tokens: labels of the host and parts of hyphenated ones, all pieces of the path, names in the query. Numbers in the path read as 0."""
+    tag = lambda prefix: lambda x: F.concat(F.lit(prefix), x)
     labels = F.filter(F.split(host, "[.]"), lambda x: x != "")
     words = F.flatten(F.transform(F.filter(labels, lambda x: x.rlike("[-_]")), lambda x: F.split(x, "[-_]")))
-    pieces = F.slice(F.filter(F.split(_lower_ascii(path), "/"), lambda x: x != ""), 1, 2)
-    place = F.transform(pieces, lambda x, i: F.concat(F.lit("path"), i.cast("string"), F.lit(":"), F.substring(F.regexp_replace(x, "[0-9]+", "0"), 1, 100)))
+    pieces = F.filter(F.split(_lower_ascii(path), "/"), lambda x: x != "")
+    place = F.transform(pieces, lambda x, i: F.concat(F.lit("path"), i.cast("string"), F.lit(":"), F.regexp_replace(x, "[0-9]+", "0")))
     names = F.regexp_extract_all(_lower_ascii(url), F.lit(r"[?&]([^=&#]+)="), F.lit(1))
     return F.array_distinct(F.concat(F.transform(labels, tag("host:")), F.transform(words, tag("word:")), place, F.transform(names, tag("query:"))))
 

@@ -207,6 +207,17 @@ def test_url_filters(spark):
     assert url_filters.judge_urls(df.limit(0), queries.URL_RULES).count() == 0
 
 
+def test_url_filters_know_whole_paths_and_tokens(spark):
+    long = "w" * 120
+    bad = [f"https://a{i}.test/x/y/z/u/spam/{i}" for i in range(30)] + [f"https://b{i}.test/{long}bad" for i in range(30)]
+    good = [f"https://c{i}.test/x/y/z/u/news/{i}" for i in range(30)] + [f"https://d{i}.test/{long}good" for i in range(30)]
+    labels = spark.createDataFrame([(u, True) for u in bad] + [(u, False) for u in good], "url string, blocked boolean")
+    asked = ["https://new.test/x/y/z/u/spam/7", "https://new.test/x/y/z/u/news/7", f"https://new.test/{long}bad", f"https://new.test/{long}good"]
+    pages = spark.createDataFrame(list(enumerate(asked)), "page_id long, url string")
+    found = {r.page_id: r.verdict for r in url_filters.judge_urls(pages, [], labels=labels).collect()}
+    assert found == {0: "block", 1: "allow", 2: "block", 3: "allow"}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     sizes = []
