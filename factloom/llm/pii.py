@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from ._runtime import text_input
 from .spans import Kind, redacted, rendered, with_spans
 
-#: How far before a span words count as its context, in characters.
-NEARBY = 40
 #: Added kinds need this score.
 ENOUGH = 0.6
 
@@ -50,7 +48,7 @@ def _mod97(match: Column, before: Column) -> Column:
 
 
 def _scored(kind: str, base: float):
-    return lambda match, before: F.lit(base) + F.when(F.substring(before, -NEARBY, NEARBY).rlike(CONTEXT[kind]), 0.35).otherwise(0.0)
+    return lambda match, before: F.lit(base) + F.when(before.rlike(CONTEXT[kind]), 0.35).otherwise(0.0)
 
 
 def _enough(kind: str, base: float, valid=lambda match, before: F.lit(True)):

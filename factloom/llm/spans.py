@@ -14,13 +14,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 256
+#: How many characters before a match its context has.
+NEARBY = 40
 
 SPAN = "struct<kind:string,start:int,end:int,score:double>"
 
 
 @dataclass(frozen=True)
 class Kind:
-    """What to look for. keep(match, before) decides on a match; score(match, before) rates it; before: the text since the last match."""
+    """What to look for. keep(match, before) decides on a match; score(match, before) rates it; before: the NEARBY characters before it, other matches included."""
 
     name: str
     pattern: str
@@ -33,23 +35,32 @@ def _empty(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
+def _last(*parts: Column) -> Column:
+    """The last NEARBY characters of strings in a row."""
+    return F.substring(F.concat(*[F.substring(p, -NEARBY, NEARBY) for p in parts]), -NEARBY, NEARBY)
+
+
 def _fold(kind: Kind, pieces: Column) -> Column:
-    """pieces: array<struct<before, match>>, null as the last match."""
+    """pieces: array<struct<before, match>>, null as the last match. The fold carries the end of the text so far, so that no match costs a search of the text."""
 
     def step(acc: Column, x: Column) -> Column:
+        return F.transform(F.array(_last(acc["near"], x["before"])), lambda near: judged(acc, x, near))[0]
+
+    def judged(acc: Column, x: Column, near: Column) -> Column:
         begin = acc["at"] + F.length(x["before"])
         end = begin + F.coalesce(F.length(x["match"]), F.lit(0))
-        one = F.struct(F.lit(kind.name).alias("kind"), begin.alias("start"), end.alias("end"), kind.score(x["match"], x["before"]).cast("double").alias("score"))
-        hit = x["match"].isNotNull() & F.coalesce(kind.keep(x["match"], x["before"]), F.lit(False))
-        return F.struct(end.alias("at"), F.when(hit, F.concat(acc["out"], F.array(one).cast(f"array<{SPAN}>"))).otherwise(acc["out"]).alias("out"))
+        one = F.struct(F.lit(kind.name).alias("kind"), begin.alias("start"), end.alias("end"), kind.score(x["match"], near).cast("double").alias("score"))
+        hit = x["match"].isNotNull() & F.coalesce(kind.keep(x["match"], near), F.lit(False))
+        upto = _last(near, F.coalesce(x["match"], F.lit("")))
+        return F.struct(end.alias("at"), upto.alias("near"), F.when(hit, F.concat(acc["out"], F.array(one).cast(f"array<{SPAN}>"))).otherwise(acc["out"]).alias("out"))
 
     def block(acc: Column, b: Column) -> Column:
-        start = F.struct(acc["at"].alias("at"), _empty(SPAN).alias("out"))
+        start = F.struct(acc["at"].alias("at"), acc["near"].alias("near"), _empty(SPAN).alias("out"))
         inner = F.aggregate(F.slice(pieces, b * BLOCK + 1, F.lit(BLOCK)), start, step)
-        return F.transform(F.array(inner), lambda i: F.struct(i["at"].alias("at"), F.concat(acc["out"], F.array(i["out"])).alias("out")))[0]
+        return F.transform(F.array(inner), lambda i: F.struct(i["at"].alias("at"), i["near"].alias("near"), F.concat(acc["out"], F.array(i["out"])).alias("out")))[0]
 
     blocks = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / BLOCK).cast("int"))
-    whole = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), _empty(f"array<{SPAN}>").alias("out")), block, lambda acc: acc["out"])
+    whole = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.lit("").alias("near"), _empty(f"array<{SPAN}>").alias("out")), block, lambda acc: acc["out"])
     return F.flatten(whole)
 
 

@@ -164,6 +164,20 @@ def test_pii_checksums_and_context(spark):
     assert found == {1: "iban:0:22", 2: "", 3: "ssn:4:15", 4: ""}
 
 
+def test_pii_context_reaches_over_earlier_matches(spark):
+    many = "SSN: 123-45-6789, 987-65-4321"
+    far = "SSN: 123-45-6789 " + "." * 40 + " 987-65-4321"
+    blocks = "078-05-1120 " * 300 + "SSN 123-45-6789 987-65-4321"  # more matches than a block folds
+    cards = "card 4111 1111 1111 1111, 4111 1111 1111 1111"
+    rows = spark.createDataFrame([(1, many), (2, far), (3, blocks), (4, cards), (5, "é\U0001f600" * 30 + many)], "doc_id long, text string")
+    found = {r.doc_id: r for r in pii.pii_spans(rows).collect()}
+    places = {i: [(s.start, s.end) for s in r.spans_ssn] for i, r in found.items()}
+    assert places == {1: [(5, 16), (18, 29)], 2: [(5, 16)], 3: [(3604, 3615), (3616, 3627)], 4: [], 5: [(65, 76), (78, 89)]}
+    assert [round(s.score, 2) for s in found[4].spans_card] == [1.05, 1.05]
+    redone = {r.doc_id: r.text for r in pii.redact_pii(rows).collect()}
+    assert redone[1] == "SSN: <SSN>, <SSN>"
+
+
 def test_redaction(spark, docs):
     text = "mail me@x.org, card 4111 1111 1111 1111 and +44 20 7946 0958."
     one = spark.createDataFrame([(1, text, 5), (2, None, 6), (3, "clean", 7)], "doc_id long, text string, spans_email int")
