@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step works on at a time.
@@ -19,12 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where that is unset a temporary one serves a local master, as in tests; else it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset; it must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="factloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -65,6 +67,17 @@ def text_input(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def whole_rows(df: DataFrame, *without: str, **columns: Column) -> DataFrame:
+    """Each row of a frame (its columns but those `without`) as one struct `row`, beside columns of our own, which so can't clash with those of the frame."""
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in without]
+    return df.select((F.struct(*own) if own else F.lit(0)).alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
+def unfolded(rows: DataFrame, names: list[str], **columns: Column) -> DataFrame:
+    """The columns `names` of `row`, some of them put anew."""
+    return rows.select(*[columns[n].alias(n) if n in columns else F.col("row")[n].alias(n) for n in names])
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text_at: int = 1, limit: int = CHUNK_CHARS) -> Iterator[tuple[list, list]]:
     """(ids, texts) of at most about `limit` characters at a time; a longer text comes alone. Null text comes as None."""
     for batch in batches:
