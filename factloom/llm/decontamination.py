@@ -1,9 +1,13 @@
 """Benchmark decontamination by an FM-index a shard of documents.
 
 Test phrases (windows of 13 words of the benchmark's items) are searched backwards in the index of each shard, located
-by sampled positions, and merged into spans to remove. A word that no item has can't be part of a phrase, so a shard
-indexes only runs of benchmark words that are long enough for the shortest phrase; this drops no occurrence.
-The benchmark is the stated query set: it is taken in blocks of about BLOCK_WORDS words, of which each is broadcast.
+by sampled positions, and merged into spans to remove. A shard is about a million characters of texts; its index lives
+as long as its task needs it, and all phrases of a pass are searched in it. A word that no item has can't be part of a
+phrase, so a shard indexes only runs of benchmark words that are long enough for the shortest phrase; this drops no
+occurrence. Words are compared by 64-bit hashes.
+
+The benchmark is the stated query set: it is taken in blocks of about BLOCK_WORDS words, each of which is broadcast as a
+few flat arrays (about 30 bytes a word), BLOCKS of them a pass.
 """
 
 from __future__ import annotations
@@ -16,85 +20,116 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._runtime import CHUNK_CHARS, bounded_batches
+from ._runtime import CHUNK_CHARS, bounded_batches, settle, unfolded, whole_rows
 from .fm_index import FMIndex
+from .spans import replaced
+from .words import between, rolled, word_hashes
 
 WINDOW = 13
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
+#: Blocks that a worker holds at a time; more take further passes.
+BLOCKS = 4
 
-#: What a word is, in lower-cased UTF-8 and in the text itself.
-_WORD_BYTES = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: What stands between words, in lower-cased UTF-8, and what a word is in the text itself.
+_BETWEEN = between(range(0x30), range(0x3A, 0x61), range(0x7B, 0x80))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 HITS = "array<struct<first:int,last:int,start:int,end:int>>"
 
 
-def words(text: str) -> list[bytes]:
-    return _WORD_BYTES.findall(text.encode("utf-8", "replace").lower())
-
-
 class Phrases:
-    """The distinct windows of a block of items."""
+    """The distinct windows of a block of items, as places in one stream of word hashes."""
 
     def __init__(self, items: list[tuple[str, str]]):
-        self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
-        for item, text in items:
-            ids = tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text))
-            for i in range(max(1, len(ids) - WINDOW + 1)) if ids else ():
-                found.setdefault(ids[i : i + WINDOW], set()).add(item)
-        self.items = [sorted(x) for x in found.values()]
-        self.lengths = np.array([len(x) for x in found], np.int64)
-        self.patterns = np.zeros((len(found), WINDOW), np.int64)
-        for row, ids in zip(self.patterns, found, strict=True):
-            row[: len(ids)] = ids
-
-    def search(self, texts: list[str]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
-        """For each text the number of its words, the merged spans of words that are hit, and the items that hit."""
-        get = self.vocabulary.get
-        each = [[get(w, 0) for w in words(t)] if t else [] for t in texts]
-        sizes = np.array([len(x) for x in each], np.int64)
-        out: list[tuple[int, list[tuple[int, int]], set[str]]] = [(n, [], set()) for n in sizes.tolist()]
-        if not len(self.lengths) or not sizes.sum():
-            return out
-        ids = np.fromiter((w for x in each for w in x), np.int64, int(sizes.sum()))
-        starts = np.cumsum(sizes) - sizes
-        edge = np.zeros(len(ids) + 1, bool)  # a run begins where the word before is none of ours, or belongs to another text
-        edge[starts[sizes > 0]] = True
-        mine = ids > 0
+        self.names = [item for item, _ in items]
+        self.stream, at = word_hashes([text for _, text in items], _BETWEEN)
+        sizes = np.diff(at)
+        windows = np.where(sizes > 0, np.maximum(1, sizes - WINDOW + 1), 0)
+        item = np.repeat(np.arange(len(items), dtype=np.int32), windows)
+        starts = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(at[:-1], windows)
+        lengths = np.minimum(WINDOW, sizes[item])
+        keys = rolled(self.stream, WINDOW)[starts] if len(starts) else np.zeros(0, np.uint64)
+        for i in np.flatnonzero(lengths < WINDOW).tolist():
+            keys[i] = rolled(self.stream[starts[i] : starts[i] + lengths[i]], int(lengths[i]))[0]
+        keys ^= lengths.astype(np.uint64)
+        _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        self.starts, self.lengths = starts[first].astype(np.int32), lengths[first].astype(np.int32)
+        order = np.argsort(inverse, kind="stable")
+        self.item, self.bounds = item[order], np.concatenate([[0], np.cumsum(np.bincount(inverse, minlength=len(first)))])
+
+    def items_of(self, window: int) -> list[str]:
+        return [self.names[i] for i in self.item[self.bounds[window] : self.bounds[window + 1]].tolist()]
+
+
+class Vocabulary:
+    """Bits of the hashed words of some blocks, and the length of their shortest phrase. Other words may share a bit; they match nothing."""
+
+    def __init__(self, blocks: list[Phrases]):
+        n = sum(len(b.stream) for b in blocks)
+        self.mask = np.uint64((1 << max(16, (8 * n).bit_length())) - 1)
+        self.bits = np.zeros(int(self.mask) + 1, bool)
+        for b in blocks:
+            self.bits[(b.stream & self.mask).astype(np.int64)] = True
+        self.bits = np.packbits(self.bits, bitorder="little")
+        self.shortest = min((int(b.lengths.min()) for b in blocks if len(b.lengths)), default=0)
+
+    def _holds(self, hashes: np.ndarray) -> np.ndarray:
+        place = hashes & self.mask
+        return (self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+    def runs(self, hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where runs of words of the vocabulary begin and end that lie in one text (which begin at `starts`) and are long enough."""
+        mine = self._holds(hashes)
+        edge = np.zeros(len(hashes) + 1, bool)
+        edge[starts] = edge[-1] = True
         begins = np.flatnonzero(mine & (edge[:-1] | ~np.concatenate([[False], mine[:-1]])))
-        ends = np.flatnonzero(mine & (np.concatenate([edge[1:-1], [True]]) | ~np.concatenate([mine[1:], [False]]))) + 1
-        enough = ends - begins >= self.lengths.min()
-        begins, ends = begins[enough], ends[enough]
-        if not len(begins):
-            return out
-        spans = ends - begins + 1  # and a closing 0
-        stops = np.cumsum(spans)
-        place = np.repeat(begins - stops + spans, spans) + np.arange(stops[-1])
-        closing = stops - 1
-        place[closing] = ends - 1
-        symbols = ids[place]
-        symbols[closing] = 0
-        index = FMIndex(symbols)
-        which, low, high = index.search(self.patterns, self.lengths)
+        ends = np.flatnonzero(mine & (edge[1:] | ~np.concatenate([mine[1:], [False]]))) + 1
+        enough = ends - begins >= self.shortest
+        return begins[enough], ends[enough]
+
+
+def search(texts: list[str], vocabulary: Vocabulary, blocks: list[Phrases]) -> list[tuple[int, list[tuple[int, int]], set[str]]]:
+    """For each text of a shard the number of its words, the merged spans of words that are hit, and the items that hit."""
+    hashes, at = word_hashes(texts, _BETWEEN)
+    sizes, starts = np.diff(at), at[:-1]
+    out: list[tuple[int, list[tuple[int, int]], set[str]]] = [(n, [], set()) for n in sizes.tolist()]
+    if not vocabulary.shortest or not len(hashes):
+        return out
+    begins, ends = vocabulary.runs(hashes, starts[sizes > 0])
+    if not len(begins):
+        return out
+    spans = ends - begins + 1  # and a closing 0
+    stops = np.cumsum(spans)
+    place = np.repeat(begins - stops + spans, spans) + np.arange(stops[-1])
+    closing = stops - 1
+    place[closing] = ends - 1
+    own, symbols = np.unique(hashes[place], return_inverse=True)
+    symbols = symbols + 1
+    symbols[closing] = 0
+    index = FMIndex(symbols)
+    cover = np.zeros(len(symbols) + 1, np.int64)
+    for block in blocks:
+        near = np.minimum(np.searchsorted(own, block.stream), len(own) - 1)
+        stream = np.where(own[near] == block.stream, near + 1, 0)
+        missing = np.concatenate([[0], np.cumsum(stream == 0)])
+        here = np.flatnonzero(missing[block.starts + block.lengths] == missing[block.starts])
+        which, low, high = index.search(stream, block.starts[here], block.lengths[here])
         if not len(which):
-            return out
+            continue
         many = high - low
         before = np.cumsum(many) - many
-        rows = np.repeat(low - before, many) + np.arange(many.sum())
-        at, which = index.locate(rows), np.repeat(which, many)
-        text = np.searchsorted(starts, place[at], side="right") - 1
-        cover = np.zeros(len(symbols) + 1, np.int64)
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + self.lengths[which], -1)
-        hit = np.concatenate([[False], np.cumsum(cover)[:-1] > 0, [False]])
-        for a, b in zip(np.flatnonzero(hit[1:] & ~hit[:-1]).tolist(), np.flatnonzero(hit[:-1] & ~hit[1:]).tolist(), strict=True):
-            t = int(np.searchsorted(starts, place[a], side="right")) - 1
-            first = int(place[a] - starts[t])
-            out[t][1].append((first, first + b - a))
+        found, which = index.locate(np.repeat(low - before, many) + np.arange(many.sum())), np.repeat(here[which], many)
+        np.add.at(cover, found, 1)
+        np.add.at(cover, found + block.lengths[which], -1)
+        text = np.searchsorted(starts, place[found], side="right") - 1
         for t, p in set(zip(text.tolist(), which.tolist(), strict=True)):
-            out[t][2].update(self.items[p])
-        return out
+            out[t][2].update(block.items_of(p))
+    hit = np.concatenate([[False], np.cumsum(cover)[:-1] > 0, [False]])
+    for a, b in zip(np.flatnonzero(hit[1:] & ~hit[:-1]).tolist(), np.flatnonzero(hit[:-1] & ~hit[1:]).tolist(), strict=True):
+        t = int(np.searchsorted(starts, place[a], side="right")) - 1
+        first = int(place[a] - starts[t])
+        out[t][1].append((first, first + b - a))
+    return out
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -135,28 +170,32 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, *, keep: list[str], text_co
     result = docs.select(*dict.fromkeys([*keep, text_col]))
     items = _items(benchmark)
     blocks = _block_count(items, block_words)
-    for k in range(blocks):
-        phrases = spark.sparkContext.broadcast(_block(items, k, blocks))
+    for k in range(0, blocks, BLOCKS):
+        held = [_block(items, i, blocks) for i in range(k, min(k + BLOCKS, blocks))]
+        shared = spark.sparkContext.broadcast(Vocabulary(held)), [spark.sparkContext.broadcast(b) for b in held]
         carried = [c for c in result.columns if c not in ("_n_words", "_hits", "_items")]
-        out = [c for c in carried if c in keep] if k == blocks - 1 else carried
+        out = [c for c in carried if c in keep] if k + BLOCKS >= blocks else carried
         schema = T.StructType([*(result.schema[c] for c in out), *T._parse_datatype_string("_n_words long, _hits " + HITS + ", _items array<string>").fields])
-        result = result.mapInArrow(_pass(phrases, carried.index(text_col), [carried.index(c) for c in out], len(carried) if k else None), schema)
+        result = result.mapInArrow(_pass(*shared, carried.index(text_col), [carried.index(c) for c in out], len(carried) if k else None), schema)
+        if k + BLOCKS < blocks:
+            result = settle(result)
     return result
 
 
-def _pass(phrases, text_at: int, out: list[int], before: int | None):
+def _pass(vocabulary, phrases, text_at: int, out: list[int], before: int | None):
     hits_type = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
+        blocks = [b.value for b in phrases]
         for batch in batches:
             texts = [t or "" for t in batch.column(text_at).to_pylist()]
             found, begin, size = [], 0, 0
             for i, t in enumerate(texts):  # shards of a bounded number of characters
                 if size and size + len(t) > CHUNK_CHARS:
-                    found += phrases.value.search(texts[begin:i])
+                    found += search(texts[begin:i], vocabulary.value, blocks)
                     begin, size = i, 0
                 size += len(t)
-            found += phrases.value.search(texts[begin:])
+            found += search(texts[begin:], vocabulary.value, blocks)
             if before is not None:
                 hits, items = batch.column(before + 1).to_pylist(), batch.column(before + 2).to_pylist()
                 found = [(n, _merged([*spans, *((h["first"], h["last"]) for h in old)]), own | set(was)) for (n, spans, own), old, was in zip(found, hits, items, strict=True)]
@@ -191,14 +230,13 @@ def contamination_digest(docs: DataFrame, benchmark: DataFrame, *, block_words:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs without contaminated rows; in the others, spans that are hit are cut out of the text. Clean rows stay as they are."""
-    found = with_hits(docs, benchmark, keep=docs.columns, text_col=text_col, block_words=block_words)
-    text = F.col(text_col)
+    """docs without contaminated rows; in the others, spans that are hit are cut out of the text. Clean rows stay as they are.
 
-    def step(acc: Column, h: Column) -> Column:
-        piece = F.substring(text, acc["at"] + 1, h["start"] - acc["at"])
-        return F.struct(h["end"].alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
-
-    cut = F.aggregate("_hits", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")), step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    Null and empty texts have no words and stay; rows that repeat are judged each; other columns, whatever their names,
+    stay as they are; without items nothing is hit.
+    """
+    rows = whole_rows(docs, text_col, text=F.col(text_col).cast("string"))
+    found = with_hits(rows, benchmark, keep=["row", "text"], block_words=block_words)
     kept = found.where(~is_contaminated(_n_hit(), F.col("_n_words")))
-    return kept.withColumn(text_col, F.when(F.size("_hits") > 0, cut).otherwise(text)).select(*docs.columns)
+    cuts = F.transform("_hits", lambda h: F.struct(h["start"].alias("start"), (-h["end"]).alias("minus"), F.lit("").alias("put")))
+    return unfolded(kept, docs.columns, **{text_col: replaced(F.col("text"), cuts)})

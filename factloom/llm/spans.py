@@ -82,18 +82,40 @@ def rendered(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def replaced(text: Column, spans: Column) -> Column:
+    """The text with every span replaced. spans: structs of start, minus (minus its end) and put; of overlapping ones, which count as one, the first is put.
+
+    Spans are taken in blocks in their order. Only a block searches the text for its own part, and its spans search that
+    part only, so that a text with very many spans costs no more a span than one with few.
+    """
+
+    def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(value), use)[0]
+
+    def block(ordered: Column, acc: Column, b: Column) -> Column:
+        def of(own: Column) -> Column:
+            upto = F.greatest(F.get(own, F.size(own) - 1)["start"], acc["at"])
+            return bind(F.substring(text, acc["at"] + 1, upto - acc["at"]), lambda part: folded(acc, own, part))
+
+        return bind(F.slice(ordered, b * BLOCK + 1, F.lit(BLOCK)), of)
+
+    def folded(acc: Column, own: Column, part: Column) -> Column:
+        def step(inner: Column, s: Column) -> Column:
+            kept = F.substring(part, inner["at"] - acc["at"] + 1, s["start"] - inner["at"])
+            out = F.when(s["start"] >= inner["at"], F.concat(inner["out"], F.array(kept, s["put"]))).otherwise(inner["out"])
+            return F.struct(F.greatest(inner["at"], -s["minus"]).alias("at"), out.alias("out"))
+
+        inner = F.aggregate(own, F.struct(acc["at"].alias("at"), _empty("string").alias("out")), step)
+        return bind(inner, lambda i: F.struct(i["at"].alias("at"), F.concat(acc["out"], F.array(F.array_join(i["out"], ""))).alias("out")))
+
+    def whole(ordered: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(ordered) - 1) / BLOCK).cast("int"))
+        return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), _empty("string").alias("out")), lambda acc, b: block(ordered, acc, b))
+
+    done = bind(bind(F.array_sort(spans), whole), lambda w: F.concat(F.array_join(w["out"], ""), F.substring(text, w["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
+
+
 def redacted(text: Column, spans: Column) -> Column:
     """The text with every span, overlapping ones as one, replaced by its first kind in angle brackets."""
-    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        upto = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], F.array(upto, F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))).otherwise(acc["out"]).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(ordered, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return replaced(text, F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus"), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")).alias("put"))))
