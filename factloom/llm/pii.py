@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import text_input
+from ._runtime import text_input, unfolded, whole_rows
 from .spans import Kind, redacted, rendered, with_spans
 
 #: Added kinds need this score.
@@ -80,14 +80,22 @@ def all_spans(kinds=None) -> Column:
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of every row.
+
+    Null and empty texts have no spans and the hash of an empty list; rows that repeat are judged each; an empty table
+    gives no rows; further columns are not read.
+    """
     found = pii_spans(docs)
     counts = [F.size(f"spans_{k.name}").cast("long").alias(f"n_{k.name}") for k in BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(rendered(all_spans(BASE_KINDS)), 256).alias("base_sha256"), rendered(all_spans()).alias("spans"))
 
 
 def redact_pii(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """The same rows and columns, with all personal data in the text column replaced by its kind in angle brackets. A null text stays null."""
-    found = with_spans(docs, text_col, BASE_KINDS + ADDED_KINDS, "_pii_")
-    spans = F.concat(*[F.col(f"_pii_{k.name}") for k in BASE_KINDS + ADDED_KINDS])
-    found = found.withColumn("_pii_all", spans)
-    return found.withColumn(text_col, redacted(F.col(text_col), F.col("_pii_all"))).select(*docs.columns)
+    """The same rows and columns, with all personal data in the text column replaced by its kind in angle brackets.
+
+    A null text stays null and an empty one empty; rows that repeat are redacted each; other columns, whatever their
+    names, stay as they are; an empty table stays empty. Overlapping spans become one.
+    """
+    rows = whole_rows(docs, text_col, text=F.col(text_col).cast("string"))
+    found = with_spans(rows, "text", BASE_KINDS + ADDED_KINDS, "spans_")
+    return unfolded(found, docs.columns, **{text_col: redacted(F.col("text"), all_spans())})
