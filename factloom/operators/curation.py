@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.sources.storage import settled
+
 from . import relational as rel
 
 MAX_OPTIONS = 26
@@ -40,7 +42,7 @@ def claim_selection(requests: DataFrame, claims: DataFrame) -> DataFrame:
     wanted = requests.select("item_id", "topic_id", F.posexplode("claim_ids").alias("position", "claim_id"))
     known = claims.select("claim_id", F.col("topic_id").alias("claim_topic"), "approval_status", F.lit(True).alias("there"))
     code = F.when(F.col("there").isNull(), "NOT_FOUND").when(F.col("approval_status") != "APPROVED", "NOT_APPROVED").when(F.col("claim_topic") != F.col("topic_id"), "TOPIC_MISMATCH")
-    coded = wanted.join(known, "claim_id", "left").withColumn("code", code)
+    coded = wanted.join(known.hint("merge"), "claim_id", "left").withColumn("code", code)
     failed = coded.where("code is not null").groupBy("item_id").agg(F.min(F.struct("position", "code")).alias("first"))
     return requests.select("item_id").join(failed, "item_id", "left").select("item_id", F.col("first.position").alias("position"), F.coalesce("first.code", F.lit("OK")).alias("code"))
 
@@ -70,12 +72,45 @@ def verification_view(verifications: DataFrame, claims: DataFrame, links: DataFr
     return nested.join(claims.select("claim_id", "statement"), "claim_id")
 
 
-def note_markdown(topics: DataFrame, claims: DataFrame) -> DataFrame:
-    """A note a topic: a heading and its approved claims in id order. Topics without any are conflicts."""
-    nested = rel.nest_children(topics, claims, key="topic_id", order_by=["claim_id"], fields=["statement"], as_="_claims")
-    lines = F.array_join(F.transform("_claims", lambda c: F.concat(F.lit("- "), c["statement"])), "\n")
-    some = F.size("_claims") > 0
-    return nested.select("topic_id", F.when(some, F.concat(F.lit("# "), "name", F.lit("\n\n"), lines)).alias("markdown"), F.when(~some, F.lit("NO_APPROVED_CLAIMS")).alias("conflict"))
+def note_markdown(topics: DataFrame, claims: DataFrame, *, part_ids: int = 1000) -> DataFrame:
+    """A note a topic: a heading and its approved claims in id order, in parts. Topics without any are conflicts.
+
+    A part holds the claims of a range of part_ids ids, so that no row grows with the table; a topic's parts in order,
+    joined by line feeds, are its note. The heading stands in the first.
+    """
+    placed = claims.select("topic_id", "claim_id", "statement", F.floor(F.col("claim_id") / part_ids).alias("part"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_id", "statement"))), lambda c: F.concat(F.lit("- "), c["statement"])), "\n")
+    parts = placed.groupBy("topic_id", "part").agg(lines.alias("lines"))
+    first = placed.groupBy("topic_id").agg(F.min("part").alias("first"))
+    found = topics.join(first, "topic_id", "left").join(parts, "topic_id", "left")
+    heading = F.when(F.col("part") == F.col("first"), F.concat(F.lit("# "), "name", F.lit("\n\n"))).otherwise("")
+    return found.select("topic_id", "part", F.concat(heading, "lines").alias("markdown"), F.when(F.col("part").isNull(), F.lit("NO_APPROVED_CLAIMS")).alias("conflict"))
+
+
+def current_versions(versions: DataFrame) -> DataFrame:
+    """syllabus_id, topic_id, the current version (the highest), how many there are, and how many are invalid: not positive, or given twice."""
+    each = versions.groupBy("syllabus_id", "topic_id", "version").agg(F.count("*").alias("n"))
+    invalid = F.count_if((F.col("version") <= 0) | (F.col("n") > 1))
+    return each.groupBy("syllabus_id", "topic_id").agg(F.max(F.when(F.col("version") > 0, F.col("version"))).alias("version"), F.count("*").alias("n_versions"), invalid.alias("n_invalid"))
+
+
+def topic_mismatches(notes: DataFrame, note_claims: DataFrame, claims: DataFrame, versions: DataFrame) -> DataFrame:
+    """note_id, topic_id, kind, other_id and other_topic_id: claims and content versions of another topic than their note's."""
+    own = notes.select("note_id", "topic_id", "content_version_id")
+    by_claim = own.join(note_claims.select("note_id", "claim_id"), "note_id").join(claims.select("claim_id", F.col("topic_id").alias("other_topic_id")), "claim_id")
+    by_version = own.join(versions.select("content_version_id", F.col("topic_id").alias("other_topic_id")), "content_version_id")
+    both = by_claim.select("note_id", "topic_id", F.lit("claim").alias("kind"), F.col("claim_id").alias("other_id"), "other_topic_id")
+    both = both.unionByName(by_version.select("note_id", "topic_id", F.lit("version").alias("kind"), F.col("content_version_id").alias("other_id"), "other_topic_id"))
+    return both.where("other_topic_id <> topic_id")
+
+
+def release_guards(notes: DataFrame, items: DataFrame, options: DataFrame, packages: DataFrame, package_notes: DataFrame, package_items: DataFrame) -> DataFrame:
+    """asset_kind, asset_id and guard_ok: a note has a content version, an item is complete, a package has members."""
+    own_notes = notes.select(F.lit("note").alias("asset_kind"), F.col("note_id").alias("asset_id"), F.col("content_version_id").isNotNull().alias("guard_ok"))
+    own_items = item_completeness(items, options).select(F.lit("item").alias("asset_kind"), F.col("item_id").alias("asset_id"), F.col("complete").alias("guard_ok"))
+    filled = package_notes.select("package_id").unionByName(package_items.select("package_id")).distinct().withColumn("filled", F.lit(True))
+    own_packages = packages.select("package_id").join(filled, "package_id", "left").select(F.lit("package").alias("asset_kind"), F.col("package_id").alias("asset_id"), F.coalesce("filled", F.lit(False)).alias("guard_ok"))
+    return own_notes.unionByName(own_items).unionByName(own_packages)
 
 
 def released_assets_manifest(versions: DataFrame, notes: DataFrame, items: DataFrame) -> DataFrame:
@@ -85,11 +120,18 @@ def released_assets_manifest(versions: DataFrame, notes: DataFrame, items: DataF
 
 
 def promote_candidates(candidates: DataFrame, promotions: DataFrame) -> DataFrame:
-    """Approved candidates that were not promoted yet, as new sources numbered in id order, with the review frozen beside them."""
-    from pyspark.sql import Window
+    """Approved candidates that were not promoted yet, as new sources numbered in id order, with the review frozen beside them.
 
+    Numbers without gaps need no single task: rows are stored by ranges of ids, numbered within a range, and moved on by
+    the number of rows in the ranges before, of which there are as many as partitions.
+    """
     fresh = candidates.where("approval_status = 'APPROVED'").join(promotions.select("candidate_id"), "candidate_id", "left_anti")
-    return fresh.select("candidate_id", "location", "approval_status", "note", F.row_number().over(Window.orderBy("candidate_id")).cast("long").alias("source_number"))
+    ranged = settled(fresh.select("candidate_id", "location", "approval_status", "note").repartitionByRange("candidate_id").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy("candidate_id"))
+    numbered = ranged.withColumn("own", within).join(before.hint("merge"), "part")
+    return numbered.select("candidate_id", "location", "approval_status", "note", (F.col("before") + F.col("own")).cast("long").alias("source_number"))
 
 
 def document_markdown(packages: DataFrame, package_notes: DataFrame, notes: DataFrame, package_items: DataFrame, items: DataFrame, options: DataFrame) -> DataFrame:

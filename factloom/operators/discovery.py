@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions import exprs as E
+from factloom.sources.storage import settled
 
 from . import relational as rel
 
@@ -35,7 +37,7 @@ def parse_robots(robots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """
     lines = _directives(robots)
     states = lines.groupBy("host").agg((F.max("bad").eqNullSafe(False) & F.coalesce(F.max(F.col("name") == "user-agent"), F.lit(False))).alias("valid"))
-    good = lines.where("name is not null").join(states.where("valid").select("host"), "host")
+    good = lines.where("name is not null").join(states.where("valid").select("host").hint("merge"), "host")
     w = Window.partitionBy("host").orderBy("n")
     agent = F.col("name") == "user-agent"
     opened = good.withColumn("opens", agent & ~F.coalesce(F.lag("name").over(w) == "user-agent", F.lit(False)))
@@ -43,7 +45,7 @@ def parse_robots(robots: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     agents = grouped.where(agent).select("host", "group_id", F.lower("value").alias("agent"))
     rules = grouped.where("name in ('allow', 'disallow') and group_id > 0").select("host", "group_id", F.col("n").alias("rule_order"), ((F.col("name") == "allow") | (F.col("value") == "")).alias("allow"), F.col("value").alias("prefix"))
     sitemaps = good.where("name = 'sitemap' and value <> ''").select("host", F.col("value").alias("location"))
-    return agents.join(rules, ["host", "group_id"]).select("host", "group_id", "agent", "rule_order", "allow", "prefix"), sitemaps, states
+    return agents.join(rules.hint("merge"), ["host", "group_id"]).select("host", "group_id", "agent", "rule_order", "allow", "prefix"), sitemaps, states
 
 
 def robots_filter(urls: DataFrame, rules: DataFrame, *, agent: str) -> DataFrame:
@@ -55,12 +57,12 @@ def robots_filter(urls: DataFrame, rules: DataFrame, *, agent: str) -> DataFrame
     mine = rules.where((F.col("agent") == "*") | F.contains(own, F.col("agent")))
     best = F.struct((F.col("agent") == "*").alias("any"), F.col("group_id").alias("group_id"))
     chosen = mine.groupBy("host").agg(F.min(best).alias("best")).select("host", F.col("best.group_id").alias("group_id"))
-    used = mine.join(chosen, ["host", "group_id"]).select("host", "rule_order", "allow", "prefix").distinct()
+    used = mine.join(chosen.hint("merge"), ["host", "group_id"]).select("host", F.struct("rule_order", "allow", "prefix").alias("rule")).distinct()
+    listed = settled(used.groupBy("host").agg(F.array_sort(F.collect_list("rule")).alias("rules")))  # a host's rules are lines of one bounded file
     path = F.regexp_extract("url", r"^[^:]+://[^/?#]*([^#]*)", 1)
     target = urls.select("url").distinct().select("url", E.host(F.col("url")).alias("host"), F.when(path == "", "/").otherwise(path).alias("path"))
-    fits = (target.host == used.host) & ((F.col("prefix") == "*") | F.startswith(F.col("path"), F.col("prefix")))
-    first = target.join(used, fits, "left").groupBy("url").agg(F.min_by("allow", "rule_order").alias("allow"))
-    return first.select("url", F.coalesce("allow", F.lit(True)).alias("allowed"))
+    first = F.get(F.filter("rules", lambda r: (r["prefix"] == "*") | F.startswith(F.col("path"), r["prefix"])), F.lit(0))
+    return target.join(listed.hint("merge"), "host", "left").select("url", F.coalesce(first["allow"], F.lit(True)).alias("allowed"))
 
 
 def allowlist_membership(urls: DataFrame, hosts: DataFrame) -> DataFrame:
@@ -70,14 +72,28 @@ def allowlist_membership(urls: DataFrame, hosts: DataFrame) -> DataFrame:
 def frontier_filter(urls: DataFrame, hosts: DataFrame, rules: DataFrame, *, agent: str) -> DataFrame:
     """Canonical URLs, each once, that policy, allow-list and robots rules let through."""
     canonical = urls.select(E.canonical_url(F.col("url")).alias("url")).where("url is not null").distinct()
-    return allowlist_membership(canonical, hosts).select("url").join(robots_filter(canonical, rules, agent=agent).where("allowed"), "url").select("url")
+    return allowlist_membership(canonical, hosts).select("url").join(robots_filter(canonical, rules, agent=agent).where("allowed").hint("merge"), "url").select("url")
+
+
+def scored_urls(urls: DataFrame, queries: DataFrame) -> DataFrame:
+    """query_id, url and score (how many of the query's tokens the URL holds) wherever there is one.
+
+    Tokens and URLs meet by the token's first three characters, which the URL must hold; shorter tokens by themselves.
+    """
+    own = queries.select("query_id", F.explode(E.search_tokens(F.col("query"))).alias("token")).select("query_id", "token", F.substring("token", 1, 3).alias("gram"))
+    lower = F.lower("url")
+
+    def pieces(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("url") - n + 1)), lambda i: F.substr(lower, i, F.lit(n)))
+
+    grams = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in (1, 2, 3)])))
+    met = urls.select("url").distinct().select("url", F.explode(grams).alias("gram")).join(own.hint("merge"), "gram").where(F.contains(lower, F.col("token")))
+    return met.groupBy("query_id", "url").agg(F.count_distinct("token").alias("score"))
 
 
 def discover_candidates(urls: DataFrame, queries: DataFrame, *, k: int = 50) -> DataFrame:
-    """query_id, position, location, score: the k best URLs of each query by score and then URL. The queries are a stated small set."""
-    tokens = queries.select("query_id", E.search_tokens(F.col("query")).alias("tokens"))
-    scored = urls.select("url").distinct().crossJoin(F.broadcast(tokens)).select("query_id", "url", E.relevance_score(F.col("tokens"), F.col("url")).alias("score")).where("score > 0")
-    best = rel.top_of(scored, "query_id", [F.desc("score"), "url"], k)
+    """query_id, position, location, score: the k best URLs of each query by score and then URL."""
+    best = rel.top_of(scored_urls(urls, queries), "query_id", [F.desc("score"), "url"], k)
     return rel.numbered(best, "query_id", [F.desc("score"), "url"]).select("query_id", "position", F.col("url").alias("location"), F.col("score").cast("long").alias("score"))
 
 
@@ -92,9 +108,9 @@ def limit_gate(counts: DataFrame, limits: dict[str, int]) -> DataFrame:
 def classify_fetch(responses: DataFrame, hosts: DataFrame, rules: DataFrame, states: DataFrame, *, agent: str) -> DataFrame:
     """response_id, status and error_code of stored responses, by the first rule that fails."""
     allowed = hosts.select("host").distinct().withColumn("listed", F.lit(True))
-    own = responses.withColumn("host", E.host(F.col("requested_url"))).join(allowed, "host", "left").join(states, "host", "left")
+    own = responses.withColumn("host", E.host(F.col("requested_url"))).join(allowed.hint("merge"), "host", "left").join(states.hint("merge"), "host", "left")
     verdicts = robots_filter(responses.select(F.col("requested_url").alias("url")), rules, agent=agent)
-    own = own.join(verdicts, F.col("requested_url") == F.col("url"), "left")
+    own = own.join(verdicts.hint("merge"), F.col("requested_url") == F.col("url"), "left")
     code = (
         F.when(~E.url_policy(F.col("requested_url")) | F.col("listed").isNull(), "FETCH_URL_POLICY")
         .when(F.col("valid").isNull(), "FETCH_ROBOTS_UNAVAILABLE")
@@ -152,30 +168,50 @@ def parse_sitemap(crawl: DataFrame) -> DataFrame:
     return crawl.select("url", _sitemap("body").alias("s")).select("url", F.col("s.is_index").isNotNull().alias("valid"), F.col("s.is_index").alias("is_index"), F.col("s.locations").alias("locations"))
 
 
-def expand_sitemaps(crawl: DataFrame, roots: DataFrame, *, max_docs: int = 20) -> DataFrame:
+def expand_sitemaps(crawl: DataFrame, roots: DataFrame, *, hosts: DataFrame | None = None, rules: DataFrame | None = None, agent: str = "FactBot/1.0", max_docs: int = 20, max_urls: int = 1_000) -> DataFrame:
     """roots: run_id, url. Locations (run_id, url) of each run's sitemaps, breadth first, and runs that failed (url null, error_code).
 
-    A run fails on a document that is missing or invalid, one that it meets twice, or more than max_docs of them. There
-    are at most max_docs rounds, each a join.
+    All that a run meets must be of its root's host (and of hosts, if given) in canonical form, and its documents open by
+    robots rules, if given; locations that these close are left out. A run fails on a document that is missing or
+    invalid, one that it meets twice, more than max_docs of them, or more than max_urls locations. Of failures in
+    several rounds the first counts, of those in one round the first by name. There are at most max_docs rounds, each
+    stored.
     """
-    docs = parse_sitemap(crawl).cache()
-    frontier = roots.select("run_id", "url")
-    seen, found, failed = frontier, None, None
-    for _ in range(max_docs):
-        opened = frontier.join(docs, "url", "left").cache()
-        broken = opened.where("not coalesce(valid, false)").select("run_id", F.lit("SITEMAP_INVALID").alias("error_code"))
-        leaves = opened.where("valid and not is_index").select("run_id", F.explode("locations").alias("url"))
-        following = opened.where("valid and is_index").select("run_id", F.explode("locations").alias("url"))
-        every = seen.unionByName(following)
-        over = every.groupBy("run_id").agg(F.count("*").alias("n"), F.count_distinct("url").alias("d")).where((F.col("n") > max_docs) | (F.col("n") > F.col("d"))).select("run_id", F.lit("DISCOVERY_LIMIT_EXCEEDED").alias("error_code"))
-        now_failed = broken.unionByName(over)
-        failed = now_failed if failed is None else failed.unionByName(now_failed)
-        found = leaves if found is None else found.unionByName(leaves)
-        frontier = following.join(now_failed.select("run_id").distinct(), "run_id", "left_anti")
-        seen = every
-        if not frontier.take(1):
+    docs = settled(parse_sitemap(crawl))
+    canonical = E.canonical_url(F.col("url"))
+    sites = roots.select("run_id", E.host(F.col("url")).alias("site"))
+    if hosts is not None:
+        sites = sites.join(hosts.select(F.col("host").alias("site")).distinct().hint("merge"), "site", "left_semi")
+    sites = settled(sites)
+    reached = lambda df: df.join(sites.hint("merge"), "run_id", "left").withColumn("url", F.when(E.host(F.col("url")) == F.col("site"), canonical)).drop("site")
+    none = "run_id long, error_code string, round int"
+    frontier, leaves, failed = reached(roots.select("run_id", "url")), [], crawl.sparkSession.createDataFrame([], none)
+    seen = frontier.where("url is not null")
+    for k in range(max_docs):
+        opened = frontier.join(docs.hint("merge"), "url", "left")
+        if rules is not None:
+            opened = opened.join(robots_filter(frontier.where("url is not null"), rules, agent=agent).hint("merge"), "url", "left")
+        else:
+            opened = opened.withColumn("allowed", F.lit(True))
+        code = F.when(F.col("url").isNull(), "REDIRECT_POLICY_REJECTED").when(~F.col("allowed"), "ROBOTS_DENIED").when(F.col("valid").isNull(), "SITEMAP_UNAVAILABLE").when(~F.col("valid"), "SITEMAP_INVALID")
+        opened = settled(opened.withColumn("error_code", code))
+        inside = opened.where("error_code is null").select("run_id", "is_index", F.explode("locations").alias("url"))
+        listed = settled(reached(inside.withColumnRenamed("url", "given").withColumn("url", F.col("given"))))
+        outside = listed.where("url is null").select("run_id", F.lit("REDIRECT_POLICY_REJECTED").alias("error_code"))
+        following = listed.where("is_index and url is not null").select("run_id", "url")
+        seen = settled(seen.select("run_id", "url").unionByName(following))
+        over = seen.groupBy("run_id").agg(F.count("*").alias("n"), F.count_distinct("url").alias("d")).where((F.col("n") > max_docs) | (F.col("n") > F.col("d"))).select("run_id", F.lit("DISCOVERY_LIMIT_EXCEEDED").alias("error_code"))
+        now = opened.where("error_code is not null").select("run_id", "error_code").unionByName(outside).unionByName(over)
+        failed = settled(failed.unionByName(now.withColumn("round", F.lit(k))))
+        leaves.append(listed.where("not is_index and url is not null").select("run_id", "url"))
+        frontier = settled(following.join(failed.select("run_id").distinct().hint("merge"), "run_id", "left_anti"))
+        if frontier.isEmpty():
             break
-    first = failed.groupBy("run_id").agg(F.min("error_code").alias("error_code"))
-    kept = found.distinct().join(first.select("run_id"), "run_id", "left_anti").withColumn("error_code", F.lit(None).cast("string"))
-    return kept.unionByName(first.select("run_id", F.lit(None).cast("string").alias("url"), "error_code"))
-
+    found = reduce(DataFrame.unionByName, leaves)
+    many = found.groupBy("run_id").count().where(F.col("count") > max_urls).select("run_id", F.lit("DISCOVERY_LIMIT_EXCEEDED").alias("error_code"), F.lit(max_docs).alias("round"))
+    first = settled(failed.unionByName(many).groupBy("run_id").agg(F.min(F.struct("round", "error_code"))["error_code"].alias("error_code")))
+    kept = found.distinct().join(first.select("run_id").hint("merge"), "run_id", "left_anti")
+    if rules is not None:
+        kept = kept.join(robots_filter(kept, rules, agent=agent).where("allowed").select("url").hint("merge"), "url", "left_semi")
+    none_failed = F.lit(None).cast("string")
+    return kept.select("run_id", "url", none_failed.alias("error_code")).unionByName(first.select("run_id", none_failed.alias("url"), "error_code"))

@@ -19,6 +19,16 @@ def extraction_limits(chunks: DataFrame, *, max_chunks: int = 50, max_chars: int
     return per.select("run_id", "n_chunks", "n_chars", "n_bytes", dense.alias("contiguous"), (dense & (F.col("n_chunks") <= max_chunks) & (F.col("n_chars") <= max_chars) & (F.col("n_bytes") <= max_bytes)).alias("eligible"))
 
 
+#: What a prompt reads and writes that grounded claims are asked with.
+INPUT, OUTPUT, VERSION = "grounded-claim-extraction.input", "grounded-claim-extraction.output", 1
+
+
+def grounding_eligibility(runs: DataFrame, prompts: DataFrame) -> DataFrame:
+    """runs: run_id, status, prompt_id. Those that succeeded and whose prompt has exactly the schemas of grounded claims."""
+    made = (F.col("input_schema_key") == INPUT) & (F.col("input_schema_version") == VERSION) & (F.col("output_schema_key") == OUTPUT) & (F.col("output_schema_version") == VERSION)
+    return runs.where("status = 'SUCCEEDED'").join(prompts.where(made).select("prompt_id"), "prompt_id", "left_semi")
+
+
 def grounding_input(chunks: DataFrame, *, max_json_bytes: int = 250_000) -> DataFrame:
     """run_id, canonical JSON of its ordered chunks, its size, and whether that is allowed."""
     one = F.struct(F.col("position"), F.col("chunk_id").alias("source_chunk_id"), F.col("chunk_text").alias("text"))

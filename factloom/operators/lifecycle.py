@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factloom.sources.storage import settled
+
 from .relational import numbered
 
 _REFUSED = "array<struct<seq:bigint,decision:string,reason:string,approval:string,release:string>>"
@@ -33,42 +35,98 @@ def refusal(kind: Column, guard_ok: Column, approval: Column, release: Column, d
     )
 
 
-def release_state(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """decisions: asset, asset_kind, ts, seq, decision, note, guard_ok. State of each asset, and the refused decisions.
+#: Decisions that one row folds.
+BUCKET = 1_000
+_APPROVALS, _RELEASES = ["DRAFT", "APPROVED", "REJECTED"], ["UNRELEASED", "RELEASED", "WITHDRAWN"]
+
+
+def _names(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
+def _moved(kind: Column, state: Column, e: Column) -> Column:
+    """The number of the state (3 * approval + release) that a decision leads to from another."""
+    d = e["decision"]
+    approval, release = F.floor(state / 3).cast("int"), state % 3
+    ok = refusal(kind, e["guard_ok"], F.get(_names(_APPROVALS), approval), F.get(_names(_RELEASES), release), d).isNull()
+    to = F.when(ok & d.isin(_APPROVALS), F.array_position(_names(_APPROVALS), d).cast("int") - 1).otherwise(approval)
+    return (3 * to + F.when(ok & (d == "RELEASE"), 1).when(ok & (d == "WITHDRAW"), 2).otherwise(release)).cast("int")
+
 
-    The order of decisions matters, so each asset's are sorted and folded in one row; an asset with some 10^5 decisions
-    or more belongs into the streaming form, which keeps only its state.
+def _number(approval: Column, release: Column) -> Column:
+    return (3 * (F.array_position(_names(_APPROVALS), approval) - 1) + F.array_position(_names(_RELEASES), release) - 1).cast("int")
+
+
+def _starts(buckets: DataFrame) -> DataFrame:
+    """asset, asset_kind, bucket and start (the number of a state) of every bucket of assets that have several. buckets: with the state `first` that the asset begins in.
+
+    A bucket's decisions map each of the nine states to another; an asset's maps, one a thousand decisions, are chained.
     """
-    events = decisions.groupBy("asset", "asset_kind").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "decision", "note", "guard_ok"))).alias("events"))
+    several = buckets.where("bucket > 0").select("asset", "asset_kind").distinct()
+    own = buckets.join(several.hint("merge"), ["asset", "asset_kind"], "left_semi")
+    every = F.array(*[F.lit(i) for i in range(9)])
+    maps = own.select("asset", "asset_kind", "bucket", "first", F.aggregate("events", every, lambda states, e: F.transform(states, lambda s: _moved(F.col("asset_kind"), s, e))).alias("map"))
+    chains = maps.groupBy("asset", "asset_kind").agg(F.array_sort(F.collect_list(F.struct("bucket", "map"))).alias("maps"), F.min("first").alias("first"))
+    begin = F.struct(F.col("first").alias("at"), F.array().cast("array<int>").alias("out"))
+    walked = F.aggregate("maps", begin, lambda acc, m: F.struct(F.get(m["map"], acc["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    return chains.select("asset", "asset_kind", F.posexplode(walked).alias("bucket", "start"))
+
+
+def release_state(decisions: DataFrame, *, bucket: int = BUCKET, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """decisions: asset, asset_kind, ts, seq, decision, note, guard_ok. State of each asset that they decide on, and the refused decisions.
+
+    The order of decisions matters. An asset's are numbered in order and folded in buckets, so that no row grows with an
+    asset; a later bucket begins in the state that the maps of those before lead to. before: states that earlier
+    decisions led to, in the form that this returns.
+    """
+    nth = F.row_number().over(Window.partitionBy("asset", "asset_kind").orderBy("ts", "seq")) - 1
+    placed = decisions.withColumn("bucket", F.floor(nth / bucket).cast("int"))
+    buckets = settled(placed.groupBy("asset", "asset_kind", "bucket").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "decision", "note", "guard_ok"))).alias("events")))
+    if before is None:
+        buckets = buckets.withColumn("first", F.lit(0))
+    else:
+        known = before.select("asset", "asset_kind", _number(F.col("approval_status"), F.col("release_status")).alias("first"))
+        buckets = settled(buckets.join(known.hint("merge"), ["asset", "asset_kind"], "left").withColumn("first", F.coalesce("first", F.lit(0))))
+    begun = buckets.withColumn("start", F.col("first"))
+    if not buckets.where("bucket > 0").isEmpty():
+        begun = buckets.join(settled(_starts(buckets)).hint("merge"), ["asset", "asset_kind", "bucket"], "left").withColumn("start", F.coalesce("start", "first"))
     when = decisions.schema["ts"].dataType.simpleString()
     start = F.struct(
-        F.lit("DRAFT").alias("approval"), F.lit(None).cast("string").alias("reviewer_note"), F.lit(None).cast(when).alias("decided_at"), F.lit("UNRELEASED").alias("release"),
-        F.lit(None).cast(when).alias("released_at"), F.lit(None).cast(when).alias("withdrawn_at"), F.lit(None).cast("string").alias("release_note"), F.array().cast(_REFUSED).alias("refused"),
+        F.get(_names(_APPROVALS), F.floor(F.col("start") / 3).cast("int")).alias("approval"), F.get(_names(_RELEASES), F.col("start") % 3).alias("release"), F.lit(False).alias("reviewed"), F.lit(None).cast("string").alias("reviewer_note"), F.lit(None).cast(when).alias("decided_at"),
+        F.lit(None).cast(when).alias("released_at"), F.lit(None).cast(when).alias("withdrawn_at"), F.lit(False).alias("noted"), F.lit(None).cast("string").alias("release_note"), F.array().cast(_REFUSED).alias("refused"),
     )
 
     def step(s: Column, e: Column) -> Column:
         d = e["decision"]
         reason = refusal(F.col("asset_kind"), e["guard_ok"], s["approval"], s["release"], d)
         ok = reason.isNull()
-        review, undo = ok & d.isin("DRAFT", "APPROVED", "REJECTED"), ok & (d == "DRAFT")
+        review, undo = ok & d.isin(_APPROVALS), ok & (d == "DRAFT")
         out, back = ok & (d == "RELEASE"), ok & (d == "WITHDRAW")
         no = F.struct(e["seq"].alias("seq"), d.alias("decision"), reason.alias("reason"), s["approval"].alias("approval"), s["release"].alias("release"))
         return F.struct(
             F.when(review, d).otherwise(s["approval"]).alias("approval"),
+            F.when(out, "RELEASED").when(back, "WITHDRAWN").otherwise(s["release"]).alias("release"),
+            (s["reviewed"] | review).alias("reviewed"),
             F.when(undo, None).when(review, e["note"]).otherwise(s["reviewer_note"]).alias("reviewer_note"),
             F.when(undo, None).when(review, e["ts"]).otherwise(s["decided_at"]).alias("decided_at"),
-            F.when(out, "RELEASED").when(back, "WITHDRAWN").otherwise(s["release"]).alias("release"),
             F.when(out, e["ts"]).otherwise(s["released_at"]).alias("released_at"),
             F.when(back, e["ts"]).otherwise(s["withdrawn_at"]).alias("withdrawn_at"),
+            (s["noted"] | out | back).alias("noted"),
             F.when(out | back, e["note"]).otherwise(s["release_note"]).alias("release_note"),
             F.when(ok, s["refused"]).otherwise(F.concat(s["refused"], F.array(no).cast(_REFUSED))).alias("refused"),
         )
 
-    folded = events.select("asset", "asset_kind", F.aggregate("events", start, step).alias("s"))
-    state = folded.select(
-        "asset", "asset_kind", F.col("s.approval").alias("approval_status"), F.col("s.reviewer_note").alias("reviewer_note"), F.col("s.decided_at").alias("decided_at"), F.col("s.release").alias("release_status"),
-        F.col("s.released_at").alias("released_at"), F.col("s.withdrawn_at").alias("withdrawn_at"), F.col("s.release_note").alias("release_note"), F.size("s.refused").cast("long").alias("n_refused"),
+    folded = begun.select("asset", "asset_kind", "bucket", F.aggregate("events", start, step).alias("s"))
+    last = lambda value, where: F.max_by(value, F.when(where, F.col("bucket")))
+    state = folded.groupBy("asset", "asset_kind").agg(
+        last(F.col("s.approval"), F.lit(True)).alias("approval_status"), last(F.struct("s.reviewer_note", "s.decided_at"), F.col("s.reviewed")).alias("review"), last(F.col("s.release"), F.lit(True)).alias("release_status"),
+        F.max("s.released_at").alias("released_at"), F.max("s.withdrawn_at").alias("withdrawn_at"), last(F.struct("s.release_note"), F.col("s.noted")).alias("noted"), F.sum(F.size("s.refused")).cast("long").alias("n_refused"),
     )
+    if before is not None:
+        old = before.select("asset", "asset_kind", F.struct("reviewer_note", "decided_at").alias("_review"), F.col("released_at").alias("_out"), F.col("withdrawn_at").alias("_back"), F.struct("release_note").alias("_noted"), F.col("n_refused").alias("_n"))
+        both = state.join(old.hint("merge"), ["asset", "asset_kind"], "left")
+        state = both.withColumns({"review": F.coalesce("review", "_review"), "released_at": F.coalesce("released_at", "_out"), "withdrawn_at": F.coalesce("withdrawn_at", "_back"), "noted": F.coalesce("noted", "_noted"), "n_refused": F.col("n_refused") + F.coalesce("_n", F.lit(0))})
+    state = state.select("asset", "asset_kind", "approval_status", F.col("review.reviewer_note").alias("reviewer_note"), F.col("review.decided_at").alias("decided_at"), "release_status", "released_at", "withdrawn_at", F.col("noted.release_note").alias("release_note"), "n_refused")
     refused = folded.select("asset", "asset_kind", F.explode("s.refused").alias("r")).select("asset", "asset_kind", "r.*")
     return state, refused
 

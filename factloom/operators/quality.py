@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def audit_checks(df: DataFrame, rules: dict[str, str]) -> DataFrame:
     """rule, violations: all rules in one pass over the table. A rule that gives null holds, as in SQL."""
     counts = df.agg(*[F.count_if(~F.coalesce(F.expr(r), F.lit(True))).alias(name) for name, r in rules.items()])
-    return counts.select(F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in rules]), F.array(*rules))).alias("rule", "violations"))
+    return counts.select(F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in rules]), F.array(*[F.col(f"`{n}`") for n in rules]))).alias("rule", "violations"))
 
 
 def audit_unique(df: DataFrame, keys: dict[str, Sequence[str]]) -> DataFrame:
@@ -27,7 +27,7 @@ def audit_unique(df: DataFrame, keys: dict[str, Sequence[str]]) -> DataFrame:
 
 def audit_foreign_keys(child: DataFrame, parent: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Rows of child that refer to no parent. columns: child's to parent's. A null in any of them passes."""
-    keys = parent.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(columns.values())]).distinct()
+    keys = parent.select(*[F.col(p).alias(f"_p{i}") for i, p in enumerate(columns.values())])
     on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_p{i}") for i, c in enumerate(columns)])
     return child.dropna(subset=list(columns)).join(keys, on, "left_anti")
 
@@ -36,29 +36,30 @@ def propagate_deletes(tables: dict[str, tuple[DataFrame, str]], references: Sequ
     """table, id, action of a deletion of seeds (id).
 
     tables: name to (frame, id column); references: (child, column, parent, CASCADE | SET_NULL | RESTRICT), parents first.
-    A seed that a RESTRICT reference uses stays (BLOCKED); of the others, children go with them or lose the reference.
+    What each seed takes with it along CASCADE is found first; a seed that so reaches a row which a RESTRICT reference
+    uses stays, with all that it reaches (BLOCKED). What the others reach goes, and where they go references are cleared.
     The references form a known acyclic graph, so this is one join a reference.
     """
-    seeds = seeds.select("id").distinct()
-    blocked = seeds.limit(0)
+    reached = {seed_table: seeds.select(F.col("id").alias("seed"), "id").distinct()}
+
+    def users(child: str, column: str, parent: str) -> DataFrame:
+        """seed and id of the rows of child that refer to what a seed reaches in parent."""
+        frame, key = tables[child]
+        refs = frame.select(F.col(key).alias("id"), F.col(column).alias("_ref")).where("_ref is not null")
+        return refs.join(reached[parent].withColumnRenamed("id", "_ref"), "_ref").select("seed", "id").distinct()
+
     for child, column, parent, action in references:
-        if parent == seed_table and action == "RESTRICT":
-            used = tables[child][0].select(F.col(column).alias("id")).where("id is not null")
-            blocked = blocked.unionByName(seeds.join(used, "id", "left_semi")).distinct()
-    gone = {seed_table: seeds.join(blocked, "id", "left_anti")}
-    out = [blocked.select(F.lit(seed_table).alias("table"), F.col("id").cast("string").alias("id"), F.lit("BLOCKED").alias("action"))]
-    cleared = []
+        if action == "CASCADE" and parent in reached:
+            hit = users(child, column, parent)
+            reached[child] = reached[child].unionByName(hit).distinct() if child in reached else hit
+    stops = [users(child, column, parent).select("seed") for child, column, parent, action in references if action == "RESTRICT" and parent in reached]
+    blocked = reduce(DataFrame.unionByName, stops, seeds.limit(0).select(F.col("id").alias("seed"))).distinct()
+    out = [blocked.select(F.lit(seed_table).alias("table"), F.col("seed").cast("string").alias("id"), F.lit("BLOCKED").alias("action"))]
+    going = {name: rows.join(blocked, "seed", "left_anti").select("id").distinct() for name, rows in reached.items()}
+    out += [rows.select(F.lit(name).alias("table"), F.col("id").cast("string").alias("id"), F.lit("DELETE").alias("action")) for name, rows in going.items()]
     for child, column, parent, action in references:
-        if parent not in gone or action == "RESTRICT":
-            continue
-        frame, key = tables[child]
-        hit = frame.select(F.col(key).alias("id"), F.col(column).alias("_ref")).join(gone[parent].select(F.col("id").alias("_ref")), "_ref", "left_semi").select("id").distinct()
-        if action == "CASCADE":
-            gone[child] = gone[child].unionByName(hit).distinct() if child in gone else hit
-        else:
-            cleared.append((child, hit))
-    out += [ids.select(F.lit(name).alias("table"), F.col("id").cast("string").alias("id"), F.lit("DELETE").alias("action")) for name, ids in gone.items()]
-    for child, hit in cleared:
-        left = hit.join(gone[child], "id", "left_anti") if child in gone else hit
-        out.append(left.select(F.lit(child).alias("table"), F.col("id").cast("string").alias("id"), F.lit("SET_NULL").alias("action")))
+        if action == "SET_NULL" and parent in reached:
+            left = users(child, column, parent).join(blocked, "seed", "left_anti").select("id").distinct()
+            left = left.join(going[child], "id", "left_anti") if child in going else left
+            out.append(left.select(F.lit(child).alias("table"), F.col("id").cast("string").alias("id"), F.lit("SET_NULL").alias("action")))
     return reduce(DataFrame.unionByName, out)

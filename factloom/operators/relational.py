@@ -56,6 +56,11 @@ def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def pending(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
+    """Rows of work whose key has no row in done yet."""
+    return work.join(done.select(key), key, "left_anti")
+
+
 def first_failure(failures: DataFrame, key: str, order: str, code: str = "code") -> DataFrame:
     """The code of the first failure of each key."""
     return failures.groupBy(key).agg(F.min_by(code, F.struct(order, code)).alias(code))

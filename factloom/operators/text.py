@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions import exprs as E
+from factloom.sources.storage import settled
 
 SIZE, OVERLAP = 1000, 100
 
@@ -23,73 +26,89 @@ BLOCKS = frozenset("address article aside blockquote br dd div dl dt figcaption
 _ERROR = "\0"
 
 
-def _ends(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
-    """Windows of at most `size` characters that end after the last paragraph, line or word boundary of their second half."""
-    begin, n = 0, len(text)
-    while begin < n:
-        limit = min(begin + size, n)
-        end = limit
-        if limit < n:
-            half = begin + size // 2
-            for mark in ("\n\n", "\n", " "):
-                found = text.rfind(mark, half, limit)
-                if found >= 0:
-                    end = found + len(mark)
-                    break
-            if not text[begin:end].strip():
-                end = limit
-        yield begin, end
-        if end == n:
-            return
-        begin = end - overlap if end - overlap > begin else end
+#: What a chunk may end after, the best first.
+_MARKS = [re.compile("(?=\n\n)"), re.compile("\n"), re.compile(" ")]
+_WIDTHS = [2, 1, 1]
+_INK = re.compile(r"\S")
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType())])))
-def chunk_offsets(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"char_start": a, "char_end": b} for a, b in _ends(t, SIZE, OVERLAP)] if t else [])
+def _windows(text: str, size: int, overlap: int) -> list[dict]:
+    """Overlapping ranges of at most `size` characters over a whole text.
 
+    Where each mark stands is found once; a range that does not reach the end of the text stops after the last mark of the best
+    kind that lies in its second half, unless only white space stands before that mark.
+    """
+    if len(text) <= size:
+        return [{"char_start": 0, "char_end": len(text)}] if text else []
+    marks = [[m.start() for m in mark.finditer(text)] for mark in _MARKS]
+
+    def stop(begin: int) -> int:
+        hard = begin + size
+        if hard >= len(text):
+            return len(text)
+        for places, width in zip(marks, _WIDTHS, strict=True):
+            last = bisect_right(places, hard - width) - 1
+            if last >= 0 and places[last] >= begin + size // 2:
+                soft = places[last] + width
+                return soft if _INK.search(text, begin, soft) else hard
+        return hard
+
+    out = [{"char_start": 0, "char_end": stop(0)}]
+    while out[-1]["char_end"] < len(text):
+        begin = max(out[-1]["char_end"] - overlap, 0)
+        begin = begin if begin > out[-1]["char_start"] else out[-1]["char_end"]
+        out.append({"char_start": begin, "char_end": stop(begin)})
+    return out
 
-def chunk_text(docs: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """id, position, char_start, char_end, text and sha256 of each chunk; Python gives offsets only. Null and empty texts have no chunks."""
-    placed = docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.posexplode(chunk_offsets(F.col(text_col))).alias("position", "_at"))
-    cut = placed.select(id_col, "position", F.col("_at.char_start").alias("char_start"), F.col("_at.char_end").alias("char_end"), F.expr("substring(_text, _at.char_start + 1, _at.char_end - _at.char_start)").alias("text"))
-    return cut.withColumn("sha256", F.sha2("text", 256))
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType())])))
+def chunk_offsets(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: _windows(t or "", SIZE, OVERLAP))
 
-class _Visible(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.depth = 0
 
-    def _line(self, tag: str) -> None:
-        if self.depth == 0 and tag in BLOCKS:
-            self.out.append("\n")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("char_start", T.IntegerType()), T.StructField("char_end", T.IntegerType()), T.StructField("text", T.StringType())])))
+def _pieces(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: [{**w, "text": t[w["char_start"] : w["char_end"]]} for w in _windows(t or "", SIZE, OVERLAP)])
 
-    def handle_starttag(self, tag, attrs):
-        if tag in HIDDEN:
-            self.depth += 1
-        self._line(tag)
 
-    def handle_startendtag(self, tag, attrs):
-        self._line(tag)
+def chunk_text(docs: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """id, position, char_start, char_end, text and sha256 of each chunk. Null and empty texts have no chunks."""
+    placed = docs.select(F.col(id_col), F.posexplode(_pieces(F.col(text_col))).alias("position", "_at"))
+    return placed.select(id_col, "position", F.col("_at.char_start").alias("char_start"), F.col("_at.char_end").alias("char_end"), F.col("_at.text").alias("text"), F.sha2("_at.text", 256).alias("sha256"))
 
-    def handle_endtag(self, tag):
-        if tag in HIDDEN and self.depth:
-            self.depth -= 1
-        else:
-            self._line(tag)
 
-    def handle_data(self, data):
-        if self.depth == 0:
-            self.out.append(data)
+class _Events(HTMLParser):
+    """What a document consists of, in order: (kind, tag or text), kind being open, close, empty or text."""
+
+    def __init__(self, text: str) -> None:
+        super().__init__(convert_charrefs=True)
+        self.seen: list[tuple[str, str]] = []
+        self.feed(text)
+        self.close()
+
+    handle_starttag = lambda self, tag, attrs: self.seen.append(("open", tag))
+    handle_startendtag = lambda self, tag, attrs: self.seen.append(("empty", tag))
+    handle_endtag = lambda self, tag: self.seen.append(("close", tag))
+    handle_data = lambda self, data: self.seen.append(("text", data))
+
+
+def _shown(events: list[tuple[str, str]]) -> Iterator[str]:
+    """The text outside hidden elements, with a line end where an element that makes a line begins or ends."""
+    inside: list[str] = []
+    for kind, value in events:
+        hides = kind in ("open", "close") and value in HIDDEN
+        if hides and kind == "open":
+            inside.append(value)
+        elif hides and inside:
+            inside.pop()
+        elif not inside and kind == "text":
+            yield value
+        elif not inside and value in BLOCKS:
+            yield "\n"
 
 
 def _html(text: str) -> str:
-    parser = _Visible()
-    parser.feed(text)
-    parser.close()
-    return "".join(parser.out)
+    return "".join(_shown(_Events(text).seen))
 
 
 def _leaves(value) -> Iterator[str]:
@@ -112,23 +131,23 @@ def _xml(text: str) -> str:
     return "".join(ElementTree.fromstring(text).itertext())
 
 
-def _parsed(parse) -> F.pandas_udf:
-    def each(text):
-        if text is None:
-            return None
-        try:
-            return parse(text)
-        except (ValueError, ElementTree.ParseError, AssertionError, RecursionError):
-            return _ERROR
+_PARSERS = {"text/plain": lambda text: text, "text/html": _html, "application/json": _json, "application/xml": _xml, "text/xml": _xml}
+
 
-    @F.pandas_udf(T.StringType())
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(each)
+def _parse(kind: str, text: str | None) -> str | None:
+    if text is None or kind not in _PARSERS:
+        return None
+    try:
+        return _PARSERS[kind](text)
+    except (ValueError, ElementTree.ParseError, AssertionError, RecursionError):
+        return _ERROR
 
-    return run
 
+@F.pandas_udf(T.StringType())
+def parsed_text(kinds: pd.Series, texts: pd.Series) -> pd.Series:
+    """The text of each document by the parser of its kind; null for other kinds, a zero character where it can't be read."""
+    return pd.Series([_parse(k, t) for k, t in zip(kinds, texts, strict=True)], dtype=object)
 
-html_text, json_text, xml_text = _parsed(_html), _parsed(_json), _parsed(_xml)
 
 _SCHEMA_PART = r"(?i)<!\s*(DOCTYPE|ENTITY)\b"
 
@@ -141,38 +160,46 @@ def decoded_utf8(content: Column) -> Column:
 def extract_snapshots(snapshots: DataFrame, *, max_bytes: int = 5_242_880, max_chars: int = 2_000_000, max_chunks: int = 5_000) -> tuple[DataFrame, DataFrame]:
     """snapshots: snapshot_id, content_type, content (bytes). Runs (status, error_code, text, sizes) and chunks of those that succeeded.
 
-    Each kind has a branch of its own, so that a parser sees only its documents, and those of allowed size only.
+    The snapshots are read and parsed once: what came of each, its chunks included, is stored in the shared folder, and
+    both tables are read from there. A parser sees only documents of its kind and of allowed size.
     """
     sized = snapshots.select("snapshot_id", "content_type", "content", F.octet_length("content").alias("n_bytes"))
     decoded = sized.withColumn("raw", F.when(F.col("n_bytes") <= max_bytes, decoded_utf8(F.col("content")))).drop("content")
-    xml = F.when(F.col("raw").rlike(_SCHEMA_PART), F.lit(_ERROR)).otherwise(xml_text("raw"))
-    kinds = {"text/plain": F.col("raw"), "text/html": html_text("raw"), "application/json": json_text("raw")}
-    routes = [decoded.where(F.col("content_type") == k).withColumn("parsed", c) for k, c in kinds.items()]
-    routes.append(decoded.where(F.col("content_type").isin("application/xml", "text/xml")).withColumn("parsed", xml))
-    known = [*kinds, "application/xml", "text/xml"]
-    routes.append(decoded.where(~F.coalesce(F.col("content_type").isin(known), F.lit(False))).withColumn("parsed", F.lit(None).cast("string")))
-    union = routes[0]
-    for r in routes[1:]:
-        union = union.unionByName(r)
-    text = union.withColumn("text", F.when(F.col("parsed") != _ERROR, E.normalized_text(F.col("parsed"))))
-    n_chunks = F.when(F.length("text") <= max_chars, F.size(chunk_offsets("text"))).otherwise(0)
-    text = text.withColumn("n_chunks", n_chunks)
+    known = F.coalesce(F.col("content_type").isin(list(_PARSERS)), F.lit(False))
+    refused = F.col("content_type").isin("application/xml", "text/xml") & F.col("raw").rlike(_SCHEMA_PART)
+    parsed = decoded.withColumn("parsed", parsed_text("content_type", F.when(~F.coalesce(refused, F.lit(False)), F.col("raw"))))
+    parsed = parsed.withColumn("parsed", F.when(refused, F.lit(_ERROR)).otherwise(F.col("parsed")))
+    text = parsed.withColumn("text", F.when(F.col("parsed") != _ERROR, E.normalized_text(F.col("parsed"))))
+    text = text.withColumn("chunks", F.when(F.length("text") <= max_chars, _pieces("text")))
     code = (
         F.when(F.col("n_bytes") > max_bytes, "EXTRACTION_INPUT_TOO_LARGE")
-        .when(~F.coalesce(F.col("content_type").isin(known), F.lit(False)), "EXTRACTION_UNSUPPORTED_CONTENT_TYPE")
+        .when(~known, "EXTRACTION_UNSUPPORTED_CONTENT_TYPE")
         .when(F.col("raw").isNull(), "EXTRACTION_INVALID_ENCODING")
         .when(F.col("parsed") == _ERROR, "EXTRACTION_INVALID_DOCUMENT")
         .when(F.col("text") == "", "EXTRACTION_EMPTY_TEXT")
         .when(F.length("text") > max_chars, "EXTRACTION_TEXT_TOO_LARGE")
-        .when(F.col("n_chunks") > max_chunks, "EXTRACTION_CHUNK_LIMIT")
+        .when(F.size("chunks") > max_chunks, "EXTRACTION_CHUNK_LIMIT")
     )
     coded = text.withColumn("error_code", code)
     done = F.col("error_code").isNull()
-    runs = coded.select(
-        "snapshot_id", "content_type", F.when(done, "SUCCEEDED").otherwise("FAILED").alias("status"), "error_code", F.when(done, F.col("text")).alias("text"),
-        F.when(done, F.length("text")).alias("text_char_count"), F.when(done, F.sha2("text", 256)).alias("text_sha256"),
+    stored = settled(
+        coded.select(
+            "snapshot_id", "content_type", F.when(done, "SUCCEEDED").otherwise("FAILED").alias("status"), "error_code", F.when(done, F.col("text")).alias("text"),
+            F.when(done, F.length("text")).alias("text_char_count"), F.when(done, F.sha2("text", 256)).alias("text_sha256"), F.when(done, F.col("chunks")).alias("chunks"),
+        )
     )
-    return runs, chunk_text(runs.where("status = 'SUCCEEDED'"), id_col="snapshot_id")
+    chunks = stored.select("snapshot_id", F.posexplode("chunks").alias("position", "c"))
+    return stored.drop("chunks"), chunks.select("snapshot_id", "position", "c.char_start", "c.char_end", "c.text", F.sha2("c.text", 256).alias("sha256"))
+
+
+def store_extraction(snapshots: DataFrame, folder: str, **limits: int) -> tuple[DataFrame, DataFrame]:
+    """Write runs and chunks under a folder, from one pass over the snapshots, and read them back. A failed run has no chunks; a repeated call replaces both."""
+    spark = snapshots.sparkSession
+    out = []
+    for name, df in zip(("runs", "chunks"), extract_snapshots(snapshots, **limits), strict=True):
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        out.append(spark.read.schema(df.schema).parquet(f"{folder}/{name}"))
+    return out[0], out[1]
 
 
 def chunk_integrity(chunks: DataFrame, texts: DataFrame, *, size: int = SIZE) -> DataFrame:

@@ -82,9 +82,8 @@ def topk_candidates(t) -> DataFrame:
 
 @query(f"SELECT query_id, url, score FROM {_SCORED} s WHERE score > 0")
 def score_order(t) -> DataFrame:
-    scored = t("urls").select("url").distinct().crossJoin(F.broadcast(t("queries")))
-    scored = scored.select("query_id", "url", E.relevance_score(E.search_tokens(C("query")), C("url")).cast("long").alias("score"))
-    return scored.where("score > 0").orderBy("query_id", F.desc("score"), "url")
+    scored = dc.scored_urls(t("urls"), t("queries")).select("query_id", "url", C("score").cast("long").alias("score"))
+    return scored.orderBy("query_id", F.desc("score"), "url")
 
 
 @query("SELECT run_id, candidates, urls, CASE WHEN candidates > 30 THEN 'CANDIDATES_LIMIT' WHEN urls > 20 THEN 'URLS_LIMIT' END AS error_code FROM (SELECT run_id, count(*) AS candidates, count(DISTINCT location) AS urls FROM {candidates} GROUP BY run_id) x")
@@ -114,27 +113,46 @@ def ingest_fetch_results(t) -> DataFrame:
     return ok.unionByName(rejects.select("result_id", "reason", F.lit(None).cast("long").alias("byte_size"), F.lit(None).cast("string").alias("sha256")))
 
 
-def _sitemaps(t) -> DataFrame:
-    """A sitemap a host over its pages' URLs, an index a group of hosts, and broken ones."""
+_SECURE = "regexp_replace(url, '^http://', 'https://')"
+_PLACED = f"(SELECT page_id, host, page_id // 1000 AS part, url, '<url><loc> ' || replace(url, '&', '&amp;') || '</loc></url>' AS loc FROM (SELECT page_id, url, {_H} AS host FROM (SELECT page_id, {_SECURE} AS url FROM {{urls}}) a) b WHERE {_CANONICAL} IS NOT NULL)"
+
+
+def _placed(t) -> DataFrame:
+    """Pages with a URL that a site may list, each in a part of its host's sitemap: a part holds the pages of a thousand ids."""
+    urls = t("urls").select("page_id", F.regexp_replace("url", "^http://", "https://").alias("url"))
     loc = F.concat(F.lit("<url><loc> "), F.replace(C("url"), F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
-    hosts = t("urls").select(E.host(C("url")).alias("host"), loc.alias("loc")).groupBy("host").agg(F.array_join(F.array_sort(F.collect_list("loc")), "").alias("locs"))
+    fine = urls.where(E.canonical_url(C("url")).isNotNull())
+    return fine.select("page_id", E.host(C("url")).alias("host"), F.floor(C("page_id") / 1000).alias("part"), "url", loc.alias("loc"))
+
+
+def _sitemaps(t) -> DataFrame:
+    """A sitemap a host and part, an index a host, and broken ones for hosts of some lengths."""
+    parts = _placed(t).groupBy("host", "part").agg(F.array_join(F.array_sort(F.collect_list("loc")), "").alias("locs"))
     own = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), "locs", F.lit("</urlset>"))
-    body = F.when(F.length("host") % 7 == 0, F.lit("<urlset>")).otherwise(own)
-    leaves = hosts.select(F.concat(F.lit("https://"), "host", F.lit("/s.xml")).alias("url"), body.alias("body"), F.pmod(F.crc32(C("host").cast("binary")), F.lit(9)).alias("part"))
+    body = F.when(F.length("host") % 6 == 0, F.lit("<urlset>")).otherwise(own)
+    leaves = parts.select("host", "part", F.concat(F.lit("https://"), "host", F.lit("/s/"), C("part").cast("string"), F.lit(".xml")).alias("url"), body.alias("body"))
     entry = F.concat(F.lit("<sitemap><loc>"), "url", F.lit("</loc></sitemap>"))
-    index = leaves.groupBy("part").agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.array_sort(F.collect_list(entry)), ""), F.lit("</sitemapindex>")).alias("body"))
-    return leaves.select("url", "body").unionByName(index.select(F.concat(F.lit("https://index.example.org/"), C("part").cast("string")).alias("url"), "body"))
+    index = leaves.groupBy("host").agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.array_sort(F.collect_list(entry)), ""), F.lit("</sitemapindex>")).alias("body"))
+    return leaves.select("url", "body").unionByName(index.select(F.concat(F.lit("https://"), "host", F.lit("/s.xml")).alias("url"), "body"))
 
 
-@query()
+@query(
+    f"""SELECT 'https://' || host || '/s/' || part || '.xml' AS url, length(host) % 6 <> 0 AS valid, CASE WHEN length(host) % 6 <> 0 THEN FALSE END AS is_index, CASE WHEN length(host) % 6 <> 0 THEN string_agg(url, ' ' ORDER BY loc) END AS locations FROM {_PLACED} p GROUP BY host, part
+ UNION ALL SELECT 'https://' || host || '/s.xml', TRUE, TRUE, string_agg(DISTINCT 'https://' || host || '/s/' || part || '.xml', ' ' ORDER BY 'https://' || host || '/s/' || part || '.xml') FROM {_PLACED} q GROUP BY host"""
+)
 def parse_sitemap(t) -> DataFrame:
     return dc.parse_sitemap(_sitemaps(t)).withColumn("locations", F.array_join("locations", " "))
 
 
-@query()
-def expand_sitemaps(t) -> DataFrame:
-    crawl = _sitemaps(t)
-    roots = crawl.where("url like 'https://index.example.org/%'").select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("run_id"), "url")
-    return dc.expand_sitemaps(crawl, roots, max_docs=20)
+_RUNS = f"(SELECT host, min(page_id) AS run_id, count(DISTINCT part) AS parts, count(*) AS n FROM {_PLACED} p GROUP BY host)"
+_LISTED = f"(SELECT DISTINCT host, {_CANONICAL} AS url FROM {_PLACED} p)"
+_ROOTS = f"(SELECT 'https://' || host || '/s.xml' AS url FROM {_RUNS} r UNION ALL SELECT DISTINCT 'https://' || host || '/s/' || part || '.xml' FROM {_PLACED} p)"
+_JUDGED = f"""(SELECT r.run_id, r.host, CASE WHEN r.host NOT IN (SELECT host FROM {{allowed_hosts}}) THEN 'REDIRECT_POLICY_REJECTED' WHEN NOT coalesce(a.allowed, TRUE) THEN 'ROBOTS_DENIED' WHEN r.parts > 19 THEN 'DISCOVERY_LIMIT_EXCEEDED' WHEN d.denied THEN 'ROBOTS_DENIED' WHEN length(r.host) % 6 = 0 THEN 'SITEMAP_INVALID' WHEN r.n > 1000 THEN 'DISCOVERY_LIMIT_EXCEEDED' END AS code FROM {_RUNS} r
+ LEFT JOIN {_allowed(_ROOTS)} a ON a.url = 'https://' || r.host || '/s.xml' LEFT JOIN (SELECT regexp_extract(url, '://([^/]*)', 1) AS host, bool_or(NOT allowed) AS denied FROM {_allowed(_ROOTS)} b WHERE url LIKE '%/s/%' GROUP BY 1) d ON d.host = r.host)"""
 
 
+@query(f"SELECT j.run_id, l.url, CAST(NULL AS VARCHAR) AS error_code FROM {_JUDGED} j JOIN {_LISTED} l ON l.host = j.host JOIN {_allowed(_LISTED)} a ON a.url = l.url AND a.allowed WHERE j.code IS NULL UNION ALL SELECT run_id, NULL, code FROM {_JUDGED} j WHERE code IS NOT NULL")
+def expand_sitemaps(t) -> DataFrame:
+    """A run a host, from its index on, with the allow-list and robots rules in force."""
+    roots = _placed(t).groupBy("host").agg(F.min("page_id").alias("run_id")).select("run_id", F.concat(F.lit("https://"), "host", F.lit("/s.xml")).alias("url"))
+    return dc.expand_sitemaps(_sitemaps(t), roots, hosts=t("allowed_hosts"), rules=dc.parse_robots(t("robots"))[0], agent=AGENT)

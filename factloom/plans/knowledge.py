@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.operators import curation, priority
@@ -39,7 +39,7 @@ def paper_question_outer(t) -> DataFrame:
     return priority.paper_question_outer(t("papers"), t("questions"), 17)
 
 
-@query("SELECT e.exam_id, p.p_partkey AS topic_id, s.topic_id IS NOT NULL AS covered FROM {part} p CROSS JOIN {exams} e LEFT JOIN {syllabus_topics} s ON s.syllabus_id = e.exam_id AND s.topic_id = p.p_partkey")
+@query("SELECT x.exam_id, x.topic_id, s.topic_id IS NOT NULL AS covered FROM {syllabus_pairs} x LEFT JOIN {syllabus_topics} s ON s.syllabus_id = x.exam_id AND s.topic_id = x.topic_id")
 def syllabus_coverage(t) -> DataFrame:
     pairs = t("syllabus_pairs").select("exam_id", "topic_id")
     covered = t("syllabus_topics").select(F.col("syllabus_id").alias("exam_id"), "topic_id", F.lit(True).alias("covered"))
@@ -169,16 +169,28 @@ def verification_view(t) -> DataFrame:
     return found.select("verification_id", "claim_id", "statement", "verdict", F.array_join(listed, ",").alias("evidence"))
 
 
-@query("SELECT c.candidate_id, c.location FROM {candidates} c WHERE c.approval_status = 'APPROVED' AND NOT EXISTS (SELECT 1 FROM {promotions} p WHERE p.candidate_id = c.candidate_id)")
+@query(
+    """SELECT 'candidate' AS kind, candidate_id AS id FROM {candidates} c WHERE c.approval_status = 'APPROVED' AND NOT EXISTS (SELECT 1 FROM {promotions} p WHERE p.candidate_id = c.candidate_id)
+ UNION ALL SELECT 'snapshot', doc_id FROM {documents} d WHERE NOT EXISTS (SELECT 1 FROM {chunks} k WHERE k.run_id = d.doc_id)
+ UNION ALL SELECT 'package', package_id FROM {packages} p WHERE release_status = 'RELEASED' AND NOT EXISTS (SELECT 1 FROM {stored_documents} s WHERE s.package_id = p.package_id)"""
+)
 def pending_work(t) -> DataFrame:
-    return t("candidates").where("approval_status = 'APPROVED'").join(t("promotions"), "candidate_id", "left_anti").select("candidate_id", "location")
+    """Approved candidates without promotion, snapshots without extraction, released packages without document."""
+    gates = [
+        ("candidate", rel.pending(t("candidates").where("approval_status = 'APPROVED'"), t("promotions"), "candidate_id"), "candidate_id"),
+        ("snapshot", rel.pending(t("documents"), t("chunks").select(F.col("run_id").alias("doc_id")), "doc_id"), "doc_id"),
+        ("package", rel.pending(t("packages").where("release_status = 'RELEASED'"), t("stored_documents"), "package_id"), "package_id"),
+    ]
+    out = [df.select(F.lit(kind).alias("kind"), F.col(key).alias("id")) for kind, df, key in gates]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-@query("SELECT n.note_id, n.topic_id, c.claim_id, c.topic_id AS claim_topic_id FROM {notes} n JOIN {note_claims} l ON l.note_id = n.note_id JOIN {claims} c ON c.claim_id = l.claim_id WHERE c.topic_id <> n.topic_id")
+@query(
+    """SELECT n.note_id, n.topic_id, 'claim' AS kind, c.claim_id AS other_id, c.topic_id AS other_topic_id FROM {notes} n JOIN {note_claims} l ON l.note_id = n.note_id JOIN {claims} c ON c.claim_id = l.claim_id WHERE c.topic_id <> n.topic_id
+ UNION ALL SELECT n.note_id, n.topic_id, 'version', v.content_version_id, v.topic_id FROM {notes} n JOIN {content_versions} v ON v.content_version_id = n.content_version_id WHERE v.topic_id <> n.topic_id"""
+)
 def same_topic_check(t) -> DataFrame:
-    claims = t("claims").select("claim_id", F.col("topic_id").alias("claim_topic_id"))
-    linked = t("notes").select("note_id", "topic_id").join(t("note_claims"), "note_id").join(claims, "claim_id")
-    return linked.where("claim_topic_id <> topic_id").select("note_id", "topic_id", "claim_id", "claim_topic_id")
+    return curation.topic_mismatches(t("notes"), t("note_claims"), t("claims"), t("content_versions"))
 
 
 @query("SELECT claim_id, evidence_id, count(*) AS n FROM (SELECT * FROM {claim_evidence} UNION ALL SELECT claim_id, evidence_id FROM {claim_evidence} WHERE claim_id % 3 = 0) x GROUP BY claim_id, evidence_id HAVING count(*) > 1")
@@ -193,11 +205,12 @@ def latest_verification(t) -> DataFrame:
 
 
 @query(
-    """SELECT t.topic_id, CASE WHEN count(c.claim_id) > 0 THEN '# ' || t.name || chr(10) || chr(10) || string_agg('- ' || c.statement, chr(10) ORDER BY c.claim_id) END AS markdown, CASE WHEN count(c.claim_id) = 0 THEN 'NO_APPROVED_CLAIMS' END AS conflict
- FROM {topics} t LEFT JOIN {claims} c ON c.topic_id = t.topic_id AND c.approval_status = 'APPROVED' AND c.claim_id % 50 = 0 GROUP BY t.topic_id, t.name"""
+    """SELECT t.topic_id, p.part, CASE WHEN p.part = f.first THEN '# ' || t.name || chr(10) || chr(10) ELSE '' END || p.lines AS markdown, CASE WHEN p.part IS NULL THEN 'NO_APPROVED_CLAIMS' END AS conflict FROM {topics} t
+ LEFT JOIN (SELECT topic_id, claim_id // 1000 AS part, string_agg('- ' || statement, chr(10) ORDER BY claim_id) AS lines FROM {claims} WHERE approval_status = 'APPROVED' GROUP BY topic_id, claim_id // 1000) p ON p.topic_id = t.topic_id
+ LEFT JOIN (SELECT topic_id, min(claim_id // 1000) AS first FROM {claims} WHERE approval_status = 'APPROVED' GROUP BY topic_id) f ON f.topic_id = t.topic_id"""
 )
 def note_markdown(t) -> DataFrame:
-    return curation.note_markdown(t("topics"), t("claims").where("claim_id % 50 = 0 and approval_status = 'APPROVED'"))
+    return curation.note_markdown(t("topics"), t("claims").where("approval_status = 'APPROVED'"))
 
 
 _DOCUMENTS = """SELECT p.package_id, 'Content Package ' || p.package_id AS title, CASE WHEN b.bad IS NULL THEN m.markdown END AS markdown, CASE WHEN b.bad IS NULL THEN sha256(m.markdown) END AS sha256, b.bad AS error FROM {packages} p
@@ -232,9 +245,9 @@ def assign_positions(t) -> DataFrame:
     return rel.numbered(t("syllabus_topics"), "syllabus_id", ["topic_id"])
 
 
-@query("SELECT paper_id, exam_id, year FROM (SELECT *, row_number() OVER (PARTITION BY exam_id, year ORDER BY paper_id DESC) AS r FROM {papers}) x WHERE r = 1")
+@query("SELECT syllabus_id, topic_id, max(CASE WHEN version > 0 THEN version END) AS version, count(*) AS n_versions, count(*) FILTER (WHERE version <= 0 OR n > 1) AS n_invalid FROM (SELECT syllabus_id, topic_id, version, count(*) AS n FROM {version_log} GROUP BY ALL) x GROUP BY syllabus_id, topic_id")
 def content_version_sequence(t) -> DataFrame:
-    return t("papers").withColumn("r", F.row_number().over(Window.partitionBy("exam_id", "year").orderBy(F.desc("paper_id")))).where("r = 1").drop("r")
+    return curation.current_versions(t("version_log"))
 
 
 @query("SELECT claim_id, topic_id, statement FROM {claims}")

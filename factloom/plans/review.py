@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import audit, grounding, lifecycle, quality
+from factloom.operators import audit, contracts, curation, grounding, lifecycle, quality
 from factloom.operators import relational as rel
+from factloom.sources import rules, schemas
 from factloom.sources.schemas import read_table
 
 from .registry import query
@@ -17,10 +21,10 @@ C = F.col
 
 
 @query(
-    "SELECT run_id, n_chunks, n_chars, n_bytes, contiguous, contiguous AND n_chunks <= 50 AND n_chars <= 600 AND n_bytes <= 700 AS eligible FROM (SELECT run_id, count(*) AS n_chunks, CAST(sum(length(chunk_text)) AS BIGINT) AS n_chars, CAST(sum(strlen(chunk_text)) AS BIGINT) AS n_bytes, max(position) = count(*) - 1 AND count(DISTINCT position) = count(*) AS contiguous FROM {chunks} GROUP BY run_id) x"
+    "SELECT run_id, n_chunks, n_chars, n_bytes, contiguous, contiguous AND n_chunks <= 50 AND n_chars <= 50000 AND n_bytes <= 200000 AS eligible FROM (SELECT run_id, count(*) AS n_chunks, CAST(sum(length(chunk_text)) AS BIGINT) AS n_chars, CAST(sum(strlen(chunk_text)) AS BIGINT) AS n_bytes, max(position) = count(*) - 1 AND count(DISTINCT position) = count(*) AS contiguous FROM {chunks} GROUP BY run_id) x"
 )
 def extraction_limits(t) -> DataFrame:
-    return grounding.extraction_limits(t("chunks"), max_chars=600, max_bytes=700)
+    return grounding.extraction_limits(t("chunks"))
 
 
 @query("SELECT run_id, count(*) AS n_evidence, count(*) <= 3 AS allowed FROM (SELECT DISTINCT run_id, chunk_id, char_start, char_end FROM {citations}) x GROUP BY run_id")
@@ -82,17 +86,27 @@ def run_status_rollup(t) -> DataFrame:
     return grounding.run_status_rollup(t("chunks").select("run_id", C("position").alias("ordinal"), code.alias("code")), t("chunks"))
 
 
-@query("SELECT run_id, '{\"chunks\":[' || string_agg('{\"position\":' || position || ',\"source_chunk_id\":' || chunk_id || ',\"text\":\"' || replace(replace(replace(substr(chunk_text, 1, 40), chr(92), ''), '\"', ''), chr(10), '\\n') || '\"}', ',' ORDER BY position) || '],\"source_extraction_run_id\":' || run_id || '}' AS input_json FROM {chunks} GROUP BY run_id")
+@query("SELECT run_id, input_json, CAST(strlen(input_json) AS BIGINT) AS json_bytes, strlen(input_json) <= 250000 AS allowed FROM (SELECT run_id, '{\"chunks\":[' || string_agg('{\"position\":' || position || ',\"source_chunk_id\":' || chunk_id || ',\"text\":' || CAST(to_json(chunk_text) AS VARCHAR) || '}', ',' ORDER BY position) || '],\"source_extraction_run_id\":' || run_id || '}' AS input_json FROM {chunks} GROUP BY run_id) x")
 def grounding_input(t) -> DataFrame:
-    plain = F.regexp_replace(F.substring("chunk_text", 1, 40), '["\\\\]', "")
-    return grounding.grounding_input(t("chunks").withColumn("chunk_text", plain)).select("run_id", "input_json")
+    return grounding.grounding_input(t("chunks"))
+
+
+_RUN_STATES = "(SELECT run_id, CASE WHEN sum(length(chunk_text)) <= 2000000 AND count(*) <= 5000 AND bool_or(regexp_matches(chunk_text, '\\S')) THEN 'SUCCEEDED' ELSE 'FAILED' END AS status FROM {chunks} GROUP BY run_id)"
 
 
-@query("SELECT c.run_id, p.prompt_id FROM (SELECT DISTINCT run_id FROM {chunks} WHERE run_id % 2 = 0) c CROSS JOIN {prompts} p WHERE p.input_schema_key = 'grounded-claim-extraction.input' AND p.input_schema_version = 1 AND p.output_schema_key = 'grounded-claim-extraction.output' AND p.output_schema_version = 1")
+def _runs(t) -> DataFrame:
+    """Extraction runs with their status: failed if the text was too long, of too many chunks, or blank."""
+    sizes = t("chunks").groupBy("run_id").agg(F.sum(F.length("chunk_text")).alias("chars"), F.count("*").alias("n"), F.max(C("chunk_text").rlike(r"\S")).alias("ink"))
+    return sizes.select("run_id", F.when((C("chars") <= 2_000_000) & (C("n") <= 5_000) & C("ink"), "SUCCEEDED").otherwise("FAILED").alias("status"))
+
+
+@query(f"SELECT c.run_id, p.prompt_id FROM {_RUN_STATES} c JOIN {{prompts}} p ON p.prompt_id = c.run_id % (SELECT max(prompt_id) FROM {{prompts}}) + 1 WHERE c.status = 'SUCCEEDED' AND p.input_schema_key = 'grounded-claim-extraction.input' AND p.input_schema_version = 1 AND p.output_schema_key = 'grounded-claim-extraction.output' AND p.output_schema_version = 1")
 def grounding_eligibility(t) -> DataFrame:
-    runs = t("chunks").select("run_id").distinct().where("run_id % 2 = 0").withColumn("prompt_id", F.explode(F.array(*[F.lit(i).cast("long") for i in (1, 2, 3)])))
-    fit = t("prompts").where("input_schema_key = 'grounded-claim-extraction.input' and input_schema_version = 1 and output_schema_key = 'grounded-claim-extraction.output' and output_schema_version = 1")
-    return runs.join(fit.select("prompt_id"), "prompt_id", "left_semi").select("run_id", "prompt_id")
+    """Each run asks for one prompt; it may go on if it succeeded and the prompt is made for grounded claims."""
+    runs = _runs(t)
+    last = t("prompts").agg(F.max("prompt_id").alias("last"))
+    asked = runs.join(F.broadcast(last)).select("run_id", "status", (C("run_id") % C("last") + 1).alias("prompt_id"))  # last is one row
+    return grounding.grounding_eligibility(asked, t("prompts")).select("run_id", "prompt_id")
 
 
 @query("SELECT chunk_id FROM {chunks} WHERE chunk_id % 4 <> 1 AND run_id % 5 <> 0")
@@ -104,29 +118,57 @@ def identity_revalidate(t) -> DataFrame:
 
 
 @query(
-    """SELECT p.run_id, p.claim_position, c.citation_position, c.chunk_id, d.doc_id AS snapshot_id, s.name AS source_name, s.tier FROM {proposals} p JOIN {citations} c ON c.run_id = p.run_id AND c.claim_position = p.claim_position JOIN {chunks} k ON k.run_id = c.run_id AND k.chunk_id = c.chunk_id JOIN {documents} d ON d.doc_id = k.run_id JOIN {sources} s ON s.name = d.source"""
+    """SELECT p.run_id, p.claim_position, c.citation_position, c.chunk_id, d.doc_id AS snapshot_id, r.status AS extraction_status, f.result_id AS fetch_run_id, f.status AS fetch_status, s.name AS source_name, s.tier FROM {proposals} p JOIN {citations} c ON c.run_id = p.run_id AND c.claim_position = p.claim_position
+ JOIN {chunks} k ON k.run_id = c.run_id AND k.chunk_id = c.chunk_id JOIN """
+    + _RUN_STATES
+    + """ r ON r.run_id = k.run_id JOIN {documents} d ON d.doc_id = k.run_id JOIN {fetch_results} f ON f.result_id = d.doc_id JOIN {sources} s ON s.source_id = f.source_id"""
 )
 def provenance_chain(t) -> DataFrame:
-    cited = t("proposals").join(t("citations"), ["run_id", "claim_position"]).join(t("chunks").select("run_id", "chunk_id"), ["run_id", "chunk_id"])
-    snapshots = t("documents").select(C("doc_id").alias("run_id"), C("doc_id").alias("snapshot_id"), C("source").alias("source_name"))
-    whole = cited.join(snapshots, "run_id").join(t("sources").select(C("name").alias("source_name"), "tier"), "source_name")
-    return whole.select("run_id", "claim_position", "citation_position", "chunk_id", "snapshot_id", "source_name", "tier")
-
-
-@query("SELECT verification_id, CASE WHEN verification_id <= 0 THEN 'ID' WHEN confidence < 0 OR confidence > 1 THEN 'CONFIDENCE' WHEN verdict = 'INSUFFICIENT' AND confidence > 0.5 THEN 'VERDICT' END AS error_code FROM (SELECT verification_id, verdict, CASE WHEN verification_id % 9 = 0 THEN confidence + 1 ELSE confidence END AS confidence FROM {verifications}) x")
+    """Claim, citation, chunk, extraction run, snapshot, fetch run and source in one row."""
+    cited = t("proposals").select("run_id", "claim_position").join(t("citations"), ["run_id", "claim_position"]).join(t("chunks").select("run_id", "chunk_id"), ["run_id", "chunk_id"])
+    extracted = cited.join(_runs(t).select("run_id", C("status").alias("extraction_status")), "run_id")
+    snapshots = extracted.join(t("documents").select(C("doc_id").alias("run_id"), C("doc_id").alias("snapshot_id")), "run_id")
+    fetched = snapshots.join(t("fetch_results").select(C("result_id").alias("snapshot_id"), C("result_id").alias("fetch_run_id"), "source_id", C("status").alias("fetch_status")), "snapshot_id")
+    whole = fetched.join(t("sources").select("source_id", C("name").alias("source_name"), "tier"), "source_id")
+    return whole.select("run_id", "claim_position", "citation_position", "chunk_id", "snapshot_id", "extraction_status", "fetch_run_id", "fetch_status", "source_name", "tier")
+
+
+_REQUESTS = """SELECT 'verification' AS kind, v.verification_id AS id, CASE WHEN NOT coalesce(claim_id BETWEEN 1 AND 2147483647, FALSE) THEN 'CLAIM' WHEN verdict NOT IN ('SUPPORTED', 'CONTRADICTED', 'INSUFFICIENT') THEN 'VERDICT' WHEN NOT coalesce(confidence BETWEEN 0 AND 1, FALSE) THEN 'CONFIDENCE'
+ WHEN coalesce(n, 0) = 0 OR least_id <= 0 OR n <> ids THEN 'EVIDENCE' WHEN least_position < 0 OR n <> places THEN 'POSITIONS' END AS error_code FROM {verifications} v
+ LEFT JOIN (SELECT verification_id, count(*) AS n, min(evidence_id) AS least_id, count(DISTINCT evidence_id) AS ids, min(position) AS least_position, count(DISTINCT position) AS places FROM {verification_evidence} GROUP BY verification_id) e ON e.verification_id = v.verification_id
+ UNION ALL SELECT 'question_item', i.item_id, CASE WHEN NOT coalesce(i.content_version_id BETWEEN 1 AND 2147483647, FALSE) THEN 'VERSION' WHEN NOT coalesce(regexp_matches(i.question_text, '\\S'), FALSE) THEN 'QUESTION' WHEN NOT coalesce(regexp_matches(i.explanation, '\\S'), FALSE) THEN 'EXPLANATION' WHEN coalesce(c.n, 0) = 0 OR c.least_id <= 0 OR c.n <> c.ids THEN 'CLAIMS'
+ WHEN coalesce(o.n, 0) < 2 THEN 'OPTIONS' WHEN o.blank THEN 'BLANK_OPTION' WHEN NOT coalesce(o.correct BETWEEN 0 AND o.n - 1, FALSE) THEN 'CORRECT_OPTION' END FROM {items} i
+ LEFT JOIN (SELECT item_id, count(*) AS n, min(claim_id) AS least_id, count(DISTINCT claim_id) AS ids FROM {item_claims} GROUP BY item_id) c ON c.item_id = i.item_id
+ LEFT JOIN (SELECT o.item_id, count(*) AS n, bool_or(NOT coalesce(regexp_matches(option_text, '\\S'), FALSE)) AS blank, min(CASE WHEN o.option_id = i.correct_option_id THEN position END) AS correct FROM {options} o JOIN {items} i ON i.item_id = o.item_id GROUP BY o.item_id) o ON o.item_id = i.item_id
+ UNION ALL SELECT 'source', source_id, CASE WHEN NOT coalesce(regexp_matches(name, '\\S') AND length(name) <= 500, FALSE) THEN 'TITLE' WHEN NOT coalesce(tier BETWEEN 1 AND 4, FALSE) THEN 'TIER' WHEN NOT coalesce(regexp_matches(location, '\\S'), FALSE) THEN 'LOCATION' END FROM {sources}"""
+
+
+@query(_REQUESTS)
 def request_validation(t) -> DataFrame:
-    rows = t("verifications").withColumn("confidence", F.when(C("verification_id") % 9 == 0, C("confidence") + 1).otherwise(C("confidence")))
-    code = F.when(C("verification_id") <= 0, "ID").when(~C("confidence").between(0, 1), "CONFIDENCE").when((C("verdict") == "INSUFFICIENT") & (C("confidence") > 0.5), "VERDICT")
-    return rows.select("verification_id", code.alias("error_code"))
-
-
-@query("SELECT event_id, CASE event_id % 6 WHEN 1 THEN FALSE WHEN 2 THEN FALSE WHEN 3 THEN FALSE ELSE TRUE END AS valid FROM {events} WHERE props IS NOT NULL")
+    """Verifications, question items and sources as requests, each by the rules of its kind."""
+    evidence = rel.nest_children(t("verifications"), t("verification_evidence"), key="verification_id", order_by=["position", "evidence_id"], fields=[], as_="e")
+    verifications = evidence.withColumns({"evidence_ids": C("e.evidence_id"), "positions": C("e.position")})
+    items = rel.nest_children(t("items"), t("options"), key="item_id", order_by=["position", "option_id"], fields=["option_text"], as_="o")
+    items = rel.nest_children(items, t("item_claims"), key="item_id", order_by=["position", "claim_id"], fields=[], as_="c")
+    right = F.array_min(F.transform(F.filter("o", lambda o: o["option_id"] == C("correct_option_id")), lambda o: o["position"]))
+    items = items.withColumns({"options": C("o.option_text"), "claim_ids": C("c.claim_id"), "correct_option_position": right})
+    none = F.lit(None).cast("string")
+    sources = t("sources").select("source_id", C("name").alias("title"), none.alias("publisher"), F.lit("site").alias("source_type"), C("tier").alias("authority_tier"), "location", F.lit("open").alias("license_status"), none.alias("content_hash"))
+    out = [contracts.validated(df, kind).select(F.lit(kind).alias("kind"), C(key).alias("id"), "error_code") for df, kind, key in ((verifications, "verification", "verification_id"), (items, "question_item", "item_id"), (sources, "source", "source_id"))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+_TEXT_OK = "(NOT list_contains(json_keys(c), '{f}') OR json_type(c, '$.{f}') = 'NULL' OR (json_type(c, '$.{f}') = 'VARCHAR' AND length(c->>'{f}') <= {n} AND regexp_matches(c->>'{f}', '\\S')))"
+_OUTPUT_OK = f"""json_type(j) = 'OBJECT' AND json_keys(j) = ['claims'] AND json_type(j, '$.claims') = 'ARRAY' AND json_array_length(j, '$.claims') BETWEEN 1 AND 50 AND len(list_filter(json_extract(j, '$.claims[*]'), lambda c: NOT coalesce(json_type(c) = 'OBJECT'
+ AND list_has_all(['statement', 'subject', 'predicate', 'object_value', 'citations'], json_keys(c)) AND json_type(c, '$.statement') = 'VARCHAR' AND length(c->>'statement') BETWEEN 1 AND 2000 AND regexp_matches(c->>'statement', '\\S') AND {_TEXT_OK.format(f="subject", n=500)} AND {_TEXT_OK.format(f="predicate", n=500)} AND {_TEXT_OK.format(f="object_value", n=1000)}
+ AND json_type(c, '$.citations') = 'ARRAY' AND json_array_length(c, '$.citations') BETWEEN 1 AND 10 AND len(list_filter(json_extract(c, '$.citations[*]'), lambda x: NOT coalesce(json_type(x) = 'OBJECT' AND list_sort(json_keys(x)) = ['char_end', 'char_start', 'source_chunk_id']
+ AND json_type(x, '$.char_end') IN ('UBIGINT', 'BIGINT') AND json_type(x, '$.char_start') IN ('UBIGINT', 'BIGINT') AND json_type(x, '$.source_chunk_id') IN ('UBIGINT', 'BIGINT') AND CAST(x->>'char_start' AS BIGINT) >= 0 AND TRY_CAST(x->>'char_end' AS BIGINT) > 0 AND TRY_CAST(x->>'source_chunk_id' AS BIGINT) BETWEEN 1 AND 2147483647, FALSE))) = 0, FALSE))) = 0"""
+
+
+@query(f"SELECT output_id, coalesce({_OUTPUT_OK}, FALSE) AS valid FROM (SELECT output_id, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS j FROM {{model_outputs}}) x")
 def output_schema_check(t) -> DataFrame:
-    """Outputs of exactly one integer field k: further fields, other types and other kinds of value are refused."""
-    k = F.regexp_extract("props", "([0-9]+)", 1)
-    text = F.when(C("event_id") % 6 == 1, F.concat(F.lit('{"k": '), k, F.lit(', "more": 1}'))).when(C("event_id") % 6 == 2, F.concat(F.lit('{"k": "'), k, F.lit('"}'))).when(C("event_id") % 6 == 3, F.concat(F.lit("["), k, F.lit("]"))).otherwise(C("props"))
-    shape = F.schema_of_variant(F.expr("try_parse_json(body)"))
-    return t("events").where("props is not null").select("event_id", text.alias("body")).select("event_id", F.coalesce(shape == "OBJECT<k: BIGINT>", F.lit(False)).alias("valid"))
+    """Model outputs over whole texts against the contract of grounded claims."""
+    return t("model_outputs").select("output_id", contracts.claims_output_valid(C("body")).alias("valid"))
 
 
 # prompts and executions
@@ -138,12 +180,13 @@ def prompt_checksums(t) -> DataFrame:
 
 
 @query(
-    """SELECT execution_id, prompt_id, CASE prompt_id WHEN 1 THEN 'You are {role}.' WHEN 2 THEN 'Plain' ELSE NULL END AS system, CASE prompt_id WHEN 1 THEN 'Type ' || event_type || ' value ' || value || ' {braces}' WHEN 2 THEN 'Props ' || props || ' of ' || event_type END AS user, CASE prompt_id WHEN 3 THEN 'MISSING_PLACEHOLDER' END AS error
- FROM (SELECT event_id AS execution_id, event_id % 3 + 1 AS prompt_id, event_type, CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR) AS value, props FROM {events} WHERE props IS NOT NULL) x"""
+    """SELECT execution_id, prompt_id, CASE prompt_id % 3 WHEN 1 THEN 'You are {role} for ' || s_name || '.' WHEN 2 THEN 'Plain ' || s_name END AS system, CASE prompt_id % 3 WHEN 1 THEN 'Type ' || event_type || ' value ' || value || ' {braces}' WHEN 2 THEN 'Props ' || props || ' of ' || event_type END AS user, CASE prompt_id % 3 WHEN 0 THEN 'MISSING_PLACEHOLDER' END AS error
+ FROM (SELECT event_id AS execution_id, event_id % (SELECT max(s_suppkey) FROM {supplier}) + 1 AS prompt_id, event_type, CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR) AS value, props FROM {events} WHERE props IS NOT NULL) x JOIN {supplier} s ON s.s_suppkey = x.prompt_id"""
 )
 def render_prompts(t) -> DataFrame:
     values = F.create_map(F.lit("type"), "event_type", F.lit("value"), C("value").cast("decimal(18,2)").cast("string"), F.lit("props"), "props")
-    inputs = t("events").where("props is not null").select(C("event_id").alias("execution_id"), (C("event_id") % 3 + 1).alias("prompt_id"), values.alias("values"))
+    asked = t("executions").select("execution_id", "prompt_id")
+    inputs = t("events").where("props is not null").select(C("event_id").alias("execution_id"), values.alias("values")).join(asked, "execution_id")
     out = audit.render_prompts(t("prompts"), inputs)
     return out.select("execution_id", "prompt_id", F.when(C("error").isNull(), C("system")).alias("system"), "user", "error")
 
@@ -188,9 +231,10 @@ _FOLD = """(WITH RECURSIVE ev AS (SELECT *, row_number() OVER (PARTITION BY asse
   FROM st s JOIN ev e ON e.asset = s.asset AND e.n = s.n + 1) z) SELECT * FROM st)"""
 
 
-@query(
-    f"SELECT s.asset, k.asset_kind, arg_max(ap, n) AS approval_status, (max_by(row(rn), n))[1] AS reviewer_note, (max_by(row(da), n))[1] AS decided_at, arg_max(re, n) AS release_status, (max_by(row(ra), n))[1] AS released_at, (max_by(row(wa), n))[1] AS withdrawn_at, (max_by(row(nt), n))[1] AS release_note, count(reason) AS n_refused FROM {_FOLD} s JOIN (SELECT DISTINCT asset, asset_kind FROM {{decisions}}) k ON k.asset = s.asset GROUP BY s.asset, k.asset_kind"
-)
+STATE_SQL = f"SELECT s.asset, k.asset_kind, arg_max(ap, n) AS approval_status, (max_by(row(rn), n))[1] AS reviewer_note, (max_by(row(da), n))[1] AS decided_at, arg_max(re, n) AS release_status, (max_by(row(ra), n))[1] AS released_at, (max_by(row(wa), n))[1] AS withdrawn_at, (max_by(row(nt), n))[1] AS release_note, count(reason) AS n_refused FROM {_FOLD} s JOIN (SELECT DISTINCT asset, asset_kind FROM {{decisions}}) k ON k.asset = s.asset GROUP BY s.asset, k.asset_kind"
+
+
+@query(STATE_SQL)
 def release_state(t) -> DataFrame:
     return lifecycle.release_state(t("decisions"))[0]
 
@@ -200,10 +244,14 @@ def rejected_decisions(t) -> DataFrame:
     return lifecycle.release_state(t("decisions"))[1]
 
 
-@query(f"SELECT k.asset_kind, s.reason, count(*) AS n FROM {_FOLD} s JOIN (SELECT DISTINCT asset, asset_kind FROM {{decisions}}) k ON k.asset = s.asset WHERE reason IN ('GUARD_FAILED', 'INCOMPLETE') GROUP BY k.asset_kind, s.reason")
+@query(
+    """SELECT 'note' AS asset_kind, note_id AS asset_id, content_version_id IS NOT NULL AS guard_ok FROM {notes}
+ UNION ALL SELECT 'item', i.item_id, coalesce(n, 0) >= 2 AND coalesce(has, FALSE) FROM {items} i LEFT JOIN (SELECT o.item_id, count(*) AS n, bool_or(o.option_id = i.correct_option_id) AS has FROM {options} o JOIN {items} i ON i.item_id = o.item_id GROUP BY o.item_id) o ON o.item_id = i.item_id
+ UNION ALL SELECT 'package', package_id, package_id IN (SELECT package_id FROM {package_notes} UNION SELECT package_id FROM {package_items}) FROM {packages}"""
+)
 def release_guards(t) -> DataFrame:
-    refused = lifecycle.release_state(t("decisions"))[1].where("reason in ('GUARD_FAILED', 'INCOMPLETE')")
-    return refused.groupBy("asset_kind", "reason").agg(F.count("*").alias("n"))
+    """What the fold of decisions asks of each asset, from the tables."""
+    return curation.release_guards(t("notes"), t("items"), t("options"), t("packages"), t("package_notes"), t("package_items"))
 
 
 @query("SELECT asset, d AS approval_status, CASE WHEN d <> 'DRAFT' THEN note END AS reviewer_note, CASE WHEN d <> 'DRAFT' THEN ts END AS decided_at FROM (SELECT asset, decision AS d, note, ts, row_number() OVER (PARTITION BY asset ORDER BY ts DESC, seq DESC) AS r FROM {decisions} WHERE decision IN ('DRAFT', 'APPROVED', 'REJECTED')) x WHERE r = 1")
@@ -243,20 +291,35 @@ def package_content(t) -> DataFrame:
 # audits
 
 
-@query("SELECT rule, violations FROM (SELECT count(*) FILTER (WHERE NOT (verdict IN ('SUPPORTED', 'CONTRADICTED'))) AS verification_verdict, count(*) FILTER (WHERE NOT (confidence >= 0 AND confidence <= 0.9)) AS verification_confidence, count(*) FILTER (WHERE NOT (verification_id > 0)) AS verification_id FROM {verifications}) x UNPIVOT (violations FOR rule IN (verification_verdict, verification_confidence, verification_id))")
+_CHECKED = {d: {rule: c for rule, c in schemas.CHECKS[d].items() if set(re.findall("[a-z_0-9]+", c)) & set(schemas.columns(d)) <= set(rules.engine_columns(d))} for d in rules.ENGINE}
+
+
+def _declared(t, name: str) -> DataFrame:
+    """An engine table's columns under their declared names."""
+    return t(rules.ENGINE[name][0]).select(*[C(own).alias(c) for c, own in rules.engine_columns(name).items()])
+
+
+def _as_sql(name: str) -> str:
+    return "(SELECT " + ", ".join(f"{own} AS {c}" for c, own in rules.engine_columns(name).items()) + " FROM {" + rules.ENGINE[name][0] + "})"
+
+
+@query(" UNION ALL ".join(f"SELECT '{rule}' AS rule, count(*) FILTER (WHERE NOT ({c})) AS violations FROM {_as_sql(d)} x" for d, checks in _CHECKED.items() for rule, c in checks.items()))
 def audit_checks(t) -> DataFrame:
-    rules = {"verification_verdict": "verdict in ('SUPPORTED', 'CONTRADICTED')", "verification_confidence": "confidence >= 0 and confidence <= 0.9", "verification_id": "verification_id > 0"}
-    return quality.audit_checks(t("verifications"), rules)
+    """All declared checks of all stored tables that the test tables give, one pass a table."""
+    return reduce(DataFrame.unionByName, [quality.audit_checks(_declared(t, d), checks) for d, checks in _CHECKED.items() if checks])
 
 
-@query("SELECT 'question_position' AS rule, count(*) AS groups, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT paper_id, position, count(*) AS n FROM {questions} GROUP BY paper_id, position HAVING count(*) > 1) x UNION ALL SELECT 'paper_id', count(*), CAST(coalesce(sum(n), 0) AS BIGINT) FROM (SELECT paper_id, count(*) AS n FROM {papers} GROUP BY paper_id HAVING count(*) > 1) y")
+@query(" UNION ALL ".join(f"SELECT '{rule}' AS rule, count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows FROM (SELECT count(*) AS n FROM {_as_sql(d)} x WHERE {' AND '.join(f'{c} IS NOT NULL' for c in key)} GROUP BY {', '.join(key)} HAVING count(*) > 1) y" for rule, d, key in rules.audited_keys()))
 def audit_unique(t) -> DataFrame:
-    return quality.audit_unique(t("questions"), {"question_position": ["paper_id", "position"]}).unionByName(quality.audit_unique(t("papers"), {"paper_id": ["paper_id"]}))
+    """All declared keys of all stored tables that the test tables give."""
+    return reduce(DataFrame.unionByName, [quality.audit_unique(_declared(t, d), {rule: key}) for rule, d, key in rules.audited_keys()])
 
 
-@query("SELECT n.note_id, n.claim_id, n.position FROM {note_claims} n WHERE NOT EXISTS (SELECT 1 FROM {claims} c WHERE c.claim_id = n.claim_id)")
+@query(" UNION ALL ".join(f"SELECT '{rule}' AS rule, count(*) AS orphans FROM {_as_sql(child)} c WHERE {' AND '.join(f'c.{x} IS NOT NULL' for x in columns)} AND NOT EXISTS (SELECT 1 FROM {_as_sql(parent)} p WHERE {' AND '.join(f'p.{k} = c.{x}' for x, k in zip(columns, keys, strict=True))})" for rule, child, columns, parent, keys in rules.audited_references()))
 def audit_foreign_keys(t) -> DataFrame:
-    return quality.audit_foreign_keys(t("note_claims"), t("claims"), {"claim_id": "claim_id"}).select("note_id", "claim_id", "position")
+    """All declared references between stored tables that the test tables give: how many rows refer to nothing."""
+    orphans = [quality.audit_foreign_keys(_declared(t, child), _declared(t, parent), dict(zip(columns, keys, strict=True))).agg(F.count("*").alias("orphans")).select(F.lit(rule).alias("rule"), "orphans") for rule, child, columns, parent, keys in rules.audited_references()]
+    return reduce(DataFrame.unionByName, orphans)
 
 
 @query(

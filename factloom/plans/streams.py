@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factloom.streaming import jobs
 
 from .registry import query
+from .review import STATE_SQL as _STATE
 
 C = F.col
 
@@ -17,24 +18,14 @@ def _decisions(events: DataFrame) -> DataFrame:
     kinds = F.array(F.lit("note"), F.lit("item"), F.lit("package"), F.lit("document"))
     names = F.create_map(*[F.lit(x) for pair in (("click", "APPROVED"), ("error", "REJECTED"), ("view", "DRAFT"), ("purchase", "RELEASE")) for x in pair])
     decision = F.coalesce(F.try_element_at(names, C("event_type")), F.lit("WITHDRAW"))
-    return events.select(asset.alias("asset"), F.get(kinds, (C("user_id") % 4).cast("int")).alias("asset_kind"), C("event_id").alias("seq"), "ts", decision.alias("decision"), (C("user_id") % 10 != 9).alias("guard_ok"))
+    note = F.concat(F.lit("note "), C("event_id").cast("string"))
+    return events.select(asset.alias("asset"), F.get(kinds, (C("user_id") % 4).cast("int")).alias("asset_kind"), C("event_id").alias("seq"), "ts", decision.alias("decision"), note.alias("note"), (C("user_id") % 10 != 9).alias("guard_ok"))
 
 
-@query()
+@query(_STATE)
 def stream_release_state(t) -> DataFrame:
-    """The last state of each asset; the state store is kept on disk."""
-    before = t.spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.STATE_STORE)
-    try:
-        states = jobs.stream_release_state(_decisions(jobs.table_stream(t.spark, t.sf_dir, "events")))
-        out = jobs.run_available(states, jobs.shared_folder(t.spark), mode="update")
-    finally:
-        if before is None:
-            t.spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    last = out.groupBy("asset", "asset_kind").agg(F.max_by(F.struct("approval_status", "release_status", "n_refused"), "batch").alias("s"))
-    return last.select("asset", "asset_kind", "s.*")
+    """The last state of each asset, with times and notes, from the decisions as a stream."""
+    return jobs.release_state_stream(_decisions(jobs.table_stream(t.spark, t.sf_dir, "events")), jobs.shared_folder(t.spark))[0]
 
 
 @query()

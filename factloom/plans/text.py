@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from factloom.functions import exprs as E
 from factloom.functions.registry import register_functions as register
 from factloom.operators import text as tx
+from factloom.sources.chunk_sql import chunk_sql as _chunks
+from factloom.sources.storage import shared_folder
 
 from .registry import query
 
@@ -75,9 +77,9 @@ def fn_tokens(t) -> DataFrame:
     return t("queries").select("query_id", F.array_join(F.array_sort(E.search_tokens(C("query"))), ",").alias("tokens"))
 
 
-@query("SELECT u.page_id, q.query_id, CAST(len(list_filter(list_distinct(regexp_extract_all(lower(q.query), '[a-z0-9]+')), lambda x: contains(lower(u.url), x))) AS BIGINT) AS score FROM {urls} u CROSS JOIN {queries} q")
+@query("SELECT u.page_id, q.query_id, CAST(len(list_filter(list_distinct(regexp_extract_all(lower(q.query), '[a-z0-9]+')), lambda x: contains(lower(u.url), x))) AS BIGINT) AS score FROM {urls} u JOIN {asked} a ON a.page_id = u.page_id JOIN {queries} q ON q.query_id = a.query_id")
 def fn_relevance_score(t) -> DataFrame:
-    pairs = t("urls").crossJoin(F.broadcast(t("queries")))
+    pairs = t("urls").join(t("asked"), "page_id").join(t("queries"), "query_id")
     return pairs.select("page_id", "query_id", E.relevance_score(E.search_tokens(C("query")), C("url")).cast("long").alias("score"))
 
 
@@ -161,20 +163,6 @@ def fn_artifact_name(t) -> DataFrame:
     return t("stored_documents").select("document_id", E.artifact_name(C("document_id")).alias("filename"), F.concat(F.lit("Content Package "), C("package_id").cast("string")).alias("title"))
 
 
-_CHUNKS = """(WITH RECURSIVE c(id, text, position, char_start, char_end) AS (
- SELECT id, text, 0, 0, e FROM (SELECT id, text, 0 AS s FROM {source}) d, LATERAL (SELECT {end} AS e) z WHERE length(text) > 0
- UNION ALL SELECT id, text, position + 1, s, e FROM (SELECT id, text, position, CASE WHEN char_end - 100 > char_start THEN char_end - 100 ELSE char_end END AS s FROM c WHERE char_end < length(text)) d, LATERAL (SELECT {end} AS e) z)
- SELECT id, position, char_start, char_end, substr(text, char_start + 1, char_end - char_start) AS text, sha256(substr(text, char_start + 1, char_end - char_start)) AS sha256 FROM c)"""
-_W = "substr(text, s + 501, 500)"
-_LAST = "s + 500 + length({w}) - strpos(reverse({w}), {m}) + 1"
-_SOFT = f"CASE WHEN strpos({_W}, chr(10) || chr(10)) > 0 THEN {_LAST.format(w=_W, m='chr(10) || chr(10)')} WHEN strpos({_W}, chr(10)) > 0 THEN {_LAST.format(w=_W, m='chr(10)')} WHEN strpos({_W}, ' ') > 0 THEN {_LAST.format(w=_W, m=chr(39) + ' ' + chr(39))} ELSE s + 1000 END"
-_END = f"CASE WHEN s + 1000 >= length(text) THEN length(text) WHEN NOT regexp_matches(substr(text, s + 1, ({_SOFT}) - s), '\\S') THEN s + 1000 ELSE {_SOFT} END"
-
-
-def _chunks(source: str) -> str:
-    return _CHUNKS.replace("{source}", source).replace("{end}", _END)
-
-
 @query(f"SELECT * FROM {_chunks('{texts}')} x")
 def chunk_text(t) -> DataFrame:
     return tx.chunk_text(t("texts"))
@@ -204,45 +192,72 @@ _RUNS = f"""(SELECT snapshot_id, content_type, CASE WHEN code IS NULL THEN 'SUCC
  SELECT doc_id AS snapshot_id, CASE WHEN doc_id % 6 = 5 THEN 'application/pdf' ELSE 'text/plain' END AS content_type, {_NORMAL.format(x='text')} || chr(10) AS n FROM {{documents}} WHERE text IS NOT NULL) a) b)"""
 
 
-@query(f"SELECT snapshot_id, content_type, status, error_code, text, CAST(length(text) AS BIGINT) AS text_char_count, sha256(text) AS text_sha256 FROM {_RUNS} r")
+_LINES = "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
+_BARE = f"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head>.*?</head>|<!--.*?-->', '', 'g'), '(?i)</?({_LINES})(\\s[^>]*)?/?>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+_UNESCAPED = f"replace(replace(replace(replace({_BARE}, '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', chr(34)), '&amp;', '&')"
+_HTML_RUNS = f"(SELECT page_id AS snapshot_id, 'text/html' AS content_type, CASE WHEN n = '' THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, CASE WHEN n = '' THEN 'EXTRACTION_EMPTY_TEXT' END AS error_code, CASE WHEN n <> '' THEN n || chr(10) END AS text FROM (SELECT page_id, {_NORMAL.format(x=_UNESCAPED)} AS n FROM {{pages}} WHERE html IS NOT NULL) h)"
+_JSON_RUNS = "(SELECT event_id AS snapshot_id, 'application/json' AS content_type, 'SUCCEEDED' AS status, CAST(NULL AS VARCHAR) AS error_code, json_extract_string(props, '$.k') || chr(10) AS text FROM {events} WHERE props IS NOT NULL)"
+_XML_RUNS = f"(SELECT option_id AS snapshot_id, 'text/xml' AS content_type, CASE WHEN option_id % 3 = 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, CASE WHEN option_id % 3 = 0 THEN 'EXTRACTION_INVALID_DOCUMENT' END AS error_code, CASE WHEN option_id % 3 <> 0 THEN n || chr(10) END AS text FROM (SELECT option_id, {_NORMAL.format(x=chr(39) + 'x' + chr(39) + ' || option_text')} AS n FROM {{options}} WHERE option_text IS NOT NULL) o)"
+_ALL_RUNS = "(" + " UNION ALL ".join(f"SELECT snapshot_id + {k} * 1000000000000 AS snapshot_id, content_type, status, error_code, text FROM {runs} r{k}" for k, runs in enumerate((_RUNS, _HTML_RUNS, _JSON_RUNS, _XML_RUNS))) + ")"
+
+
+def _html(t) -> DataFrame:
+    return t("pages").where("html is not null").select(C("page_id").alias("snapshot_id"), F.lit("text/html").alias("content_type"), C("html").cast("binary").alias("content"))
+
+
+def _json(t) -> DataFrame:
+    return t("events").where("props is not null").select(C("event_id").alias("snapshot_id"), F.lit("application/json").alias("content_type"), C("props").cast("binary").alias("content"))
+
+
+def _xml(t) -> DataFrame:
+    safe = F.replace(F.replace(C("option_text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    body = F.when(C("option_id") % 6 == 0, F.concat(F.lit("<!DOCTYPE r><r>"), safe, F.lit("</r>"))).when(C("option_id") % 3 == 0, F.lit("<broken>")).otherwise(F.concat(F.lit("<r>x<s>"), safe, F.lit("</s></r>")))
+    return t("options").where("option_text is not null").select(C("option_id").alias("snapshot_id"), F.lit("text/xml").alias("content_type"), body.cast("binary").alias("content"))
+
+
+def _snapshots(t) -> DataFrame:
+    """Documents, pages, event properties and options as snapshots of their kinds, with ids of their own."""
+    every = [df.withColumn("snapshot_id", C("snapshot_id") + F.lit(k * 1_000_000_000_000)) for k, df in enumerate((_plain(t), _html(t), _json(t), _xml(t)))]
+    return every[0].unionByName(every[1]).unionByName(every[2]).unionByName(every[3])
+
+
+@query(f"SELECT snapshot_id, content_type, status, error_code, text, CAST(length(text) AS BIGINT) AS text_char_count, sha256(text) AS text_sha256 FROM {_ALL_RUNS} r")
 def extract_snapshots(t) -> DataFrame:
-    runs, _ = tx.extract_snapshots(_plain(t))
+    runs, _ = tx.extract_snapshots(_snapshots(t))
     return runs.withColumn("text_char_count", C("text_char_count").cast("long"))
 
 
-@query(f"SELECT id AS snapshot_id, position, char_start, char_end, sha256 FROM {_chunks(f'(SELECT snapshot_id AS id, text FROM {_RUNS} r WHERE text IS NOT NULL) s')} x")
+@query(f"SELECT id AS snapshot_id, position, char_start, char_end, sha256 FROM {_chunks(f'(SELECT snapshot_id AS id, text FROM {_ALL_RUNS} r WHERE text IS NOT NULL) s')} x")
 def extraction_sink(t) -> DataFrame:
-    _, chunks = tx.extract_snapshots(_plain(t))
+    _, chunks = tx.store_extraction(_snapshots(t), shared_folder(t.spark))
     return chunks.select("snapshot_id", "position", "char_start", "char_end", "sha256")
 
 
-@query(f"SELECT snapshot_id, status, error_code FROM {_RUNS} r WHERE content_type = 'text/plain'")
+def _extracted(snapshots: DataFrame) -> DataFrame:
+    return tx.extract_snapshots(snapshots)[0].select("snapshot_id", "status", "error_code", "text")
+
+
+@query(f"SELECT snapshot_id, status, error_code, text FROM {_RUNS} r WHERE content_type = 'text/plain'")
 def extract_plain(t) -> DataFrame:
-    runs, _ = tx.extract_snapshots(_plain(t).where("content_type = 'text/plain'"))
-    return runs.select("snapshot_id", "status", "error_code")
+    return _extracted(_plain(t).where("content_type = 'text/plain'"))
 
 
-@query()
+@query(f"SELECT snapshot_id, status, error_code, text FROM {_HTML_RUNS} r")
 def extract_html(t) -> DataFrame:
-    pages = t("pages").where("html is not null").select(C("page_id").alias("snapshot_id"), F.lit("text/html").alias("content_type"), C("html").cast("binary").alias("content"))
-    return tx.extract_snapshots(pages)[0]
+    return _extracted(_html(t))
 
 
-@query("SELECT event_id AS snapshot_id, 'SUCCEEDED' AS status, json_extract_string(props, '$.k') || chr(10) AS text FROM {events} WHERE props IS NOT NULL")
+@query(f"SELECT snapshot_id, status, error_code, text FROM {_JSON_RUNS} r")
 def extract_json(t) -> DataFrame:
-    bodies = t("events").where("props is not null").select(C("event_id").alias("snapshot_id"), F.lit("application/json").alias("content_type"), C("props").cast("binary").alias("content"))
-    return tx.extract_snapshots(bodies)[0].select("snapshot_id", "status", "text")
+    return _extracted(_json(t))
 
 
-@query("SELECT option_id AS snapshot_id, CASE WHEN option_id % 3 = 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status, CASE option_id % 3 WHEN 0 THEN 'EXTRACTION_INVALID_DOCUMENT' END AS error_code FROM {options}")
+@query(f"SELECT snapshot_id, status, error_code, text FROM {_XML_RUNS} r")
 def extract_xml(t) -> DataFrame:
-    safe = F.replace(F.replace(C("option_text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    body = F.when(C("option_id") % 6 == 0, F.concat(F.lit("<!DOCTYPE r><r>"), safe, F.lit("</r>"))).when(C("option_id") % 3 == 0, F.lit("<broken>")).otherwise(F.concat(F.lit("<r>x<s>"), safe, F.lit("</s></r>")))
-    docs = t("options").select(C("option_id").alias("snapshot_id"), F.lit("text/xml").alias("content_type"), body.cast("binary").alias("content"))
-    return tx.extract_snapshots(docs)[0].select("snapshot_id", "status", "error_code")
+    return _extracted(_xml(t))
 
 
-@query("SELECT doc_id AS id, sha256(substr(text, 1, 50)) AS sha, 'content-document-' || doc_id || '.pdf' AS filename FROM {documents} WHERE text IS NOT NULL")
+@query("SELECT doc_id AS id, sha256(text) AS sha, 'content-document-' || doc_id || '.pdf' AS filename FROM {documents} WHERE text IS NOT NULL")
 def register_functions(t) -> DataFrame:
     register(t.spark)
-    return t.spark.sql("SELECT doc_id AS id, fl_sha256(fl_slice(text, 0, 50)) AS sha, fl_artifact_name(doc_id) AS filename FROM {d} WHERE text IS NOT NULL", d=t("documents"))
+    return t.spark.sql("SELECT doc_id AS id, fl_sha256(fl_slice(text, 0, length(text))) AS sha, fl_artifact_name(doc_id) AS filename FROM {d} WHERE text IS NOT NULL", d=t("documents"))

@@ -68,6 +68,27 @@ _STATES = {
     "char_end": "char_start >= 0 and char_end > char_start",
     "released_at": "(release_status = 'UNRELEASED') = (released_at is null)",
     "withdrawn_at": "(release_status = 'WITHDRAWN') = (withdrawn_at is not null)",
+    "verdict": "verdict in ('SUPPORTED', 'CONTRADICTED', 'INSUFFICIENT')",
+    "evidence_role": "evidence_role in ('SUPPORTS', 'CONTRADICTS', 'CONTEXT')",
+    "version": "version > 0",
+    "input_tokens": "input_tokens >= 0",
+    "output_tokens": "output_tokens >= 0",
+    "cost_currency": "length(cost_currency) = 3",
+    "model_id": "length(model_id) between 1 and 128",
+    "prompt_key": "length(prompt_key) between 1 and 100",
+    "system_template": "trim(system_template) <> '' and length(system_template) <= 20000",
+    "user_template": "trim(user_template) <> '' and length(user_template) <= 20000",
+    "input_schema_version": "input_schema_version > 0",
+    "output_schema_version": "output_schema_version > 0",
+    "statement": "trim(statement) <> ''",
+    "question_text": "trim(question_text) <> ''",
+    "explanation": "trim(explanation) <> ''",
+    "option_text": "trim(option_text) <> ''",
+    "markdown": "trim(markdown) <> ''",
+    "title": "trim(title) <> '' and length(title) <= 500",
+    "location": "trim(location) <> ''",
+    "name": "trim(name) <> '' and length(name) <= 255",
+    "media_type": "media_type = 'application/pdf'",
     "approval_decided_at": "(approval_status = 'DRAFT') = (approval_decided_at is null)",
 }
 

@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from factloom.operators import lifecycle
 from factloom.operators import text as tx
-
-STATE = "approval string, release string, n_refused long"
-OUTPUT = "asset string, asset_kind string, approval_status string, release_status string, n_refused long"
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from factloom.sources.storage import shared_folder  # noqa: F401
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder for offsets, state and output: in the folder that the cluster shares, else a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="factloom-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's files as a stream."""
@@ -31,41 +18,32 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
 
 
-def _refused(kind: str, guard_ok: bool, approval: str, release: str, decision: str) -> bool:
-    if decision in ("DRAFT", "REJECTED"):
-        return release == "RELEASED"
-    if decision == "APPROVED":
-        return kind == "item" and not guard_ok
-    if decision == "RELEASE":
-        return release != "UNRELEASED" or approval != "APPROVED" or (kind in ("note", "item", "package") and not guard_ok)
-    return release != "RELEASED"
-
+def release_state_stream(decisions: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """New decisions to states and refused decisions. states: the last state of each asset; refused: with the reason.
 
-class ReleaseProcessor(StatefulProcessor):
-    """Keeps an asset's state only, however many decisions it has; decisions of a batch are taken in order."""
+    Each batch is folded by the batch operator from the states that the batches before left, and written under its
+    number, so that a batch that runs again replaces itself. Decisions count in the order of their batches.
+    """
+    spark = decisions.sparkSession
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", T.StructType([T.StructField("approval", T.StringType()), T.StructField("release", T.StringType()), T.StructField("n_refused", T.LongType())]))
+    def states(upto: int, shape) -> DataFrame | None:
+        """The states after the batches before `upto`: of each asset the row of its last batch."""
+        if upto == 0:
+            return None
+        parts = spark.read.schema(shape).parquet(*[f"{folder}/states/part={k}" for k in range(upto)])
+        return parts.groupBy("asset", "asset_kind").agg(F.max_by(F.struct(*[c for c in parts.columns if c not in ("asset", "asset_kind")]), "batch").alias("s")).select("asset", "asset_kind", "s.*")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        approval, release, n = self.state.get() if self.state.exists() else ("DRAFT", "UNRELEASED", 0)
-        for r in pd.concat(rows).sort_values(["ts", "seq"]).itertuples():
-            if _refused(key[1], r.guard_ok, approval, release, r.decision):
-                n += 1
-            elif r.decision in ("RELEASE", "WITHDRAW"):
-                release = "RELEASED" if r.decision == "RELEASE" else "WITHDRAWN"
-            else:
-                approval = r.decision
-        self.state.update((approval, release, n))
-        yield pd.DataFrame({"asset": [key[0]], "asset_kind": [key[1]], "approval_status": [approval], "release_status": [release], "n_refused": [n]})
-
-    def close(self) -> None:
-        pass
-
-
-def stream_release_state(decisions: DataFrame) -> DataFrame:
-    """A stream of decisions to a stream of the states that they change (update mode)."""
-    return decisions.groupBy("asset", "asset_kind").transformWithStateInPandas(ReleaseProcessor(), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
+    def write(batch: DataFrame, number: int) -> None:
+        stamp = batch.schema["ts"].dataType.simpleString()
+        shape = f"asset string, asset_kind string, approval_status string, reviewer_note string, decided_at {stamp}, release_status string, released_at {stamp}, withdrawn_at {stamp}, release_note string, n_refused long, batch int"
+        state, refused = lifecycle.release_state(batch, before=states(number, shape))
+        state.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/states/part={number}")
+        refused.write.mode("overwrite").parquet(f"{folder}/refused/part={number}")
+
+    decisions.writeStream.option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    parts = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/states")
+    last = parts.groupBy("asset", "asset_kind").agg(F.max_by(F.struct(*[c for c in parts.columns if c not in ("asset", "asset_kind", "batch")]), "batch").alias("s"))
+    return last.select("asset", "asset_kind", "s.*"), spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/refused")
 
 
 def stream_dedupe_links(links: DataFrame, *, delay: str = "1 day") -> DataFrame:

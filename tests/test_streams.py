@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from factloom import plans
+from factloom.operators import lifecycle
 from factloom.operators import text as tx
+from factloom.plans import streams
+from factloom.streaming import jobs
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -15,6 +18,20 @@ def test_release_state(spark):
     assert sorted(map(tuple, stream.collect())) == sorted(map(tuple, batch.collect()))
 
 
+def test_release_state_over_batches(spark, tmp_path):
+    """Three files, a batch each: state, times, notes and refused decisions are those of the whole log."""
+    log = streams._decisions(spark.read.parquet(f"{FOLDER}/events.parquet"))
+    rows = log.orderBy("ts", "seq").toPandas()
+    cut = [0, len(rows) // 3, len(rows) // 2, len(rows)]
+    for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+        spark.createDataFrame(rows.iloc[a:b], log.schema).coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
+    state, refused = jobs.release_state_stream(stream, f"file://{tmp_path}/out")
+    wanted_state, wanted_refused = lifecycle.release_state(log)
+    assert sorted(map(str, state.select(wanted_state.columns).collect())) == sorted(map(str, wanted_state.collect()))
+    assert sorted(map(str, refused.select(wanted_refused.columns).collect())) == sorted(map(str, wanted_refused.collect()))
+
+
 def test_extract(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").where("text is not null")
     batch = tx.extract_snapshots(docs.select(F.col("doc_id").alias("snapshot_id"), F.lit("text/plain").alias("content_type"), F.col("text").cast("binary").alias("content")))[1]
