@@ -38,6 +38,7 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all documents with their places in sequences of 4,096; null and empty texts are the end id alone."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), max_tokens=4096)
 
 
@@ -45,6 +46,7 @@ STAGES = [("quality", good_quality), ("near_duplicates", unique), ("decontaminat
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over documents; each stage's rows are written and read back. Other columns of documents are not carried along."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
@@ -53,5 +55,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Byte-pair encoding and learnt classifiers are not SQL; the stages are tested against brute force.
+#: Byte-pair encoding and learnt classifiers are not SQL. The operators of the stages are tested against brute force, the stages on odd tables.
 ORACLE_SQL = None
