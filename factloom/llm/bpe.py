@@ -1,14 +1,16 @@
 """Exact token ids of whole texts by looking up pre-tokens.
 
-Texts whose characters are all Latin-1 and printable (or plain white space) are cut into pre-tokens with array
-operations on one byte a character; each distinct pre-token is encoded once a worker by the vocabulary's own library.
-Every other text goes to that library whole. Both ways give the library's ids.
+Texts of any script are cut into pre-tokens with array operations on the classes of their characters; each distinct
+pre-token is encoded once a worker by the vocabulary's own library. A text goes to that library whole only if it holds
+a code point that Unicode 15.1 leaves unassigned, whose class libraries disagree on, a zero character, or what may be a special token.
+Both ways give the library's ids.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Sequence
+from typing import NamedTuple
 
 import numpy as np
 
@@ -17,46 +19,43 @@ PACKED = 24
 #: Pre-tokens that a worker remembers before it starts anew.
 REMEMBERED = 250_000
 
-_PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa0-\xff]")
-_SEPARATOR, _LETTER, _NUMBER, _SPACE, _OTHER = range(5)
+_SEPARATOR, _LETTER, _NUMBER, _SPACE, _OTHER, _UNSURE = range(6)
+_TABLES: list[np.ndarray] = []
 
 
-def _class_table() -> np.ndarray:
-    table = np.full(256, _OTHER, np.uint8)
-    for code in range(256):
-        char = chr(code)
-        if char.isalpha():
-            table[code] = _LETTER
-        elif char in "0123456789\xb2\xb3\xb9\xbc\xbd\xbe":
-            table[code] = _NUMBER
-        elif char in "\t\n\x0b\x0c\r \xa0":
-            table[code] = _SPACE
-    table[0] = _SEPARATOR
-    return table
+def _classes() -> np.ndarray:
+    """The class of every code point. Made once a worker."""
+    if not _TABLES:
+        table = np.full(0x110000, _OTHER, np.uint8)
+        kinds = {"L": _LETTER, "N": _NUMBER, "Z": _SPACE}
+        for code in range(0x110000):
+            category = unicodedata.category(chr(code))
+            if category == "Cn":
+                table[code] = _UNSURE
+            elif category[0] in kinds:
+                table[code] = kinds[category[0]]
+        table[[9, 10, 11, 12, 13, 0x85]] = _SPACE
+        table[0] = _SEPARATOR
+        _TABLES.append(table)
+    return _TABLES[0]
 
 
-_CLASS = _class_table()
-
-
-def _byte_chars() -> dict[int, str]:
-    """Each Latin-1 character as the library's byte-level step writes its UTF-8 bytes: visible bytes as themselves, others from U+0100 on."""
-    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = {b: 256 + i for i, b in enumerate(x for x in range(256) if x not in visible)}
-    return {c: "".join(chr(hidden.get(b, b)) for b in chr(c).encode()) for c in range(256)}
-
-
-_BYTE_CHARS = _byte_chars()
+#: Each byte as the library's byte-level step writes it: visible ones as themselves, others from U+0100 on.
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _VISIBLE)}
 
 
 def is_plain(text: str) -> bool:
-    return (text.isascii() or max(text) <= "\xff") and _PLAIN.search(text) is None and "<|" not in text
+    if "<|" in text or "\0" in text:
+        return False
+    return text.isascii() or not (_classes()[np.frombuffer(text.encode("utf-32-le"), "<u4")] == _UNSURE).any()
 
 
-def _contractions(data: np.ndarray, kind: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _contractions(points: np.ndarray, kind: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of apostrophes that open one of 's 't 'm 'd 're 've 'll, and the number of letters that they take."""
-    at = np.flatnonzero((data == 39) & begins)
+    at = np.flatnonzero((points == 39) & begins)
     at = at[kind[at + 1] == _LETTER]
-    first, second = data[at + 1], data[np.minimum(at + 2, len(data) - 1)]
+    first, second = points[at + 1], points[np.minimum(at + 2, len(points) - 1)]
     one = np.isin(first, np.frombuffer(b"stmd", np.uint8))
     two = ((first == 114) | (first == 118)) & (second == 101) | (first == 108) & (second == 108)
     return at[one | two], np.where(one, 1, 2)[one | two]
@@ -68,32 +67,58 @@ def _take_letters(begins: np.ndarray, kind: np.ndarray, at: np.ndarray, n: np.nd
     begins[after[kind[after] == _LETTER]] = True
 
 
-def byte_level_cuts(data: np.ndarray) -> np.ndarray:
-    """Where pre-tokens of the byte-level pattern begin. data: Latin-1 texts, each closed by a zero byte, which begins a piece of its own."""
-    kind = _CLASS[data]
-    begins = np.empty(len(data), bool)
+def _byte_level(points: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Where pre-tokens of the byte-level pattern begin; a text's closing zero begins a piece of its own."""
+    begins = np.empty(len(points), bool)
     begins[0] = True
     np.not_equal(kind[1:], kind[:-1], out=begins[1:])
     begins |= kind == _SEPARATOR
-    follows = np.zeros(len(data), bool)  # last white space of a run before something visible
+    follows = np.zeros(len(points), bool)  # last white space of a run before something visible
     follows[:-1] = (kind[:-1] == _SPACE) & (kind[1:] != _SPACE) & (kind[1:] != _SEPARATOR)
     begins |= follows
-    begins[np.flatnonzero(follows & (data == 32)) + 1] = False
-    _take_letters(begins, kind, *_contractions(data, kind, begins))
+    begins[np.flatnonzero(follows & (points == 32)) + 1] = False
+    _take_letters(begins, kind, *_contractions(points, kind, begins))
     return np.flatnonzero(begins)
 
 
-def word_level_cuts(data: np.ndarray) -> np.ndarray:
+def _word_level(points: np.ndarray, kind: np.ndarray) -> np.ndarray:
     """The same for the pattern that drops white space and takes digits one by one; white space still begins a piece."""
-    kind = _CLASS[data]
-    begins = np.empty(len(data), bool)
+    begins = np.empty(len(points), bool)
     begins[0] = True
     np.not_equal(kind[1:], kind[:-1], out=begins[1:])
     begins |= (kind == _SEPARATOR) | (kind == _NUMBER)
-    _take_letters(begins, kind, *_contractions(data, kind, begins))
+    _take_letters(begins, kind, *_contractions(points, kind, begins))
     return np.flatnonzero(begins)
 
 
+class Cut(NamedTuple):
+    """Texts in UTF-8, each closed by a zero byte, and where their pre-tokens begin, how many bytes they take, and which are those zeros."""
+
+    data: np.ndarray
+    begin: np.ndarray
+    length: np.ndarray
+    closing: np.ndarray
+
+
+def cut(texts: Sequence[str], *, words: bool = False) -> Cut:
+    """Cut plain texts. words: by the pattern that drops white space, whose texts must have been normalised; else by the byte-level pattern."""
+    joined = "\0".join(texts) + "\0"
+    data = np.frombuffer(joined.encode(), np.uint8)
+    points = data if joined.isascii() else np.frombuffer(joined.encode("utf-32-le"), "<u4")
+    kind = _classes()[points]
+    at = (_word_level if words else _byte_level)(points, kind)
+    begin = at
+    if points is not data:
+        width = 1 + (points >= 0x80).view(np.uint8) + (points >= 0x800).view(np.uint8) + (points >= 0x10000).view(np.uint8)
+        begin = (np.cumsum(width, dtype=np.int64) - width)[at]
+    length = np.diff(begin, append=len(data))
+    closing = kind[at] == _SEPARATOR
+    if words:
+        keep = kind[at] != _SPACE
+        begin, length, closing = begin[keep], length[keep], closing[keep]
+    return Cut(data, begin, length, closing)
+
+
 _MASKS = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
 
 
@@ -169,10 +194,6 @@ def distinct(data: np.ndarray, begin: np.ndarray, length: np.ndarray, keys, hash
     return pieces, inverse
 
 
-def joined(texts: Sequence[str]) -> np.ndarray:
-    return np.frombuffer(("\0".join(texts) + "\0").encode("latin-1"), np.uint8)
-
-
 class Pieces:
     """Ids of pre-tokens by the library, remembered by the worker."""
 
@@ -204,5 +225,13 @@ class Pieces:
                 known[p] = tuple([x.id for x in merge(p.decode("latin-1").translate(_BYTE_CHARS))])
         return [known[p] for p in pieces]
 
+    def normalised(self, text: str) -> str:
+        """As the library normalises a text; within Latin-1 its normal form, white space apart, is the lower case."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.tokenizer.normalizer.normalize_str(text)
+        return text.lower()
+
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids

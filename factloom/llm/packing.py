@@ -30,12 +30,7 @@ def _document_ids(texts: list[str], library: bpe.Pieces) -> list[np.ndarray]:
     out: list[np.ndarray] = [np.array([END], "<u4")] * len(texts)
     plain = [i for i, t in enumerate(texts) if t and bpe.is_plain(t)]
     if plain:
-        lowered = "\0".join(texts[i] for i in plain).lower() + "\0"
-        data = np.frombuffer(lowered.encode("latin-1"), np.uint8)
-        begin = bpe.word_level_cuts(data)
-        length = np.diff(begin, append=len(data))
-        keep = bpe._CLASS[data[begin]] != bpe._SPACE
-        begin, length = begin[keep], length[keep]
+        data, begin, length, closing = bpe.cut([library.normalised(texts[i]) for i in plain], words=True)
         keys = bpe.packed_keys(data, begin, length)
         found, inverse = bpe.distinct(data, begin, length, keys, bpe.mixed(keys))
         ids = [(END,) if p == b"\0" else x for p, x in zip(found, library.ids(found), strict=True)]
@@ -44,7 +39,7 @@ def _document_ids(texts: list[str], library: bpe.Pieces) -> list[np.ndarray]:
         each = sizes[inverse]
         ends = np.cumsum(each)
         stream = flat[np.repeat(places[inverse] - ends + each, each) + np.arange(ends[-1])]
-        stops = ends[data[begin] == 0]
+        stops = ends[closing]
         for i, a, b in zip(plain, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
             out[i] = stream[a:b]
     for i, t in enumerate(texts):
