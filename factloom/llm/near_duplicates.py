@@ -253,10 +253,15 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     linked = rows.where("set_hash is not null and doc_id is not null")
     classes = settle(linked.groupBy("set_hash").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
     links = near_duplicate_links(own, classes, width=width, percent=percent)
-    copies = linked.select("set_hash", "doc_id").join(classes.where("copies > 1").select("set_hash", "id").hint("merge"), "set_hash").where("doc_id <> id").select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    roots = components(links.unionByName(copies))
-    found = rows.select("doc_id", "n_shingles").join(roots.hint("merge"), F.col("doc_id") == F.col("node"), "left")
-    found = found.select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
+    of_class = linked.select("set_hash", "doc_id").join(classes.select("set_hash", "id").hint("merge"), "set_hash")
+    several = of_class.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("top")).where("b < top").select("doc_id", "b")
+    if not several.isEmpty():  # an id that different texts share links their classes
+        several = settle(several)
+        links = links.unionByName(of_class.join(several.hint("merge"), "doc_id").select(F.col("id").alias("a"), "b"))
+    roots = components(links)
+    rooted = settle(_with_root(classes.select("set_hash", "id"), roots, "id", "root"))
+    found = rows.join(rooted.select("set_hash", "root").hint("merge"), "set_hash", "left")
+    found = found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
