@@ -1,9 +1,9 @@
 """Token counts of whole texts by a map-side two-tier lookup.
 
 Tier one is a compact hash table of frequent pre-tokens and their token counts, broadcast to the tasks; it is bounded by
-FREQUENT entries of at most 24 bytes. Tier two is each worker's cache of what the library gave for the rest. Texts are
-never shuffled, nor are pre-tokens: only a bounded summary a partition (its SUMMARY most frequent pre-tokens, of all its
-texts) is merged to choose tier one, which affects speed and not results.
+FREQUENT entries of at most 24 bytes. It is made of the pre-tokens of the first SAMPLE texts of at most LONGEST characters,
+which the driver reads; that affects speed and not results. Tier two is each worker's cache of what the library gave for the rest. Neither texts nor pre-tokens are
+shuffled; every text is read and counted once.
 """
 
 from __future__ import annotations
@@ -17,46 +17,34 @@ from . import bpe
 from ._runtime import as_batch, bounded_batches, chunks, text_input
 
 FREQUENT = 65_536
-SUMMARY = 8_192
+#: Texts of the sample, and the longest that it takes.
+SAMPLE, LONGEST = 2_000, 50_000
 
 
-def _pieces(data: np.ndarray):
-    begin = bpe.byte_level_cuts(data)
-    length = np.diff(begin, append=len(data))
-    keep = data[begin] != 0
-    row = np.cumsum(~keep)[keep]
-    begin, length = begin[keep], length[keep]
+def _pieces(texts: list[str]):
+    data, begin, length, closing = bpe.cut(texts)
+    row = np.cumsum(closing)[~closing]
+    begin, length = begin[~closing], length[~closing]
     keys = bpe.packed_keys(data, begin, length)
-    return begin, length, row, keys, bpe.mixed(keys)
+    return data, begin, length, row, keys, bpe.mixed(keys)
 
 
-def _summaries(batches):
+def frequent_pieces(docs: DataFrame, size: int = FREQUENT, sample: int = SAMPLE) -> list[bytes]:
+    """The most frequent pre-tokens of a sample of texts, at most `size`."""
+    texts = [r.text for r in docs.select("text").where(F.length("text").between(1, LONGEST)).limit(sample).collect()]
     counts: dict[bytes, int] = {}
-    for _, texts in chunks(batches):
-        plain = [t for t in texts if t and bpe.is_plain(t)]
-        if not plain:
-            continue
-        data = bpe.joined(plain)
-        begin, length, _, keys, hashes = _pieces(data)
-        found, inverse = bpe.distinct(data, begin, length, keys, hashes)
-        for i, n in enumerate(np.bincount(inverse, minlength=len(found)).tolist()):
-            if len(found[i]) <= bpe.PACKED and n > 1:
-                counts[found[i]] = counts.get(found[i], 0) + n
-        if len(counts) > 16 * SUMMARY:  # bounded memory: the rarest so far go
-            counts = dict(sorted(counts.items(), key=lambda x: -x[1])[: 8 * SUMMARY])
-    schema = pa.schema([("piece", pa.binary()), ("n", pa.int64())])
-    top = sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:SUMMARY]
-    yield as_batch([[k for k, _ in top], [n for _, n in top]], schema)
-
-
-def frequent_pieces(docs: DataFrame, size: int = FREQUENT) -> list[bytes]:
-    """The most frequent pre-tokens of all texts, at most `size`, as far as the partitions' summaries tell."""
-    summary = docs.select("doc_id", "text").mapInArrow(_summaries, "piece binary, n long")
-    top = summary.groupBy("piece").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "piece").limit(size)
-    return [bytes(r.piece) for r in top.select("piece").collect()]
-
-
-def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, frequent: int = FREQUENT) -> DataFrame:
+    for _, some in chunks([pa.record_batch([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["n", "text"])]):
+        plain = [t for t in some if bpe.is_plain(t)]
+        if plain:
+            data, begin, length, _, keys, hashes = _pieces(plain)
+            found, inverse = bpe.distinct(data, begin, length, keys, hashes)
+            for piece, n in zip(found, np.bincount(inverse, minlength=len(found)).tolist(), strict=True):
+                if len(piece) <= bpe.PACKED:
+                    counts[piece] = counts.get(piece, 0) + n
+    return [p for p, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size]]
+
+
+def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, frequent: int = FREQUENT, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row.
 
     vocabulary: a file of byte-level BPE for the tokenizers library, readable at the same place on every worker.
@@ -65,7 +53,7 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = text_input(docs, id_col, text_col)
-    pieces = frequent_pieces(docs, frequent)
+    pieces = frequent_pieces(docs, frequent, sample)
     table = spark.sparkContext.broadcast(bpe.CompactTable(pieces, [len(x) for x in bpe.Pieces.of(vocabulary).ids(pieces)]))
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_bytes", pa.int64())])
 
@@ -77,8 +65,7 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
             out = np.zeros(len(texts), np.int64)
             if plain.any():
                 at = np.flatnonzero(plain)
-                data = bpe.joined([texts[i] for i in at.tolist()])
-                begin, length, row, keys, hashes = _pieces(data)
+                data, begin, length, row, keys, hashes = _pieces([texts[i] for i in at.tolist()])
                 n = table.value.find(keys, hashes)
                 n[length > bpe.PACKED] = -1
                 rest = np.flatnonzero(n < 0)
