@@ -1,9 +1,10 @@
 """Quality by nearest-neighbour voting in a latent-semantic space.
 
-Terms are hashed 4-grams of character shapes (letters by case, digits, all else as itself). A bounded sample of labelled
-texts (SAMPLE rows, the parameter `sample`) gives term weights, the latent space by a truncated singular value
-decomposition, and the labelled vectors that are broadcast: at most SAMPLE x DIMENSIONS numbers. Every text's cosine with
-every labelled vector is computed, a block of texts at a time, and its nearest labels vote by similarity.
+Terms are hashed words, A-Z lower-cased, and hashed 4-grams of character shapes (letters by case, digits, all else as
+itself). A bounded sample of labelled texts (SAMPLE rows, the parameter `sample`) gives term weights, the latent space by
+a truncated singular value decomposition, and the labelled vectors that are broadcast: at most SAMPLE x DIMENSIONS
+numbers. Every text's cosine with every labelled vector is computed, a block of texts at a time, and the labels of its
+NEIGHBOURS nearest vote by similarity; of vectors at the same cosine, to DIGITS decimals, those first in the sample vote.
 """
 
 from __future__ import annotations
@@ -15,17 +16,24 @@ from pyspark.sql import functions as F
 
 from ._runtime import as_batch, bounded_batches, chunks, text_input
 from .ngrams import code_points, hashed
+from .words import between, word_hashes
 
-TERMS = 4096
+WORD_TERMS = SHAPE_TERMS = 2048
+TERMS = WORD_TERMS + SHAPE_TERMS
 DIMENSIONS = 64
 SAMPLE = 6_000
 NEIGHBOURS = 15
+DIGITS = 5
 #: Votes weigh as this power of the cosine.
 POWER = 4
 ROWS = 512
 THRESHOLD = 0.7
 
 
+#: What stands between words.
+_BETWEEN = between(32, range(9, 14))
+
+
 def _shapes() -> np.ndarray:
     table = np.arange(65_536, dtype=np.uint32)
     for code in range(65_536):
@@ -40,18 +48,25 @@ def _shapes() -> np.ndarray:
 _SHAPES: list[np.ndarray] = []
 
 
+def _counted(text: np.ndarray, term: np.ndarray, texts: int, terms: int) -> np.ndarray:
+    return np.bincount(text * terms + term, minlength=texts * terms).reshape(texts, terms)
+
+
 def term_counts(texts: list[str]) -> np.ndarray:
-    """log(1 + count) of each term, texts x TERMS."""
+    """log(1 + count) of each term, texts x TERMS: words first, then shapes."""
     if not _SHAPES:
         _SHAPES.append(_shapes())
-    points, bounds = code_points(texts)
-    bins = hashed(_SHAPES[0][np.minimum(points, 65_535)], 4, TERMS)
+    n = len(texts)
+    words, at = word_hashes(texts, _BETWEEN)
+    by_word = _counted(np.repeat(np.arange(n), np.diff(at)), (words % np.uint64(WORD_TERMS)).astype(np.int64), n, WORD_TERMS)
+    points, _ = code_points(texts)
+    bins = hashed(_SHAPES[0][np.minimum(points, 65_535)], 4, SHAPE_TERMS)
     text = np.cumsum(points == 0)[: len(bins)] - 1
     zeros = np.concatenate([[0], np.cumsum(points == 0)])
     inside = zeros[3 : 3 + len(bins)] - zeros[1 : 1 + len(bins)] == 0  # neither middle character ends a text
-    keep = inside & (text < len(texts))
-    counts = np.bincount(text[keep].astype(np.int64) * TERMS + bins[keep], minlength=len(texts) * TERMS)
-    return np.log1p(counts.reshape(len(texts), TERMS), dtype=np.float32)
+    keep = inside & (text < n)
+    by_shape = _counted(text[keep].astype(np.int64), bins[keep].astype(np.int64), n, SHAPE_TERMS)
+    return np.log1p(np.concatenate([by_word, by_shape], 1), dtype=np.float32)
 
 
 def _blocks(batches):
@@ -98,9 +113,14 @@ class Model:
     def score(self, counts: np.ndarray) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(counts), self.prior)
-        cosines = self.project(counts) @ self.vectors.T
+        cosines = np.round(self.project(counts) @ self.vectors.T, DIGITS)
         k = min(NEIGHBOURS, len(self.labels))
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+        least = np.partition(cosines, len(self.labels) - k, axis=1)[:, [len(self.labels) - k]]
+        chosen, level = cosines > least, cosines == least
+        free = k - chosen.sum(1)
+        for row in np.flatnonzero(level.sum(1) > free):
+            level[row, np.flatnonzero(level[row])[free[row] :]] = False
+        near = np.nonzero(chosen | level)[1].reshape(len(counts), k)
         votes = np.maximum(np.take_along_axis(cosines, near, 1), 0).astype(np.float64) ** POWER
         total = votes.sum(1)
         share = (votes * self.labels[near]).sum(1) / np.maximum(total, 1e-12)
@@ -161,7 +181,11 @@ def quality_digest(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> DataFrame:
-    """The rows of docs, with all columns, whose text scores at least THRESHOLD. Texts are scored where they lie, without a shuffle."""
+    """The rows of docs, with all columns, whose text scores at least THRESHOLD. Texts are scored where they lie, without a shuffle.
+
+    Null and empty texts score the labels' mean (0.5 without labels) and stay or go by it; rows that repeat are judged
+    each; other columns, whatever their names, stay as they are; an empty table stays empty.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels, sample=sample))
     names = docs.columns
     at = names.index("text")
