@@ -1,7 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Counts of all training texts are gathered a partition, summed by Spark, and kept as one matrix of log probabilities
-(languages x bins, at most MAX_LANGUAGES x 2 * BINS numbers), which is broadcast. Texts are scored in sparse batches.
+Counts of all training texts are gathered a partition, summed by Spark, and kept as a matrix of log probabilities, with
+the log share of the texts of each language (the prior) beside it. The matrix is broadcast, LANGUAGES languages
+(LANGUAGES x (2 * BINS + 1) numbers) a pass; more languages take further passes. Texts are scored in sparse batches; the
+score is the posterior probability of the language that is predicted.
 """
 
 from __future__ import annotations
@@ -11,14 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._runtime import as_batch, bounded_batches, chunks
+from ._runtime import as_batch, bounded_batches, chunks, settle
 from .ngrams import code_points, hashed
 
 BINS = 1 << 14
-MAX_LANGUAGES = 256
+#: Languages of one pass.
+LANGUAGES = 256
 SMOOTHING = 0.5
-#: A text's evidence counts as of so many n-grams at most, so that scores of long texts don't all round to 1.
-EVIDENCE = 40.0
 
 _LETTERS: list[np.ndarray] = []
 
@@ -60,12 +61,19 @@ def _key(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """docs: text, lang. Languages in order and their log probabilities, languages x (2 * BINS + 1), the last column 0."""
+def gram_counts(docs: DataFrame) -> DataFrame:
+    """docs: text, lang. lang, bin and n of all texts; bin 2 * BINS counts the texts. Settled."""
     schema = pa.schema([("lang", pa.string()), ("bin", pa.int32()), ("n", pa.int64())])
 
     def count(batches):
         counts: dict[str, np.ndarray] = {}
+
+        def rows():
+            for lang, found in counts.items():
+                at = np.flatnonzero(found)
+                yield as_batch([[lang] * len(at), at.astype(np.int32), found[at]], schema)
+            counts.clear()
+
         for langs, texts in chunks(batches):
             groups: dict[str, list[str]] = {}
             for lang, text in zip(langs, texts, strict=True):
@@ -73,25 +81,53 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                     groups.setdefault(lang, []).append(text)
             for lang, own in groups.items():
                 bins, _, _ = _grams(own)
-                found = np.bincount(bins.ravel(), minlength=2 * BINS + 1)[: 2 * BINS]
+                found = np.bincount(bins.ravel(), minlength=2 * BINS + 1)
+                found[2 * BINS] = len(own)
                 counts[lang] = counts[lang] + found if lang in counts else found
-        for lang, found in counts.items():
-            at = np.flatnonzero(found)
-            yield as_batch([[lang] * len(at), at.astype(np.int32), found[at]], schema)
-
-    totals = docs.select("lang", "text").mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
-    rows = totals.groupBy("lang").agg(F.collect_list("bin").alias("bins"), F.collect_list("n").alias("counts")).limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    rows.sort(key=lambda r: r.lang)
-    weights = np.zeros((len(rows), 2 * BINS + 1), np.float64)
-    for i, r in enumerate(rows):
-        weights[i, np.array(r.bins, np.int64)] = r.counts
-    weights[:, :-1] += SMOOTHING
-    for half in (slice(0, BINS), slice(BINS, 2 * BINS)):
-        weights[:, half] = np.log(weights[:, half] / weights[:, half].sum(1, keepdims=True))
-    weights[:, -1] = 0
-    return [r.lang for r in rows], weights.astype(np.float32)
+            if len(counts) > LANGUAGES:  # a worker's memory stays bounded
+                yield from rows()
+        yield from rows()
+
+    totals = docs.select("lang", "text").mapInArrow(count, "lang string, bin int, n long")
+    return settle(totals.groupBy("lang", "bin").agg(F.sum("n").alias("n")))
+
+
+class Model:
+    """Some languages in order and their weights, bins x languages; the last row is the log prior."""
+
+    def __init__(self, langs: list[str], counts: np.ndarray, texts: int):
+        """counts: languages x (2 * BINS + 1), the last column the texts of each; texts: those of all languages."""
+        self.langs = langs
+        weights = counts.astype(np.float64)
+        for half in (slice(0, BINS), slice(BINS, 2 * BINS)):
+            weights[:, half] += SMOOTHING
+            weights[:, half] = np.log(weights[:, half] / weights[:, half].sum(1, keepdims=True))
+        self.prior = np.log(weights[:, -1] / texts)
+        weights[:, -1] = 0
+        self.weights = np.ascontiguousarray(weights.T.astype(np.float32))
+
+    def log_probabilities(self, bins: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Texts x languages."""
+        out = np.tile(self.prior, (len(bounds) - 1, 1))
+        for row in bins:
+            for i in range(len(self.langs)):
+                out[:, i] += np.add.reduceat(self.weights[:, i][row], bounds[:-1], dtype=np.float64)
+        return out
+
+
+def models(docs: DataFrame) -> list[Model]:
+    """docs: text, lang. A model of all texts, in passes of LANGUAGES languages; the driver gets one pass at a time, and the names."""
+    totals = gram_counts(docs)
+    sizes = {r.lang: r.n for r in totals.where(F.col("bin") == 2 * BINS).select("lang", "n").collect()}
+    names, out = sorted(sizes), []
+    for k in range(0, len(names), LANGUAGES):
+        own = names[k : k + LANGUAGES]
+        counts = np.zeros((len(own), 2 * BINS + 1), np.int64)
+        found = totals.where(F.col("lang").between(own[0], own[-1])).toArrow()
+        at = {name: i for i, name in enumerate(own)}
+        counts[[at[x] for x in found.column(0).to_pylist()], found.column(1).to_numpy()] = found.column(2).to_numpy()
+        out.append(Model(own, counts, sum(sizes.values())))
+    return out
 
 
 def identify(docs: DataFrame, train_on: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", known: DataFrame | None = None) -> DataFrame:
@@ -104,34 +140,50 @@ def identify(docs: DataFrame, train_on: Column, *, id_col: str = "doc_id", text_
     spark = docs.sparkSession
     bounded_batches(spark)
     learnt = (known if known is not None else docs).where(train_on & F.col(lang_col).isNotNull())
-    langs, weights = train(learnt.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")))
-    model = spark.sparkContext.broadcast((langs, np.ascontiguousarray(weights.T)))
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
-
-    def score(batches):
-        names, matrix = model.value
-        for ids, texts in chunks(batches):
-            bins, bounds, letters = _grams([t or "" for t in texts])
-            logp, n = np.zeros((len(ids), len(names))), np.zeros(len(ids))
-            for row in bins:
-                for i in range(len(names)):
-                    logp[:, i] += np.add.reduceat(matrix[:, i][row], bounds[:-1], dtype=np.float64)
-                n += np.add.reduceat(row != 2 * BINS, bounds[:-1], dtype=np.int64)
-            preds, scores = ["und"] * len(ids), np.zeros(len(ids))
-            if names:
-                logp *= np.minimum(1, EVIDENCE / np.maximum(n, 1))[:, None]
-                p = np.exp(logp - logp.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                best = p.argmax(1)
-                for i in np.flatnonzero(letters > 0).tolist():
-                    preds[i], scores[i] = names[best[i]], p[i, best[i]]
-            yield as_batch([ids, preds, scores], schema)
-
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(score, "doc_id long, lang_pred string, score double")
+    passes = models(learnt.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")))
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lang_pred", pa.string()), ("best", pa.float64()), ("total", pa.float64())])
+
+    def score(model, last):
+        def run(batches):
+            for batch in batches:
+                begin = 0
+                for ids, texts in chunks([batch]):
+                    rows = batch.slice(begin, len(ids))
+                    begin += len(ids)
+                    bins, bounds, letters = _grams([t or "" for t in texts])
+                    logp = model.value.log_probabilities(bins, bounds)
+                    at = logp.argmax(1)
+                    best = logp[np.arange(len(ids)), at]
+                    total = best + np.log(np.exp(logp - best[:, None]).sum(1))  # log of the sum over this pass's languages
+                    before_best, before_total = (rows.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))
+                    better = best > before_best
+                    preds = [model.value.langs[i] if b else p for i, b, p in zip(at.tolist(), better.tolist(), rows.column(2).to_pylist(), strict=True)]
+                    best, total = np.maximum(best, before_best), np.logaddexp(total, before_total)
+                    if last:
+                        some = letters > 0
+                        preds = [p if s else "und" for p, s in zip(preds, some.tolist(), strict=True)]
+                        yield as_batch([ids, preds, np.where(some, np.exp(np.minimum(best - total, 0)), 0.0)], pa.schema([schema.field(0), schema.field(2), ("score", pa.float64())]))
+                    else:
+                        yield as_batch([ids, texts, preds, best, total], schema)
+
+        return run
+
+    none = F.lit(float("-inf"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit("und").alias("lang_pred"), none.alias("best"), none.alias("total"))
+    for k, model in enumerate(passes):
+        last = k == len(passes) - 1
+        own = own.mapInArrow(score(spark.sparkContext.broadcast(model), last), "doc_id long, lang_pred string, score double" if last else "doc_id long, text string, lang_pred string, best double, total double")
+        if not last:
+            own = settle(own)
+    return own if passes else own.select("doc_id", "lang_pred", F.lit(0.0).alias("score"))
 
 
 def language_digest(docs: DataFrame) -> DataFrame:
-    """Learn where crc32(doc_id as text) mod 5 is not 0, predict everywhere."""
+    """doc_id, held_out, lang_pred and score of every row: learnt where crc32(doc_id as text) mod 5 is not 0, predicted everywhere.
+
+    A null id reads as an empty text. Null and empty texts, and those without letters, are 'und' with score 0; rows that
+    repeat are judged each; an empty table gives no rows; of other columns only lang is read, to learn from.
+    """
     held = lambda c: F.crc32(_key(c)) % 5 == 0
     found = identify(docs, ~held(F.col("doc_id")))
     return found.select("doc_id", held(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
