@@ -45,11 +45,14 @@ def _matrix(rows: list) -> np.ndarray:
 
 
 def _products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Integer inner products; in floating point only where that is exact."""
+    """Integer inner products; in floating point only where that is exact, and those beyond 64 bits as the nearest number of 64 bits."""
     bound = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
     if bound < 2**53:
         return (q.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64)
-    return q @ v.T
+    if bound < 2**62:
+        return q @ v.T
+    exact = q.astype(object) @ v.T.astype(object)
+    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 class _Best:
@@ -160,7 +163,7 @@ def top_k(df: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col
     """query_id, rank, vec_id and score: the k highest integer inner products of each query with all other rows.
 
     Vectors that are null, empty, or hold null or non-finite components take no part, nor rows without an id; vectors are
-    only compared with those of as many components. Ties go to the smaller id. Of rows that share a query's id the
+    only compared with those of as many components. A score beyond 64 bits counts as the nearest number of 64 bits. Ties go to the smaller id. Of rows that share a query's id the
     least vector asks, and none of them is its answer. Fewer than k other rows give all of them. Further columns are not read.
     """
     spark = df.sparkSession
