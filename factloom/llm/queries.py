@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, near_duplicates, packing, pii, quality, secrets, token_counts, top_k, url_filters
+from . import decontamination, filter_audit, language_id, near_duplicates, one_bit_codes, packing, phrases, pii, quality, secrets, token_counts, top_k, url_filters
 from ._runtime import table
 
 
@@ -58,7 +58,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_token_counts, op3_top_k, op4_quality, op5_secret_scan, op6_decontamination, op7_near_duplicates, op8_pii, op9_best_fit_packing, op10_language_id)}
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return one_bit_codes.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), support=100, longest=5, first=2000)
+
+
+_ALL = (
+    op1_url_filters, op2_token_counts, op3_top_k, op4_quality, op5_secret_scan, op6_decontamination, op7_near_duplicates, op8_pii, op9_best_fit_packing, op10_language_id,
+    op11_nearest_neighbours, op12_filter_audit, op13_phrase_mining,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -89,5 +105,42 @@ reach AS (SELECT doc_id AS node, doc_id AS other FROM documents UNION SELECT r.n
 roots AS (SELECT node, min(other) AS root FROM reach GROUP BY node)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id, d.doc_id = root AS kept FROM documents d JOIN roots ON node = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id"""
 
-#: What the others give rests on trained models, byte-pair encoding, or spans that a method adds.
-ORACLE_SQL: dict[str, str] = {"op3_top_k": _TOP_K, "op6_decontamination": _CONTAMINATION, "op7_near_duplicates": _GROUPS}
+_AUDIT = """WITH texts AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM texts GROUP BY t),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+failed AS (SELECT part, CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+ || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+ || CASE WHEN doc_id > first THEN 'E' ELSE '' END AS fails, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+ FROM texts JOIN firsts USING (t) LEFT JOIN marks USING (doc_id)),
+masks AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM failed GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a JOIN letters b ON b.x <> a.x JOIN letters c ON c.x NOT IN (a.x, b.x)
+ JOIN letters d ON d.x NOT IN (a.x, b.x, c.x) JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)),
+steps AS (SELECT filter_order, step, filter_order[step] AS letter, translate(fails, filter_order[1:step - 1], '') = fails AS reached, contains(fails, filter_order[step]) AS failing, m.*
+ FROM orders CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS step) s CROSS JOIN masks m),
+sums AS (SELECT part, filter_order, CAST(step AS INTEGER) AS step, letter, sum(CASE WHEN reached AND NOT failing THEN n ELSE 0 END) AS kept, sum(CASE WHEN reached AND failing THEN n ELSE 0 END) AS removed,
+ sum(CASE WHEN failing AND NOT reached THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = letter THEN n ELSE 0 END) AS unique_fails,
+ sum(CASE WHEN reached AND failing THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN reached AND failing THEN toxic ELSE 0 END) AS toxic_lost FROM steps GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+ CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM sums"""
+
+_PHRASES = f"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+places AS (SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM words WHERE len(w) > 0),
+runs AS (SELECT lang, s.size, array_to_string(w[i:i + s.size - 1], ' ') AS phrase FROM places JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS size) s ON i + s.size - 1 <= len(w)),
+frequent AS (SELECT lang, size, phrase, count(*) AS f FROM runs GROUP BY lang, size, phrase HAVING count(*) >= 100),
+candidates AS (SELECT *, string_split(phrase, ' ') AS w FROM frequent WHERE size > 1),
+cuts AS (SELECT lang, phrase, size, f, w, unnest(generate_series(1, size - 1)) AS k FROM candidates),
+scores AS (SELECT c.lang, c.phrase, c.size, c.f AS a, k, x.f AS l, y.f AS r, n, CAST((1000::HUGEINT * c.f * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+ FROM cuts c JOIN frequent x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ') JOIN frequent y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ') JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS best FROM scores) z WHERE best = 1),
+inner_sizes AS (SELECT lang, w, size, f, unnest(generate_series(2, size - 1)) AS m FROM candidates WHERE size > 2),
+inner_starts AS (SELECT lang, w, size, f, m, unnest(generate_series(1, size - m + 1)) AS i FROM inner_sizes),
+covers AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS most FROM inner_starts GROUP BY ALL),
+left_over AS (SELECT s.* FROM lowest s LEFT JOIN covers c ON c.lang = s.lang AND c.phrase = s.phrase WHERE c.most IS NULL OR 100 * c.most < 100 * s.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM left_over)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000"""
+
+#: What the others give rests on trained models, byte-pair encoding, random codes, or spans that a method adds.
+ORACLE_SQL: dict[str, str] = {"op3_top_k": _TOP_K, "op6_decontamination": _CONTAMINATION, "op7_near_duplicates": _GROUPS, "op12_filter_audit": _AUDIT, "op13_phrase_mining": _PHRASES}
