@@ -35,9 +35,21 @@ def refusal(kind: Column, guard_ok: Column, approval: Column, release: Column, d
     )
 
 
+def refused(kind: str, guard_ok: bool | None, approval: str, release: str, decision: str) -> str | None:
+    """The same for one decision in Python, where state is kept by a stream."""
+    rules = {
+        "DRAFT": [("MUST_BE_WITHDRAWN", release == "RELEASED")],
+        "REJECTED": [("MUST_BE_WITHDRAWN", release == "RELEASED")],
+        "APPROVED": [("INCOMPLETE", kind == "item" and guard_ok is False)],
+        "RELEASE": [("BAD_TRANSITION", release != "UNRELEASED"), ("NOT_APPROVED", approval != "APPROVED"), ("GUARD_FAILED", kind in ("note", "item", "package") and guard_ok is False)],
+        "WITHDRAW": [("BAD_TRANSITION", release != "RELEASED")],
+    }
+    return next((reason for reason, broken in rules.get(decision, []) if broken), None)
+
+
 #: Decisions that one row folds.
 BUCKET = 1_000
-_APPROVALS, _RELEASES = ["DRAFT", "APPROVED", "REJECTED"], ["UNRELEASED", "RELEASED", "WITHDRAWN"]
+APPROVALS, RELEASES = ["DRAFT", "APPROVED", "REJECTED"], ["UNRELEASED", "RELEASED", "WITHDRAWN"]
 
 
 def _names(values: list[str]) -> Column:
@@ -48,13 +60,13 @@ def _moved(kind: Column, state: Column, e: Column) -> Column:
     """The number of the state (3 * approval + release) that a decision leads to from another."""
     d = e["decision"]
     approval, release = F.floor(state / 3).cast("int"), state % 3
-    ok = refusal(kind, e["guard_ok"], F.get(_names(_APPROVALS), approval), F.get(_names(_RELEASES), release), d).isNull()
-    to = F.when(ok & d.isin(_APPROVALS), F.array_position(_names(_APPROVALS), d).cast("int") - 1).otherwise(approval)
+    ok = refusal(kind, e["guard_ok"], F.get(_names(APPROVALS), approval), F.get(_names(RELEASES), release), d).isNull()
+    to = F.when(ok & d.isin(APPROVALS), F.array_position(_names(APPROVALS), d).cast("int") - 1).otherwise(approval)
     return (3 * to + F.when(ok & (d == "RELEASE"), 1).when(ok & (d == "WITHDRAW"), 2).otherwise(release)).cast("int")
 
 
 def _number(approval: Column, release: Column) -> Column:
-    return (3 * (F.array_position(_names(_APPROVALS), approval) - 1) + F.array_position(_names(_RELEASES), release) - 1).cast("int")
+    return (3 * (F.array_position(_names(APPROVALS), approval) - 1) + F.array_position(_names(RELEASES), release) - 1).cast("int")
 
 
 def _starts(buckets: DataFrame) -> DataFrame:
@@ -92,7 +104,7 @@ def release_state(decisions: DataFrame, *, bucket: int = BUCKET, before: DataFra
         begun = buckets.join(settled(_starts(buckets)).hint("merge"), ["asset", "asset_kind", "bucket"], "left").withColumn("start", F.coalesce("start", "first"))
     when = decisions.schema["ts"].dataType.simpleString()
     start = F.struct(
-        F.get(_names(_APPROVALS), F.floor(F.col("start") / 3).cast("int")).alias("approval"), F.get(_names(_RELEASES), F.col("start") % 3).alias("release"), F.lit(False).alias("reviewed"), F.lit(None).cast("string").alias("reviewer_note"), F.lit(None).cast(when).alias("decided_at"),
+        F.get(_names(APPROVALS), F.floor(F.col("start") / 3).cast("int")).alias("approval"), F.get(_names(RELEASES), F.col("start") % 3).alias("release"), F.lit(False).alias("reviewed"), F.lit(None).cast("string").alias("reviewer_note"), F.lit(None).cast(when).alias("decided_at"),
         F.lit(None).cast(when).alias("released_at"), F.lit(None).cast(when).alias("withdrawn_at"), F.lit(False).alias("noted"), F.lit(None).cast("string").alias("release_note"), F.array().cast(_REFUSED).alias("refused"),
     )
 
@@ -100,7 +112,7 @@ def release_state(decisions: DataFrame, *, bucket: int = BUCKET, before: DataFra
         d = e["decision"]
         reason = refusal(F.col("asset_kind"), e["guard_ok"], s["approval"], s["release"], d)
         ok = reason.isNull()
-        review, undo = ok & d.isin(_APPROVALS), ok & (d == "DRAFT")
+        review, undo = ok & d.isin(APPROVALS), ok & (d == "DRAFT")
         out, back = ok & (d == "RELEASE"), ok & (d == "WITHDRAW")
         no = F.struct(e["seq"].alias("seq"), d.alias("decision"), reason.alias("reason"), s["approval"].alias("approval"), s["release"].alias("release"))
         return F.struct(

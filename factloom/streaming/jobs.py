@@ -2,48 +2,96 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from factloom.operators import lifecycle
 from factloom.operators import text as tx
 from factloom.sources.storage import shared_folder  # noqa: F401
 
 
-
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's files as a stream."""
     path = f"{sf_dir}/{name}.parquet"
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
 
 
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
+def _micros(kind: str) -> Column:
+    """ts as microseconds since 1970; local times are not tied to a zone."""
+    return F.expr(f"cast(1000000 * cast(cast(ts - {_EPOCH} as interval second) as decimal(24, 6)) as long)") if kind == "timestamp_ntz" else F.unix_micros("ts")
+
+
+def _time(column: str, kind: str) -> Column:
+    back = F.expr(f"{_EPOCH} + make_dt_interval(0, 0, 0, cast({column} / 1000000.0 as decimal(18, 6)))") if kind == "timestamp_ntz" else F.timestamp_micros(column)
+    return back.alias(column)
+
+
+_STATE = "approval_status string, release_status string, reviewer_note string, decided_at long, released_at long, withdrawn_at long, release_note string, n_refused long"
+_OUTCOME = f"asset string, asset_kind string, {_STATE}, seq long, decision string, reason string, approval string, release string"
+_outcome = Row(*[c.split()[0] for c in _OUTCOME.split(", ")])
+#: Keeps state on the executors' disks and its changes in the checkpoint; states of any number fit.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Fold(StatefulProcessor):
+    """An asset's new decisions of a batch, in order of time, from its stored state: its new state and the refused ones."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.stored = handle.getValueState("state", _STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        asset, kind = key
+        approval, release, note, decided, released, withdrawn, release_note, refused = self.stored.get() or ("DRAFT", "UNRELEASED", None, None, None, None, None, 0)
+        for r in sorted(rows, key=lambda r: (r.ts, r.seq)):
+            reason = lifecycle.refused(kind, r.guard_ok, approval, release, r.decision)
+            if reason:
+                refused += 1
+                yield _outcome(asset, kind, *[None] * 8, r.seq, r.decision, reason, approval, release)
+            elif r.decision in lifecycle.APPROVALS:
+                kept = r.decision != "DRAFT"
+                approval, note, decided = r.decision, r.note if kept else None, r.ts if kept else None
+            elif r.decision == "RELEASE":
+                release, released, release_note = "RELEASED", r.ts, r.note
+            elif r.decision == "WITHDRAW":
+                release, withdrawn, release_note = "WITHDRAWN", r.ts, r.note
+        now = (approval, release, note, decided, released, withdrawn, release_note, refused)
+        self.stored.update(now)
+        yield _outcome(asset, kind, *now, *[None] * 5)
+
+    def close(self) -> None:
+        pass
+
+
 def release_state_stream(decisions: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """New decisions to states and refused decisions. states: the last state of each asset; refused: with the reason.
 
-    Each batch is folded by the batch operator from the states that the batches before left, and written under its
-    number, so that a batch that runs again replaces itself. Decisions count in the order of their batches.
+    An asset's state lies in Spark's state store, so a batch reads and writes the states of its own assets only. What a
+    batch changes is written under its number, so that one that runs again replaces itself; a stream that starts again in
+    the same folder goes on where it stopped. Decisions count in the order of their batches, and by ts and seq within one.
+    All rows of one asset in one batch meet in a worker: let the source bound its batches (maxBytesPerTrigger).
     """
     spark = decisions.sparkSession
-
-    def states(upto: int, shape) -> DataFrame | None:
-        """The states after the batches before `upto`: of each asset the row of its last batch."""
-        if upto == 0:
-            return None
-        parts = spark.read.schema(shape).parquet(*[f"{folder}/states/part={k}" for k in range(upto)])
-        return parts.groupBy("asset", "asset_kind").agg(F.max_by(F.struct(*[c for c in parts.columns if c not in ("asset", "asset_kind")]), "batch").alias("s")).select("asset", "asset_kind", "s.*")
+    kind = decisions.schema["ts"].dataType.simpleString()
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass").endswith("HDFSBackedStateStoreProvider"):  # Spark's default holds all states in memory
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = decisions.select("asset", "asset_kind", _micros(kind).alias("ts"), F.col("seq").cast("long").alias("seq"), "decision", "note", "guard_ok")
+    outcomes = rows.groupBy("asset", "asset_kind").transformWithState(_Fold(), _OUTCOME, "Update", "None")
 
     def write(batch: DataFrame, number: int) -> None:
-        stamp = batch.schema["ts"].dataType.simpleString()
-        shape = f"asset string, asset_kind string, approval_status string, reviewer_note string, decided_at {stamp}, release_status string, released_at {stamp}, withdrawn_at {stamp}, release_note string, n_refused long, batch int"
-        state, refused = lifecycle.release_state(batch, before=states(number, shape))
-        state.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/states/part={number}")
-        refused.write.mode("overwrite").parquet(f"{folder}/refused/part={number}")
-
-    decisions.writeStream.option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
-    parts = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/states")
-    last = parts.groupBy("asset", "asset_kind").agg(F.max_by(F.struct(*[c for c in parts.columns if c not in ("asset", "asset_kind", "batch")]), "batch").alias("s"))
-    return last.select("asset", "asset_kind", "s.*"), spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/refused")
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/out/part={number}")
+
+    outcomes.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    found = spark.read.schema(f"{_OUTCOME}, batch int").option("recursiveFileLookup", "true").parquet(f"{folder}/out")
+    last = found.where("seq is null").groupBy("asset", "asset_kind").agg(F.max_by(F.struct(*[c.split()[0] for c in _STATE.split(", ")]), "batch").alias("s")).select("asset", "asset_kind", "s.*")
+    states = last.select("asset", "asset_kind", "approval_status", "reviewer_note", _time("decided_at", kind), "release_status", _time("released_at", kind), _time("withdrawn_at", kind), "release_note", "n_refused")
+    return states, found.where("seq is not null").select("asset", "asset_kind", "seq", "decision", "reason", "approval", "release")
 
 
 def stream_dedupe_links(links: DataFrame, *, delay: str = "1 day") -> DataFrame:
