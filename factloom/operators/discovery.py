@@ -14,6 +14,7 @@ from factloom.functions import exprs as E
 from factloom.sources.storage import settled
 
 from . import relational as rel
+from .url_scores import url_scores
 
 #: Kinds of content that are stored.
 SUPPORTED = ["application/json", "application/pdf", "application/xml", "text/html", "text/plain", "text/xml"]
@@ -76,25 +77,14 @@ def frontier_filter(urls: DataFrame, hosts: DataFrame, rules: DataFrame, *, agen
 
 
 def scored_urls(urls: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, url and score (how many of the query's tokens the URL holds) wherever there is one.
-
-    Tokens and URLs meet by the token's first three characters, which the URL must hold; shorter tokens by themselves.
-    """
-    own = queries.select("query_id", F.explode(E.search_tokens(F.col("query"))).alias("token")).select("query_id", "token", F.substring("token", 1, 3).alias("gram"))
-    lower = F.lower("url")
-
-    def pieces(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("url") - n + 1)), lambda i: F.substr(lower, i, F.lit(n)))
-
-    grams = F.array_distinct(F.flatten(F.array(*[pieces(n) for n in (1, 2, 3)])))
-    met = urls.select("url").distinct().select("url", F.explode(grams).alias("gram")).join(own.hint("merge"), "gram").where(F.contains(lower, F.col("token")))
-    return met.groupBy("query_id", "url").agg(F.count_distinct("token").alias("score"))
+    """query_id, url and score (how many of the query's tokens the URL holds) wherever there is one."""
+    return url_scores(urls, queries)
 
 
 def discover_candidates(urls: DataFrame, queries: DataFrame, *, k: int = 50) -> DataFrame:
-    """query_id, position, location, score: the k best URLs of each query by score and then URL."""
-    best = rel.top_of(scored_urls(urls, queries), "query_id", [F.desc("score"), "url"], k)
-    return rel.numbered(best, "query_id", [F.desc("score"), "url"]).select("query_id", "position", F.col("url").alias("location"), F.col("score").cast("long").alias("score"))
+    """query_id, position, location, score: the k best URLs of each query by score and then URL. A task hands on k a query at most."""
+    best = rel.top_of(url_scores(urls, queries, k=k), "query_id", [F.desc("score"), "url"], k)
+    return rel.numbered(best, "query_id", [F.desc("score"), "url"]).select("query_id", "position", F.col("url").alias("location"), "score")
 
 
 def limit_gate(counts: DataFrame, limits: dict[str, int]) -> DataFrame:
