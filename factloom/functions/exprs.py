@@ -31,10 +31,15 @@ def sha256_hex(c: Column) -> Column:
 
 def decoded_base64(c: Column) -> Column:
     """Bytes of strictly padded base64, else null."""
-    whole = c.rlike("^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$")
+    whole = (F.length(c) % 4 == 0) & c.rlike(r"^[A-Za-z0-9+/]*={0,2}\z")
     return F.when(whole, F.try_to_binary(c, F.lit("base64")))
 
 
+def encoded_base64(c: Column) -> Column:
+    """Base64 of bytes in one line."""
+    return F.translate(F.base64(c), "\r\n", "")
+
+
 def media_type(c: Column) -> Column:
     return F.lower(strip(F.split_part(c, F.lit(";"), F.lit(1))))
 

@@ -12,7 +12,7 @@ _IP = r"(x RLIKE r'^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]
 #: SQL functions as expressions of their parameters; each comes after those that it uses.
 SQL_FUNCTIONS = {
     "fl_sha256": ("x STRING", "STRING", "sha2(x, 256)"),
-    "fl_base64": ("x STRING", "BINARY", "CASE WHEN x RLIKE '^([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?$' THEN try_to_binary(x, 'base64') END"),
+    "fl_base64": ("x STRING", "BINARY", "CASE WHEN length(x) % 4 = 0 AND x RLIKE r'^[A-Za-z0-9+/]*={0,2}\\z' THEN try_to_binary(x, 'base64') END"),
     "fl_strip": ("x STRING", "STRING", _STRIP),
     "fl_media_type": ("x STRING", "STRING", "lower(fl_strip(split_part(x, ';', 1)))"),
     "fl_authority": ("x STRING", "STRING", "regexp_extract(x, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"),

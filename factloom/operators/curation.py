@@ -44,7 +44,7 @@ def claim_selection(requests: DataFrame, claims: DataFrame) -> DataFrame:
     code = F.when(F.col("there").isNull(), "NOT_FOUND").when(F.col("approval_status") != "APPROVED", "NOT_APPROVED").when(F.col("claim_topic") != F.col("topic_id"), "TOPIC_MISMATCH")
     coded = wanted.join(known.hint("merge"), "claim_id", "left").withColumn("code", code)
     failed = coded.where("code is not null").groupBy("item_id").agg(F.min(F.struct("position", "code")).alias("first"))
-    return requests.select("item_id").join(failed, "item_id", "left").select("item_id", F.col("first.position").alias("position"), F.coalesce("first.code", F.lit("OK")).alias("code"))
+    return requests.select("item_id").join(failed.hint("merge"), "item_id", "left").select("item_id", F.col("first.position").alias("position"), F.coalesce("first.code", F.lit("OK")).alias("code"))
 
 
 def package_members(packages: DataFrame, notes: DataFrame, items: DataFrame) -> DataFrame:

@@ -6,10 +6,12 @@ import json
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from hashlib import sha256
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -203,17 +205,44 @@ def store_extraction(snapshots: DataFrame, folder: str, **limits: int) -> tuple[
 
 
 def chunk_integrity(chunks: DataFrame, texts: DataFrame, *, size: int = SIZE) -> DataFrame:
-    """Chunks that differ from their place in the text, from their hash, or from the limits, with the first reason."""
-    both = chunks.join(texts.select("id", F.col("text").alias("whole")), "id")
-    reason = (
-        F.when((F.col("char_start") < 0) | (F.col("char_end") <= F.col("char_start")) | (F.col("char_end") > F.length("whole")), "RANGE")
-        .when(F.length("text") != F.col("char_end") - F.col("char_start"), "LENGTH")
-        .when(F.length("text") > size, "TOO_LONG")
-        .when(E.strip(F.col("text")) == "", "BLANK")
-        .when(F.expr("substring(whole, char_start + 1, char_end - char_start)") != F.col("text"), "TEXT")
-        .when(F.sha2("text", 256) != F.col("sha256"), "HASH")
+    """Chunks that differ from their place in the text, from their hash, or from the limits, with the first reason.
+
+    A text meets its chunks' places and digests once, so the work is linear in texts and chunks of any length. A chunk
+    without a place is out of range, one without text or hash differs; chunks of unknown texts are left out.
+    """
+    start, end, text = F.col("char_start"), F.col("char_end"), F.col("text")
+    own = (
+        F.when(F.coalesce((start < 0) | (end <= start), F.lit(True)), "RANGE")
+        .when(F.length(text) != end - start, "LENGTH")
+        .when(F.length(text) > size, "TOO_LONG")
+        .when(E.strip(text) == "", "BLANK")
     )
-    return both.withColumn("reason", reason).where("reason is not null").select("id", "position", "reason")
+    digest = F.sha2(text, 256)
+    placed = chunks.select("id", F.struct("position", start.cast("long").alias("a"), end.cast("long").alias("b"), F.unhex(digest).alias("digest"), own.alias("reason"), (digest == F.col("sha256")).alias("same")).alias("chunk"))
+    gathered = placed.groupBy("id").agg(F.collect_list("chunk").alias("chunks"))  # as many as the text, which is one row, has chunks
+    kinds = {f.name: f.dataType.simpleString() for f in chunks.schema.fields}
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, row_of, reasons = batch.column(2), [], []
+            parts = [lists.flatten().field(name).to_pylist() for name in ("a", "b", "digest", "reason", "same")]
+            at = 0
+            for row, (whole, n) in enumerate(zip(batch.column(1).to_pylist(), lists.value_lengths().to_pylist(), strict=True)):
+                for a, b, digest, reason, same in zip(*[p[at : at + n] for p in parts], strict=True):
+                    if reason != "RANGE" and b > len(whole):
+                        reason = "RANGE"
+                    elif not reason and sha256(whole[a:b].encode()).digest() != digest:
+                        reason = "TEXT"
+                    elif not reason and not same:
+                        reason = "HASH"
+                    reasons.append(reason)
+                    row_of.append(row)
+                at += n
+            found = pa.array(reasons, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row_of, pa.int64())), lists.flatten().field("position"), found], ["id", "position", "reason"]).filter(found.is_valid())
+
+    both = texts.select("id", F.col("text").alias("whole")).where("whole is not null").join(gathered.hint("merge"), "id")
+    return both.select("id", "whole", "chunks").mapInArrow(check, f"id {kinds['id']}, position {kinds['position']}, reason string")
 
 
 def chunk_continuity(chunks: DataFrame, lengths: DataFrame, *, overlap: int = OVERLAP) -> DataFrame:
@@ -222,4 +251,4 @@ def chunk_continuity(chunks: DataFrame, lengths: DataFrame, *, overlap: int = OV
     seen = chunks.withColumn("following", F.lead("char_start").over(w)).withColumn("place", F.row_number().over(w) - 1)
     bad = F.col("following").isNotNull() & ~((F.col("following") == F.col("char_end") - overlap) | (F.col("following") == F.col("char_end")))
     per = seen.groupBy("id").agg(F.count_if(bad | (F.col("position") != F.col("place"))).alias("breaks"), F.min("char_start").alias("first"), F.max("char_end").alias("last"), F.count("*").alias("n_chunks"))
-    return per.join(lengths, "id").select("id", "n_chunks", "breaks", ((F.col("breaks") == 0) & (F.col("first") == 0) & (F.col("last") == F.col("n"))).alias("continuous"))
+    return per.join(lengths.hint("merge"), "id").select("id", "n_chunks", "breaks", ((F.col("breaks") == 0) & (F.col("first") == 0) & (F.col("last") == F.col("n"))).alias("continuous"))

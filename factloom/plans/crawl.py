@@ -45,7 +45,7 @@ _POLICY = "(regexp_matches(url, '^(?i)https://') AND url NOT LIKE '% %' AND url
 @query(f"SELECT page_id, variant, {_POLICY.format(h='host')} AND host IN (SELECT host FROM {{allowed_hosts}}) AS allowed FROM (SELECT page_id, variant, url, {_H} AS host FROM {_ODD} x) y")
 def url_policy_filter(t) -> DataFrame:
     urls = _odd_urls(t).withColumn("host", E.host(C("url")))
-    listed = urls.join(t("allowed_hosts").select("host", F.lit(True).alias("listed")), "host", "left")
+    listed = urls.join(t("allowed_hosts").select("host", F.lit(True).alias("listed")).hint("merge"), "host", "left")
     return listed.select("page_id", "variant", (E.url_policy(C("url")) & C("listed").isNotNull()).alias("allowed"))
 
 
@@ -104,8 +104,8 @@ def classify_fetch(t) -> DataFrame:
 
 
 @query(
-    """SELECT result_id, reason, CASE WHEN reason IS NULL AND status = 'SUCCEEDED' THEN CAST(11 AS BIGINT) END AS byte_size, CASE WHEN reason IS NULL AND status = 'SUCCEEDED' THEN sha256('hello world') END AS sha256 FROM (
- SELECT r.*, CASE WHEN s.source_id IS NULL THEN 'SOURCE_NOT_FOUND' WHEN r.requested_url <> s.location THEN 'URL_MISMATCH' WHEN r.status = 'SUCCEEDED' AND r.content_base64 = 'not base64!' THEN 'INVALID_BASE64' WHEN r.status = 'SUCCEEDED' AND r.content_base64 = '' THEN 'EMPTY_CONTENT' END AS reason FROM {fetch_results} r LEFT JOIN {sources} s ON s.source_id = r.source_id) x"""
+    """SELECT result_id, reason, CASE WHEN reason IS NULL AND status = 'SUCCEEDED' THEN CAST(strlen(text) AS BIGINT) END AS byte_size, CASE WHEN reason IS NULL AND status = 'SUCCEEDED' THEN sha256(text) END AS sha256 FROM (
+ SELECT r.*, d.text, CASE WHEN s.source_id IS NULL THEN 'SOURCE_NOT_FOUND' WHEN r.requested_url <> s.location THEN 'URL_MISMATCH' WHEN r.status = 'SUCCEEDED' AND r.content_base64 = 'not base64!' THEN 'INVALID_BASE64' WHEN r.status = 'SUCCEEDED' AND coalesce(d.text, '') = '' THEN 'EMPTY_CONTENT' WHEN r.status = 'SUCCEEDED' AND strlen(d.text) > 5242880 THEN 'CONTENT_TOO_LARGE' END AS reason FROM {fetch_results} r JOIN {documents} d ON d.doc_id = r.result_id LEFT JOIN {sources} s ON s.source_id = r.source_id) x"""
 )
 def ingest_fetch_results(t) -> DataFrame:
     runs, snapshots, rejects = dc.ingest_fetch_results(t("fetch_results"), t("sources"))

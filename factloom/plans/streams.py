@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from factloom.streaming import jobs
 
+from factloom.sources.chunk_sql import chunk_sql
+
 from .registry import query
 from .review import STATE_SQL as _STATE
+from .text import _NORMAL
 
 C = F.col
 
@@ -28,11 +31,14 @@ def stream_release_state(t) -> DataFrame:
     return jobs.release_state_stream(_decisions(jobs.table_stream(t.spark, t.sf_dir, "events")), jobs.shared_folder(t.spark))[0]
 
 
-@query()
+_EXTRACTED = f"(SELECT doc_id AS id, n || chr(10) AS text FROM (SELECT doc_id, {_NORMAL.format(x='text')} AS n FROM {{documents}} WHERE text IS NOT NULL) a WHERE n <> '')"
+
+
+@query(f"SELECT id AS snapshot_id, position, char_start, char_end, text, sha256 FROM {chunk_sql(_EXTRACTED)} x")
 def stream_extract(t) -> DataFrame:
     docs = jobs.table_stream(t.spark, t.sf_dir, "documents").where("text is not null")
     snapshots = docs.select(C("doc_id").alias("snapshot_id"), F.lit("text/plain").alias("content_type"), C("text").cast("binary").alias("content"))
-    return jobs.extract_stream(snapshots, jobs.shared_folder(t.spark))[1]
+    return jobs.extract_stream(snapshots, jobs.shared_folder(t.spark))[1].select("snapshot_id", "position", "char_start", "char_end", "text", "sha256")
 
 
 @query("SELECT DISTINCT user_id AS claim_id, event_id % 50 AS evidence_id FROM {events}")

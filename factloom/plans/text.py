@@ -21,10 +21,13 @@ def fn_sha256(t) -> DataFrame:
     return t("texts").select("id", E.sha256_hex(C("text")).alias("sha"))
 
 
-@query("SELECT result_id, CASE WHEN regexp_full_match(content_base64, '([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?') THEN 'decoded:' || CASE WHEN content_base64 = '' THEN '' ELSE 'hello world' END ELSE 'refused' END AS payload, base64(encode(requested_url)) AS encoded FROM {fetch_results}")
+_BASE64 = "regexp_full_match(content_base64, '([A-Za-z0-9+/]{4})*([A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?')"
+
+
+@query("SELECT result_id, CASE WHEN ok THEN 'decoded:' || decode(from_base64(CASE WHEN ok THEN content_base64 ELSE '' END)) ELSE 'refused' END AS payload, base64(encode(requested_url)) AS encoded FROM (SELECT *, " + _BASE64 + " AS ok FROM {fetch_results}) x")
 def fn_base64(t) -> DataFrame:
     decoded = E.decoded_base64(C("content_base64")).cast("string")
-    return t("fetch_results").select("result_id", F.coalesce(F.concat(F.lit("decoded:"), decoded), F.lit("refused")).alias("payload"), F.base64(C("requested_url").cast("binary")).alias("encoded"))
+    return t("fetch_results").select("result_id", F.coalesce(F.concat(F.lit("decoded:"), decoded), F.lit("refused")).alias("payload"), E.encoded_base64(C("requested_url").cast("binary")).alias("encoded"))
 
 
 @query("SELECT response_id, lower(trim(split_part(content_type, ';', 1))) AS media FROM {responses}")
@@ -168,17 +171,22 @@ def chunk_text(t) -> DataFrame:
     return tx.chunk_text(t("texts"))
 
 
-@query(f"SELECT id, CASE WHEN id % 10 = 3 THEN 'HASH' WHEN id % 10 = 4 THEN 'TEXT' ELSE 'RANGE' END AS reason, CAST(position AS BIGINT) AS position FROM {_chunks('{texts}')} x WHERE id % 10 IN (3, 4, 5)")
+@query(f"SELECT id, CASE WHEN strpos(text, '%') > 0 THEN 'RANGE' WHEN strpos(text, '@') > 0 THEN 'TEXT' ELSE 'HASH' END AS reason, CAST(position AS BIGINT) AS position FROM {_chunks('{texts}')} x WHERE strpos(text, '%') > 0 OR strpos(text, '@') > 0 OR strpos(text, '|') > 0")
 def chunk_integrity(t) -> DataFrame:
+    """Chunks against texts whose at-signs were changed since: with hashes that missed a change of bars, and places lost where a percent sign stands."""
     chunks = tx.chunk_text(t("texts"))
-    kind = C("id") % 10
-    broken = chunks.withColumns({"sha256": F.when(kind == 3, F.lit("0")).otherwise(C("sha256")), "text": F.when(kind == 4, F.overlay("text", F.lit("∅"), 1)).otherwise(C("text")), "char_start": F.when(kind == 5, F.lit(-1)).otherwise(C("char_start"))})
-    return tx.chunk_integrity(broken, t("texts")).select("id", "reason", C("position").cast("long").alias("position"))
+    broken = chunks.withColumns({"char_end": F.when(F.contains("text", F.lit("%")), C("char_start")).otherwise(C("char_end")), "sha256": F.sha2(F.translate("text", "|", "/"), 256)})
+    return tx.chunk_integrity(broken, t("texts").withColumn("text", F.translate("text", "@", "#"))).select("id", "reason", C("position").cast("long").alias("position"))
+
+
+_LOST = f"(SELECT *, lead(char_start) OVER (PARTITION BY id ORDER BY position) AS following, row_number() OVER (PARTITION BY id ORDER BY position) - 1 AS place FROM {_chunks('{texts}')} x WHERE strpos(text, '@') = 0)"
 
 
-@query(f"SELECT id, count(*) AS n_chunks, CAST(0 AS BIGINT) AS breaks, TRUE AS continuous FROM {_chunks('{texts}')} x GROUP BY id")
+@query(f"SELECT id, n_chunks, breaks, breaks = 0 AND first = 0 AND last = length(text) AS continuous FROM (SELECT id, count(*) AS n_chunks, count(*) FILTER (WHERE position <> place OR (following IS NOT NULL AND following <> char_end AND following <> char_end - 100)) AS breaks, min(char_start) AS first, max(char_end) AS last FROM {_LOST} l GROUP BY id) p JOIN {{texts}} t USING (id)")
 def chunk_continuity(t) -> DataFrame:
-    return tx.chunk_continuity(tx.chunk_text(t("texts")), t("texts").select("id", F.length("text").alias("n")))
+    """Chunks of a store that lost those with an at-sign."""
+    kept = tx.chunk_text(t("texts")).where(~F.contains("text", F.lit("@")))
+    return tx.chunk_continuity(kept, t("texts").select("id", F.length("text").alias("n")))
 
 
 def _plain(t) -> DataFrame:

@@ -64,7 +64,7 @@ TABLES: dict[str, str] = {
     "candidates": "SELECT page_id AS candidate_id, page_id % 7 AS run_id, url AS location, CASE page_id % 3 WHEN 0 THEN 'APPROVED' WHEN 1 THEN 'DRAFT' ELSE 'REJECTED' END AS approval_status, 'reviewed ' || CAST(page_id AS VARCHAR(20)) AS note FROM {pages} WHERE url IS NOT NULL",
     "promotions": "SELECT candidate_id, location FROM {candidates} WHERE approval_status = 'APPROVED' AND candidate_id % 2 = 0",
     "responses": "SELECT page_id AS response_id, url AS requested_url, regexp_extract(url, '://([^/?#]*)', 1) AS host, CASE page_id % 11 WHEN 0 THEN 404 WHEN 1 THEN 503 ELSE 200 END AS http_status, CASE page_id % 7 WHEN 0 THEN 'image/png' WHEN 1 THEN 'Text/HTML; charset=utf-8' ELSE ' text/html ' END AS content_type, CASE WHEN page_id % 13 = 0 THEN '' ELSE html END AS body FROM {pages} WHERE url IS NOT NULL",
-    "fetch_results": "SELECT d.doc_id AS result_id, CAST(substr(d.source, 4) AS BIGINT) AS source_id, CASE WHEN d.doc_id % 17 = 0 THEN 'https://elsewhere.example.org/' ELSE 'https://' || d.source || '.example.org/data' END AS requested_url, CASE WHEN d.doc_id % 19 = 0 THEN 'not base64!' WHEN d.doc_id % 23 = 0 THEN '' ELSE b.payload END AS content_base64, CASE WHEN d.doc_id % 29 = 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status FROM {documents} d CROSS JOIN (SELECT 'aGVsbG8gd29ybGQ=' AS payload) b WHERE d.source IS NOT NULL",
+    "fetch_results": "SELECT d.doc_id AS result_id, CAST(substr(d.source, 4) AS BIGINT) AS source_id, CASE WHEN d.doc_id % 17 = 0 THEN 'https://elsewhere.example.org/' ELSE 'https://' || d.source || '.example.org/data' END AS requested_url, CASE WHEN d.doc_id % 19 = 0 THEN 'not base64!' ELSE replace(replace(base64(unhex(hex(coalesce(d.text, '')))), chr(13), ''), chr(10), '') END AS content_base64, CASE WHEN d.doc_id % 29 = 0 THEN 'FAILED' ELSE 'SUCCEEDED' END AS status FROM {documents} d WHERE d.source IS NOT NULL",
     # text
     "texts": "SELECT doc_id AS id, text FROM {documents} WHERE text IS NOT NULL",
     # grounding
