@@ -32,11 +32,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settle(df: DataFrame) -> DataFrame:
+#: Options of settle for rows that hold much: row groups of some MB, so that a reader never has many of them at a time.
+LARGE_ROWS = {"parquet.block.size": str(8 * 2**20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+
+
+def settle(df: DataFrame, **options: str) -> DataFrame:
     """Write a frame once into the shared folder and read it back: cuts lineage, survives lost executors, gives true sizes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     return spark.read.schema(df.schema).parquet(path)

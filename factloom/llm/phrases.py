@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._runtime import as_batch, bounded_batches, drop_settled, settle
+from ._runtime import LARGE_ROWS, as_batch, bounded_batches, drop_settled, settle
 
 #: Frequent words (of at most WORD_BYTES in all) and groups that a worker holds; with more, the semi-join is a shuffle.
 BROADCAST_WORDS, WORD_BYTES = 500_000, 16 * 2**20
@@ -37,8 +37,12 @@ NUMBER_BINS = 4096
 #: Parts of a language that are ranked apart before they are ranked together.
 RANK_PARTS = 64
 
-_BLOCKS = "block long, lang string, gaps array<int>, groups array<int>"
-_BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("gaps", pa.list_(pa.int32())), ("groups", pa.list_(pa.int32()))])
+#: Bytes of the texts that give a block; a longer text is a block alone.
+BLOCK_BYTES = 2**20
+
+# gaps and groups: 32-bit numbers, one a row of the relation
+_BLOCKS = "block long, lang string, gaps binary, groups binary"
+_BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("gaps", pa.binary()), ("groups", pa.binary())])
 
 
 def _tokens(texts: pa.Array) -> pa.Array:
@@ -48,12 +52,15 @@ def _tokens(texts: pa.Array) -> pa.Array:
     return words.filter(pc.not_equal(words, ""))
 
 
-def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array]]:
-    """Languages and the tokens of their texts in a batch."""
+def _by_lang(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str, pa.Array]]:
+    """Languages and the tokens of some of their texts, of at most `limit` bytes or one text."""
     for batch in batches:
-        langs = batch.column(0)
-        for lang in pc.unique(langs).to_pylist():
-            yield lang, _tokens(batch.column(1).filter(pc.equal(langs, lang)))
+        for lang in pc.unique(batch.column(0)).to_pylist():
+            texts = batch.column(1).filter(pc.equal(batch.column(0), lang))
+            part = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False)) // limit
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield lang, _tokens(texts.slice(a, b - a))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -61,7 +68,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
     schema = pa.schema([("lang", pa.string()), ("word", pa.string()), ("a", pa.int64())])
 
     def count(batches):
-        for lang, tokens in _by_lang(batches):
+        for lang, tokens in _by_lang(batches, 8 * BLOCK_BYTES):
             found = tokens.filter(pc.not_equal(tokens, "\n")).value_counts()
             yield as_batch([[lang] * len(found), found.field(0), found.field(1)], schema)
 
@@ -86,8 +93,9 @@ def _block_ids() -> Iterator[int]:
         n += 1
 
 
-def _gaps(places: np.ndarray) -> np.ndarray:
-    return np.diff(places, prepend=np.int64(-1)).astype(np.int32)
+def _block(block: int, lang: str, places: np.ndarray, groups: np.ndarray) -> pa.RecordBatch:
+    gaps = np.diff(places, prepend=np.int64(-1)).astype(np.int32)
+    return as_batch([[block], [lang], [gaps.tobytes()], [groups.astype(np.int32).tobytes()]], _BLOCK_SCHEMA)
 
 
 def occurrences(texts: DataFrame, words: DataFrame) -> DataFrame:
@@ -104,7 +112,7 @@ def occurrences(texts: DataFrame, words: DataFrame) -> DataFrame:
 
     def run(batches):
         ids = _block_ids()
-        for lang, tokens in _by_lang(batches):
+        for lang, tokens in _by_lang(batches, BLOCK_BYTES):
             if lang in shared.value:
                 own, numbers = shared.value[lang]
                 found = tokens.dictionary_encode()
@@ -112,9 +120,9 @@ def occurrences(texts: DataFrame, words: DataFrame) -> DataFrame:
                 group = np.append(numbers, 0)[pc.fill_null(at, len(own)).to_numpy(zero_copy_only=False)][found.indices.to_numpy()]
                 places = np.flatnonzero(group)
                 if len(places):
-                    yield as_batch([[next(ids)], [lang], [_gaps(places)], [group[places].astype(np.int32)]], _BLOCK_SCHEMA)
+                    yield _block(next(ids), lang, places, group[places])
 
-    return settle(texts.mapInArrow(run, _BLOCKS))
+    return settle(texts.mapInArrow(run, _BLOCKS), **LARGE_ROWS)
 
 
 def _occurrences_by_shuffle(texts: DataFrame, words: DataFrame) -> DataFrame:
@@ -122,7 +130,7 @@ def _occurrences_by_shuffle(texts: DataFrame, words: DataFrame) -> DataFrame:
 
     def run(batches):
         ids = _block_ids()
-        for lang, tokens in _by_lang(batches):
+        for lang, tokens in _by_lang(batches, BLOCK_BYTES):
             places = np.flatnonzero(pc.not_equal(tokens, "\n").to_numpy(zero_copy_only=False))
             yield as_batch([[next(ids)] * len(places), [lang] * len(places), places.astype(np.int32), tokens.take(pa.array(places))], schema)
 
@@ -131,19 +139,21 @@ def _occurrences_by_shuffle(texts: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
-    """block, lang, place and id as blocks in order of place; a block holds the texts of one batch at most. Settled."""
+    """block, lang, place and id as blocks in order of place; a block holds some texts of one batch. Settled."""
     gathered = rows.groupBy("block", "lang").agg(F.array_sort(F.collect_list(F.struct("place", F.col("id").cast("int").alias("id")))).alias("rows"))
-    place = F.col("rows.place")
-    gaps = F.transform(place, lambda p, i: F.when(i == 0, p + 1).otherwise(p - place[i - 1]))
-    return settle(gathered.select("block", "lang", gaps.alias("gaps"), F.col("rows.id").alias("groups")))
+
+    def run(batches):
+        for batch in batches:
+            for block, lang, places, groups in zip(*[batch.column(i) for i in range(4)], strict=True):
+                yield _block(block.as_py(), lang.as_py(), places.values.to_numpy(), groups.values.to_numpy())
+
+    return settle(gathered.select("block", "lang", "rows.place", "rows.id").mapInArrow(run, _BLOCKS), **LARGE_ROWS)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray, np.ndarray]]:
     for batch in batches:
-        flat = [batch.column(i).flatten().to_numpy() for i in (2, 3)]
-        ends = np.cumsum(batch.column(2).value_lengths().to_numpy())
-        for block, lang, a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-            yield block, lang, flat[0][a:b], flat[1][a:b]
+        for row in zip(*[batch.column(i) for i in range(4)], strict=True):
+            yield row[0].as_py(), row[1].as_py(), *(np.frombuffer(x.as_buffer(), np.int32) for x in row[2:])
 
 
 def merge_join(gaps: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,9 +218,9 @@ def semi_join(relation: DataFrame, groups: DataFrame) -> DataFrame:
                 same = pairs[found] == own
                 if same.any():
                     places = np.cumsum(gaps, dtype=np.int64)[at[same]] - 1
-                    yield as_batch([[block], [lang], [_gaps(places)], [numbers[found[same]]]], _BLOCK_SCHEMA)
+                    yield _block(block, lang, places, numbers[found[same]])
 
-    return settle(relation.mapInArrow(run, _BLOCKS))
+    return settle(relation.mapInArrow(run, _BLOCKS), **LARGE_ROWS)
 
 
 def _semi_join_by_shuffle(relation: DataFrame, groups: DataFrame) -> DataFrame:
