@@ -312,27 +312,41 @@ def audit_checks(t) -> DataFrame:
 @query(" UNION ALL ".join(f"SELECT '{rule}' AS rule, count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows FROM (SELECT count(*) AS n FROM {_as_sql(d)} x WHERE {' AND '.join(f'{c} IS NOT NULL' for c in key)} GROUP BY {', '.join(key)} HAVING count(*) > 1) y" for rule, d, key in rules.audited_keys()))
 def audit_unique(t) -> DataFrame:
     """All declared keys of all stored tables that the test tables give."""
-    return reduce(DataFrame.unionByName, [quality.audit_unique(_declared(t, d), {rule: key}) for rule, d, key in rules.audited_keys()])
+    keys: dict[str, dict[str, list[str]]] = {}
+    for rule, d, key in rules.audited_keys():
+        keys.setdefault(d, {})[rule] = key
+    return quality.audit_unique([(_declared(t, d), own) for d, own in keys.items()])
 
 
 @query(" UNION ALL ".join(f"SELECT '{rule}' AS rule, count(*) AS orphans FROM {_as_sql(child)} c WHERE {' AND '.join(f'c.{x} IS NOT NULL' for x in columns)} AND NOT EXISTS (SELECT 1 FROM {_as_sql(parent)} p WHERE {' AND '.join(f'p.{k} = c.{x}' for x, k in zip(columns, keys, strict=True))})" for rule, child, columns, parent, keys in rules.audited_references()))
 def audit_foreign_keys(t) -> DataFrame:
     """All declared references between stored tables that the test tables give: how many rows refer to nothing."""
-    orphans = [quality.audit_foreign_keys(_declared(t, child), _declared(t, parent), dict(zip(columns, keys, strict=True))).agg(F.count("*").alias("orphans")).select(F.lit(rule).alias("rule"), "orphans") for rule, child, columns, parent, keys in rules.audited_references()]
-    return reduce(DataFrame.unionByName, orphans)
+    return quality.audit_foreign_keys({d: _declared(t, d) for d in rules.ENGINE}, rules.audited_references())
 
 
-@query(
-    """SELECT 'evidence' AS "table", CAST(evidence_id AS VARCHAR) AS id, CASE WHEN used THEN 'BLOCKED' ELSE 'DELETE' END AS action FROM (SELECT evidence_id, evidence_id IN (SELECT evidence_id FROM {verification_evidence}) AS used FROM {evidence} WHERE evidence_id % 4 = 1) s
- UNION ALL SELECT DISTINCT 'claim_evidence', claim_id || ':' || evidence_id, 'DELETE' FROM {claim_evidence} WHERE evidence_id % 4 = 1 AND evidence_id NOT IN (SELECT evidence_id FROM {verification_evidence})
- UNION ALL SELECT 'primary', CAST(claim_id AS VARCHAR), 'SET_NULL' FROM {claims} WHERE claim_id % 4 = 1 AND claim_id NOT IN (SELECT evidence_id FROM {verification_evidence}) AND claim_id IN (SELECT evidence_id FROM {evidence})"""
-)
+def _gone(seed: str, key: str, used: str, taken: dict[str, str]) -> str:
+    """SQL of a deletion of all rows of a table: those that `used` (a query of keys) lists stay; taken: what goes with the others, as queries of key and id."""
+    source = "{" + rules.ENGINE[seed][0] + "}"
+    parts = [f"""SELECT '{seed}' AS seed_table, '{seed}' AS "table", CAST({key} AS VARCHAR) AS id, CASE WHEN {key} IN ({used}) THEN 'BLOCKED' ELSE 'DELETE' END AS action FROM (SELECT DISTINCT {key} FROM {source}) s"""]
+    parts += [f"SELECT DISTINCT '{seed}', '{child}', id, 'DELETE' FROM ({rows}) r WHERE k IN (SELECT {key} FROM {source}) AND k NOT IN ({used})" for child, rows in taken.items()]
+    return " UNION ALL ".join(parts)
+
+
+_DELETIONS = [
+    ("question_bank_items", "item_id", "SELECT item_id FROM {package_items}", {"question_bank_options": "SELECT item_id AS k, CAST(option_id AS VARCHAR) AS id FROM {options}", "question_bank_item_claims": "SELECT item_id AS k, item_id || ':' || claim_id AS id FROM {item_claims}"}),
+    ("evidence", "evidence_id", "SELECT evidence_id FROM {verification_evidence}", {"claim_evidence": "SELECT evidence_id AS k, claim_id || ':' || evidence_id AS id FROM {claim_evidence}"}),
+    ("content_packages", "package_id", "SELECT package_id FROM {stored_documents}", {"content_package_note_drafts": "SELECT package_id AS k, package_id || ':' || note_id AS id FROM {package_notes}", "content_package_question_bank_items": "SELECT package_id AS k, package_id || ':' || item_id AS id FROM {package_items}"}),
+    ("topics", "topic_id", "SELECT topic_id FROM {syllabus_topics} UNION ALL SELECT topic_id FROM {questions} UNION ALL SELECT topic_id FROM {notes}", {}),
+]
+
+
+@query(" UNION ALL ".join(_gone(*d) for d in _DELETIONS) + """ UNION ALL SELECT 'topics', 'claims', CAST(claim_id AS VARCHAR), 'SET_NULL' FROM {claims} WHERE topic_id NOT IN (SELECT topic_id FROM {syllabus_topics} UNION ALL SELECT topic_id FROM {questions} UNION ALL SELECT topic_id FROM {notes})""")
 def propagate_deletes(t) -> DataFrame:
-    links = t("claim_evidence").withColumn("id", F.concat(C("claim_id").cast("string"), F.lit(":"), C("evidence_id").cast("string")))
-    primary = t("claims").select("claim_id", C("claim_id").alias("primary_evidence_id"))
-    tables = {"evidence": (t("evidence"), "evidence_id"), "claim_evidence": (links, "id"), "verification_evidence": (t("verification_evidence"), "verification_id"), "primary": (primary, "claim_id")}
-    references = [("verification_evidence", "evidence_id", "evidence", "RESTRICT"), ("claim_evidence", "evidence_id", "evidence", "CASCADE"), ("primary", "primary_evidence_id", "evidence", "SET_NULL")]
-    return quality.propagate_deletes(tables, references, "evidence", t("evidence").where("evidence_id % 4 = 1").select(C("evidence_id").alias("id")))
+    """What the deletion of all items, evidence, packages and topics would do along all declared references that the test tables give."""
+    tables = {d: (_declared(t, d), rules.UNIQUE[d][0]) for d in rules.ENGINE}
+    tables["previous_questions"] = (tables["previous_questions"][0], ["paper_id", "position"])  # the test tables give these no id
+    found = [quality.propagate_deletes(tables, rules.held_references(), seed, tables[seed][0].select(key)).withColumn("seed_table", F.lit(seed)) for seed, key, _, _ in _DELETIONS]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("SELECT note_id, topic_id, approval_status, 'UNRELEASED' AS release_status FROM (SELECT note_id, topic_id, coalesce(CASE WHEN note_id % 3 = 0 THEN NULL ELSE approval_status END, 'DRAFT') AS approval_status FROM {notes}) x")

@@ -133,7 +133,11 @@ def audited_keys() -> list[tuple[str, str, list[str]]]:
     return [(f"{t}({','.join(key)})", t, key) for t in ENGINE for key in UNIQUE.get(t, []) if set(key) <= set(engine_columns(t))]
 
 
+def held_references() -> list[tuple[str, list[str], str, list[str], str]]:
+    """References whose columns the engine tables hold, as in REFERENCES."""
+    return [r for r in REFERENCES if r[0] in ENGINE and r[2] in ENGINE and set(r[1]) <= set(engine_columns(r[0])) and set(r[3]) <= set(engine_columns(r[2]))]
+
+
 def audited_references() -> list[tuple[str, str, list[str], str, list[str]]]:
     """rule, child, its columns, parent and its columns of each reference that the engine tables hold."""
-    held = [r for r in REFERENCES if r[0] in ENGINE and r[2] in ENGINE and set(r[1]) <= set(engine_columns(r[0])) and set(r[3]) <= set(engine_columns(r[2]))]
-    return [(f"{child}({','.join(columns)})->{parent}", child, columns, parent, keys) for child, columns, parent, keys, _ in held]
+    return [(f"{child}({','.join(columns)})->{parent}", child, columns, parent, keys) for child, columns, parent, keys, _ in held_references()]

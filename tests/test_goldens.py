@@ -228,7 +228,7 @@ def test_deletes_go_along_references(spark):
     a, b = spark.createDataFrame([(1,), (2,), (3,)], "id long"), spark.createDataFrame([(11, 1), (12, 2), (13, 2)], "id long, a long")
     c, d = spark.createDataFrame([(21, 11)], "id long, b long"), spark.createDataFrame([(31, 12), (32, 11), (33, None)], "id long, b long")
     tables = {"a": (a, "id"), "b": (b, "id"), "c": (c, "id"), "d": (d, "id")}
-    found = quality.propagate_deletes(tables, [("b", "a", "a", "CASCADE"), ("c", "b", "b", "RESTRICT"), ("d", "b", "b", "SET_NULL")], "a", spark.createDataFrame([(1,), (2,)], "id long"))
+    found = quality.propagate_deletes(tables, [("b", "a", "a", "id", "CASCADE"), ("c", "b", "b", "id", "RESTRICT"), ("d", "b", "b", "id", "SET_NULL")], "a", spark.createDataFrame([(1,), (2,)], "id long"))
     assert {tuple(r) for r in found.collect()} == {("a", "1", "BLOCKED"), ("a", "2", "DELETE"), ("b", "12", "DELETE"), ("b", "13", "DELETE"), ("d", "31", "SET_NULL")}
 
 
