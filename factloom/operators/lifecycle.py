@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.sources.storage import settled
@@ -69,39 +69,57 @@ def _number(approval: Column, release: Column) -> Column:
     return (3 * (F.array_position(_names(APPROVALS), approval) - 1) + F.array_position(_names(RELEASES), release) - 1).cast("int")
 
 
+def _ranged(decisions: DataFrame, bucket: int) -> DataFrame:
+    """decisions with `part` and `bucket`: parts are ranges of (asset, kind, time), of even size whatever an asset's share, and buckets of at most so many rows follow one another within a part."""
+    parts = int(decisions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["asset", "asset_kind", "ts", "seq"]
+    row = F.monotonically_increasing_id()  # the part, and below it the number within it
+    ranged = decisions.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_row", row)
+    return ranged.withColumn("part", F.shiftright("_row", 33).cast("int")).withColumn("bucket", F.floor(F.col("_row").bitwiseAND((1 << 33) - 1) / bucket).cast("int")).drop("_row")
+
+
+def _walked(maps: Column, first: Column) -> Column:
+    """The state in which each of consecutive maps of states begins."""
+    begin = F.struct(first.alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(maps, begin, lambda acc, m: F.struct(F.get(m["map"], acc["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
 def _starts(buckets: DataFrame) -> DataFrame:
-    """asset, asset_kind, bucket and start (the number of a state) of every bucket of assets that have several. buckets: with the state `first` that the asset begins in.
+    """asset, asset_kind, part, bucket and start (the number of a state) of every bucket of assets that have several. buckets: with the state `first` that the asset begins in.
 
-    A bucket's decisions map each of the nine states to another; an asset's maps, one a thousand decisions, are chained.
+    A parallel prefix. A bucket's decisions map each of the nine states to another; the maps of an asset's buckets are
+    composed a part; the parts' maps, as many as there are parts, are walked an asset; and from the state in which a part
+    begins its own buckets are. No step gathers more than a part's buckets or the parts.
     """
-    several = buckets.where("bucket > 0").select("asset", "asset_kind").distinct()
-    own = buckets.join(several.hint("merge"), ["asset", "asset_kind"], "left_semi")
+    asset, place = ["asset", "asset_kind"], ["part", "bucket"]
+    several = buckets.groupBy(*asset).agg(F.count("*").alias("n")).where("n > 1").select(*asset)
+    own = buckets.join(several.hint("merge"), asset, "left_semi")
     every = F.array(*[F.lit(i) for i in range(9)])
-    maps = own.select("asset", "asset_kind", "bucket", "first", F.aggregate("events", every, lambda states, e: F.transform(states, lambda s: _moved(F.col("asset_kind"), s, e))).alias("map"))
-    chains = maps.groupBy("asset", "asset_kind").agg(F.array_sort(F.collect_list(F.struct("bucket", "map"))).alias("maps"), F.min("first").alias("first"))
-    begin = F.struct(F.col("first").alias("at"), F.array().cast("array<int>").alias("out"))
-    walked = F.aggregate("maps", begin, lambda acc, m: F.struct(F.get(m["map"], acc["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
-    return chains.select("asset", "asset_kind", F.posexplode(walked).alias("bucket", "start"))
+    maps = settled(own.select(*asset, *place, "first", F.aggregate("events", every, lambda states, e: F.transform(states, lambda s: _moved(F.col("asset_kind"), s, e))).alias("map")))
+    by_part = maps.groupBy(*asset, "part").agg(F.array_sort(F.collect_list(F.struct("bucket", "map"))).alias("maps"), F.min("first").alias("first"))
+    through = F.aggregate("maps", every, lambda states, m: F.transform(states, lambda s: F.get(m["map"], s)))
+    parts = settled(by_part.select(*asset, "part", "first", "maps", through.alias("map")))
+    chains = parts.groupBy(*asset).agg(F.array_sort(F.collect_list(F.struct("part", "map"))).alias("maps"), F.min("first").alias("first"))
+    begins = chains.select(*asset, F.explode(F.arrays_zip(F.col("maps.part").alias("part"), _walked(F.col("maps"), F.col("first")).alias("start"))).alias("p")).select(*asset, "p.part", "p.start")
+    within = parts.select(*asset, "part", "maps").join(begins.hint("merge"), [*asset, "part"])
+    return within.select(*asset, "part", F.explode(F.arrays_zip(F.col("maps.bucket").alias("bucket"), _walked(F.col("maps"), F.col("start")).alias("start"))).alias("b")).select(*asset, "part", "b.bucket", "b.start")
 
 
 def release_state(decisions: DataFrame, *, bucket: int = BUCKET, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """decisions: asset, asset_kind, ts, seq, decision, note, guard_ok. State of each asset that they decide on, and the refused decisions.
 
-    The order of decisions matters. An asset's are numbered in order and folded in buckets, so that no row grows with an
-    asset; a later bucket begins in the state that the maps of those before lead to. before: states that earlier
-    decisions led to, in the form that this returns.
+    The order of decisions matters. They are dealt by ranges of asset and time and folded in buckets, so that no row and no
+    task grows with an asset; a later bucket begins in the state that the maps of those before lead to. before: states
+    that earlier decisions led to, in the form that this returns.
     """
-    nth = F.row_number().over(Window.partitionBy("asset", "asset_kind").orderBy("ts", "seq")) - 1
-    placed = decisions.withColumn("bucket", F.floor(nth / bucket).cast("int"))
-    buckets = settled(placed.groupBy("asset", "asset_kind", "bucket").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "decision", "note", "guard_ok"))).alias("events")))
+    placed = _ranged(decisions, bucket)
+    buckets = settled(placed.groupBy("asset", "asset_kind", "part", "bucket").agg(F.array_sort(F.collect_list(F.struct("ts", "seq", "decision", "note", "guard_ok"))).alias("events")))
     if before is None:
         buckets = buckets.withColumn("first", F.lit(0))
     else:
         known = before.select("asset", "asset_kind", _number(F.col("approval_status"), F.col("release_status")).alias("first"))
         buckets = settled(buckets.join(known.hint("merge"), ["asset", "asset_kind"], "left").withColumn("first", F.coalesce("first", F.lit(0))))
-    begun = buckets.withColumn("start", F.col("first"))
-    if not buckets.where("bucket > 0").isEmpty():
-        begun = buckets.join(settled(_starts(buckets)).hint("merge"), ["asset", "asset_kind", "bucket"], "left").withColumn("start", F.coalesce("start", "first"))
+    begun = buckets.join(settled(_starts(buckets)).hint("merge"), ["asset", "asset_kind", "part", "bucket"], "left").withColumn("start", F.coalesce("start", "first"))
     when = decisions.schema["ts"].dataType.simpleString()
     start = F.struct(
         F.get(_names(APPROVALS), F.floor(F.col("start") / 3).cast("int")).alias("approval"), F.get(_names(RELEASES), F.col("start") % 3).alias("release"), F.lit(False).alias("reviewed"), F.lit(None).cast("string").alias("reviewer_note"), F.lit(None).cast(when).alias("decided_at"),
@@ -128,8 +146,8 @@ def release_state(decisions: DataFrame, *, bucket: int = BUCKET, before: DataFra
             F.when(ok, s["refused"]).otherwise(F.concat(s["refused"], F.array(no).cast(_REFUSED))).alias("refused"),
         )
 
-    folded = begun.select("asset", "asset_kind", "bucket", F.aggregate("events", start, step).alias("s"))
-    last = lambda value, where: F.max_by(value, F.when(where, F.col("bucket")))
+    folded = begun.select("asset", "asset_kind", F.struct("part", "bucket").alias("place"), F.aggregate("events", start, step).alias("s"))
+    last = lambda value, where: F.max_by(value, F.when(where, F.col("place")))
     state = folded.groupBy("asset", "asset_kind").agg(
         last(F.col("s.approval"), F.lit(True)).alias("approval_status"), last(F.struct("s.reviewer_note", "s.decided_at"), F.col("s.reviewed")).alias("review"), last(F.col("s.release"), F.lit(True)).alias("release_status"),
         F.max("s.released_at").alias("released_at"), F.max("s.withdrawn_at").alias("withdrawn_at"), last(F.struct("s.release_note"), F.col("s.noted")).alias("noted"), F.sum(F.size("s.refused")).cast("long").alias("n_refused"),
