@@ -267,10 +267,12 @@ def test_url_filters_know_whole_paths_and_tokens(spark):
     assert found == {0: "block", 1: "allow", 2: "block", 3: "allow"}
 
 
-def test_mined_rules_by_enumeration(spark):
-    """Every combination of tokens counted by hand: the rules that hold, less those that a shorter one covers, block what they fit."""
+@pytest.mark.parametrize("wide", [12, 0])
+def test_mined_rules_by_enumeration(spark, monkeypatch, wide):
+    """By FP-growth and level by level. Every combination of tokens counted by hand: the rules that hold, less those that a shorter one covers, block what they fit."""
     from itertools import combinations
 
+    monkeypatch.setattr(url_filters, "WIDE", wide)
     r = random.Random(6)
     names = ["red", "green", "blue", "gold"]
     urls = [f"https://{r.choice(names)}.test/{r.choice(names)}/{r.choice(names)}" for _ in range(200)]
@@ -293,6 +295,35 @@ def test_mined_rules_by_enumeration(spark):
     assert rules and {r.page_id: r.verdict for r in found} == {i: "block" if any(x <= tokens(u) for x in rules) else "allow" for i, u in enumerate(pages)}
 
 
+@pytest.mark.parametrize("depths", [[40], range(1, 41)])
+def test_deep_paths_do_not_explode(spark, depths):
+    """10,000 URLs of which a third share a path of forty pieces, or parts of it of any depth: rules are found in seconds, and are those of the tokens that tell."""
+    import time
+
+    r = random.Random(2)
+    deep = [f"p{k}" for k in range(40)]
+    depths = list(depths)
+    labelled = []
+    for i in range(10_000):
+        blocked = r.random() < 0.5
+        path = "/".join(deep[: depths[i % len(depths)]]) if i % 3 == 0 else f"x{i % 50}"
+        labelled.append((f"https://h{i % 7}.test/{path}?{'spam' if blocked and i % 2 else 'id'}={i}", blocked))
+    labels = spark.createDataFrame(labelled, "url string, blocked boolean")
+    asked = ["https://new.test/p0/p1/p2?spam=1", "https://new.test/p0/p1/p2?id=1", "https://h1.test/" + "/".join(deep)]
+    began = time.perf_counter()
+    found = url_filters.judge_urls(spark.createDataFrame(list(enumerate(asked)), "page_id long, url string"), [], labels=labels)
+    assert [r.verdict for r in sorted(found.collect())] == ["block", "allow", "allow"]
+    assert time.perf_counter() - began < 150  # 2^40 combinations would never end
+
+
+def test_repeated_labels_and_pages(spark):
+    """Rows that repeat count each, as labels and as pages; labels that are null are left out."""
+    labels = spark.createDataFrame([("https://a.test/bad", True)] * 20 + [("https://a.test/good", False)] * 20 + [(None, True), ("https://a.test/good", None)], "url string, blocked boolean")
+    pages = spark.createDataFrame([(1, "https://b.test/bad"), (1, "https://b.test/bad"), (2, "https://b.test/good"), (None, None)], "page_id long, url string")
+    found = url_filters.judge_urls(pages, [], labels=labels).collect()
+    assert sorted((r.page_id or 0, r.verdict, r.confidence) for r in found) == [(0, "allow", None), (1, "block", 1.0), (1, "block", 1.0), (2, "allow", None)]
+
+
 def test_pipeline_on_odd_tables(spark, tmp_path):
     folder = f"file://{tmp_path}"
     source = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60).withColumns({"row": F.lit(1), "_gone": F.lit("x"), "id": F.lit(2)})
