@@ -98,6 +98,7 @@ def url_scores(urls: DataFrame, queries: DataFrame, *, k: int | None = None) ->
 
     A token counts where the URL holds it anywhere, in either case. Null and empty queries and URLs match nothing.
     """
-    own = urls.select("url").where("url is not null").distinct().select("url", F.lower("url").alias("lowered"))
+    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # many small rows cost much each, so tasks are not merged by size
+    own = urls.select("url").where("url is not null").repartition(parts, "url").distinct().select("url", F.lower("url").alias("lowered"))
     blocks = [_scored(own, block, k) for block in query_blocks(queries)]
     return reduce(DataFrame.unionByName, blocks) if blocks else urls.sparkSession.createDataFrame([], _SCORES)
