@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -110,12 +112,31 @@ def url_policy(url: Column) -> Column:
     return F.coalesce(plain_url_text(url) & url.rlike("^(?i:https)://") & name.contains(".") & ~is_ip(name) & ~_authority(url).contains("@") & ~url.rlike("#.") & _port_ok(url), F.lit(False))
 
 
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """What case folding makes of characters: those that become one other character (from, to), and those that become several."""
+    changed = {c: c.casefold() for c in map(chr, [*range(0xD800), *range(0xE000, 0x110000)]) if c.casefold() != c}
+    one = {c: f for c, f in changed.items() if len(f) == 1}
+    return "".join(one), "".join(one.values()), {c: f for c, f in changed.items() if len(f) > 1}
+
+
+#: From Unicode's rules by way of Python: equal texts but for case fold to one text, also where lower case does not (ß, ſ, K, ligatures).
+FOLD_FROM, FOLD_TO, FOLD_LONG = _folds()
+
+
+def casefold(c: Column) -> Column:
+    """Full case folding. Plain text is only lower-cased; the few characters that become several are only looked for where one stands."""
+    single = F.translate(c, FOLD_FROM, FOLD_TO)
+    several = reduce(lambda x, item: F.replace(x, F.lit(item[0]), F.lit(item[1])), FOLD_LONG.items(), single)
+    return F.when(~c.rlike(r"[^\x00-\x7F]"), F.lower(c)).when(c.rlike("[" + "".join(FOLD_LONG) + "]"), several).otherwise(single)
+
+
 def search_tokens(query: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(query), F.lit("[a-z0-9]+"), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(casefold(query), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
 def relevance_score(tokens: Column, url: Column) -> Column:
-    return F.size(F.filter(tokens, lambda x: F.contains(F.lower(url), x)))
+    folded = casefold(url)
+    return F.size(F.filter(tokens, lambda x: F.contains(folded, x)))
 
 
 @F.pandas_udf(T.StringType())

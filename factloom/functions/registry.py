@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import SparkSession
 
+from factloom.functions.exprs import FOLD_FROM, FOLD_LONG, FOLD_TO
+
 _STRIP = r"regexp_replace(x, r'(?U)^\s+|\s+\z', '')"
 _ENCODED = "replace(replace(url_encode({v}), '*', '%2A'), '%7E', '~')"
 _FIELD = "coalesce(try_url_decode({v}), {v})"
 _IP = r"(x RLIKE r'^((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])$' OR contains(x, ':'))"
 
+_FOLDED = f"CASE WHEN NOT x RLIKE r'[^\\x00-\\x7F]' THEN lower(x) ELSE {reduce(lambda x, item: f"replace({x}, '{item[0]}', '{item[1]}')", FOLD_LONG.items(), f"translate(x, '{FOLD_FROM}', '{FOLD_TO}')")} END"
+
 #: SQL functions as expressions of their parameters; each comes after those that it uses.
 SQL_FUNCTIONS = {
     "fl_sha256": ("x STRING", "STRING", "sha2(x, 256)"),
@@ -31,8 +37,9 @@ SQL_FUNCTIONS = {
         "x STRING", "STRING",
         r"CASE WHEN fl_plain_url(x) AND x RLIKE '^(?i:https)://' AND fl_valid_hostname(fl_host(x)) AND NOT contains(fl_authority(x), '@') AND fl_port_ok(x) AND fl_plain_url(fl_joined_url(x, fl_canonical_query(regexp_extract(x, r'^[^?#]*\?([^#]*)', 1)))) THEN fl_joined_url(x, fl_canonical_query(regexp_extract(x, r'^[^?#]*\?([^#]*)', 1))) END",
     ),
-    "fl_tokens": ("x STRING", "ARRAY<STRING>", "array_distinct(regexp_extract_all(lower(x), '[a-z0-9]+', 0))"),
-    "fl_relevance": ("q STRING, u STRING", "INT", "size(filter(fl_tokens(q), t -> contains(lower(u), t)))"),
+    "fl_casefold": ("x STRING", "STRING", _FOLDED),
+    "fl_tokens": ("x STRING", "ARRAY<STRING>", "array_distinct(regexp_extract_all(fl_casefold(x), '[a-z0-9]+', 0))"),
+    "fl_relevance": ("q STRING, u STRING", "INT", "size(filter(fl_tokens(q), t -> contains(fl_casefold(u), t)))"),
     "fl_slice": ("x STRING, a INT, b INT", "STRING", "substring(x, a + 1, b - a)"),
     "fl_non_blank": ("x STRING", "BOOLEAN", "fl_strip(x) <> ''"),
     "fl_hex64": ("x STRING", "BOOLEAN", "x RLIKE '^[0-9a-f]{64}$'"),

@@ -52,9 +52,9 @@ class Matcher:
             self.automaton.add_word(token, k)
         self.automaton.make_automaton()
 
-    def scores(self, lowered: str) -> tuple[np.ndarray, np.ndarray]:
+    def scores(self, folded: str) -> tuple[np.ndarray, np.ndarray]:
         """The queries that share a token with a URL, by place in the block, and how many tokens."""
-        found = {k for _, k in self.automaton.iter(lowered)}
+        found = {k for _, k in self.automaton.iter(folded)}
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.unique(np.concatenate([self.askers[k] for k in found]), return_counts=True)
@@ -70,7 +70,7 @@ def _best(rows: pa.Table, k: int) -> pa.Table:
 
 
 def _scored(urls: DataFrame, block: list[tuple[int, list[str]]], k: int | None) -> DataFrame:
-    """urls: url, lowered. Scores of a block, of each query the k best a task where k is given."""
+    """urls: url, folded. Scores of a block, of each query the k best a task where k is given."""
     shared = urls.sparkSession.sparkContext.broadcast(block)
 
     def run(batches):
@@ -99,6 +99,6 @@ def url_scores(urls: DataFrame, queries: DataFrame, *, k: int | None = None) ->
     A token counts where the URL holds it anywhere, in either case. Null and empty queries and URLs match nothing.
     """
     parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # many small rows cost much each, so tasks are not merged by size
-    own = urls.select("url").where("url is not null").repartition(parts, "url").distinct().select("url", F.lower("url").alias("lowered"))
+    own = urls.select("url").where("url is not null").repartition(parts, "url").distinct().select("url", E.casefold(F.col("url")).alias("folded"))
     blocks = [_scored(own, block, k) for block in query_blocks(queries)]
     return reduce(DataFrame.unionByName, blocks) if blocks else urls.sparkSession.createDataFrame([], _SCORES)
