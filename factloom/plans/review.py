@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import audit, contracts, curation, grounding, lifecycle, quality
+from factloom.operators import audit, contracts, curation, grounding, identity, lifecycle, quality
 from factloom.operators import relational as rel
+from factloom.operators import text as tx
 from factloom.sources import rules, schemas
 from factloom.sources.schemas import read_table
 
@@ -109,12 +110,41 @@ def grounding_eligibility(t) -> DataFrame:
     return grounding.grounding_eligibility(asked, t("prompts")).select("run_id", "prompt_id")
 
 
-@query("SELECT chunk_id FROM {chunks} WHERE chunk_id % 4 <> 1 AND run_id % 5 <> 0")
+_EDITED = "strpos(text, '@') > 0"
+_CHANGED_PROMPT = "(SELECT prompt_id FROM {prompts} WHERE user_template = 'Missing {nothing}')"
+_STATE_OF = "CASE WHEN gone THEN 'MISSING' WHEN changed <> '' THEN 'CHANGED' ELSE 'OK' END AS state, CASE WHEN gone THEN '' ELSE changed END AS changed"
+
+
+@query(
+    f"""SELECT 'snapshot' AS kind, doc_id AS id, {_STATE_OF} FROM (SELECT doc_id, source IS NULL AS gone, CASE WHEN {_EDITED} THEN 'sha256' ELSE '' END AS changed FROM {{documents}} WHERE text IS NOT NULL) a
+ UNION ALL SELECT 'extraction', id, {_STATE_OF} FROM (SELECT id, FALSE AS gone, CASE WHEN {_EDITED} THEN 'snapshot_sha256,chunks' ELSE '' END AS changed FROM {{texts}} WHERE length(text) > 0) b
+ UNION ALL SELECT 'prompt', prompt_id, {_STATE_OF} FROM (SELECT prompt_id, FALSE AS gone, CASE WHEN prompt_id IN {_CHANGED_PROMPT} THEN 'checksum' ELSE '' END AS changed FROM {{prompts}}) c
+ UNION ALL SELECT 'execution', execution_id, {_STATE_OF} FROM (SELECT execution_id, cost_currency = 'EUR' AS gone, CASE WHEN prompt_id IN {_CHANGED_PROMPT} THEN CASE WHEN model_id = '' THEN 'prompt_checksum,model_id' ELSE 'prompt_checksum' END WHEN model_id = '' THEN 'model_id' ELSE '' END AS changed
+  FROM {{executions}} WHERE prompt_id IN (SELECT prompt_id FROM {{prompts}})) d"""
+)
 def identity_revalidate(t) -> DataFrame:
-    """Chunks whose recorded identity is still the parent's: some copies have another position or text by now."""
-    recorded = t("chunks")
-    now = recorded.withColumn("position", F.when(C("chunk_id") % 4 == 1, C("position") + 1).otherwise(C("position"))).withColumn("chunk_text", F.when(C("run_id") % 5 == 0, F.lit("changed")).otherwise(C("chunk_text")))
-    return recorded.join(now, ["chunk_id", "run_id", "position", "chunk_text"], "left_semi").select("chunk_id")
+    """Identities of snapshots, extractions with their chunks, prompts and executions, after at-signs in texts were masked, a template and blank models were mended, and some rows went."""
+
+    def recorded(texts: DataFrame, prompts: DataFrame, executions: DataFrame) -> dict[str, DataFrame]:
+        digest = F.sha2("text", 256)
+        snapshots = texts.select(C("doc_id").alias("snapshot_id"), C("source").alias("source_id"), F.lit("text/plain").alias("content_type"), F.octet_length("text").alias("byte_size"), digest.alias("sha256"))
+        cut = tx.chunk_text(texts.select(C("doc_id").alias("run_id"), "text"), id_col="run_id").withColumn("chunk_id", C("run_id") * 1_000_000 + C("position"))
+        runs = texts.select(C("doc_id").alias("run_id"), C("doc_id").alias("snapshot_id"), F.lit(1).alias("source_id"), digest.alias("snapshot_sha256"), F.lit("SUCCEEDED").alias("status"))
+        summed = audit.prompt_checksums(prompts).select("prompt_id", "prompt_key", "version", "checksum")
+        used = executions.select("execution_id", "prompt_id", F.lit("provider").alias("provider_key"), "model_id", F.when(C("provider_error").isNull(), "SUCCEEDED").otherwise("FAILED").alias("status"))
+        ran = used.join(summed.select("prompt_id", "prompt_key", C("version").alias("prompt_version"), C("checksum").alias("prompt_checksum")), "prompt_id")
+        return {"snapshot": snapshots, "extraction": runs.join(identity.chunks_digest(cut).hint("merge"), "run_id"), "prompt": summed, "execution": ran}
+
+    texts, prompts, executions = t("documents").where("text is not null").withColumn("source", F.coalesce("source", F.lit(""))), t("prompts"), t("executions")
+    now = recorded(
+        t("documents").where("text is not null").withColumn("text", F.translate("text", "@", "#")),
+        prompts.withColumn("user_template", F.when(C("user_template") == "Missing {nothing}", "Missing {}").otherwise(C("user_template"))),
+        executions.where("coalesce(cost_currency <> 'EUR', true)").withColumn("model_id", F.when(C("model_id") == "", "model-a").otherwise(C("model_id"))),
+    )
+    now["snapshot"] = now["snapshot"].where("source_id is not null")
+    then = recorded(texts, prompts, executions)
+    found = identity.revalidate_all({kind: (then[kind], now[kind]) for kind in then})
+    return found.select("kind", "id", "state", F.array_join("changed", ",").alias("changed"))
 
 
 @query(
