@@ -270,10 +270,16 @@ def membership_equality(t) -> DataFrame:
     return differ.select("package_id", rel.joined_text(F.col("stored")).alias("stored"), rel.joined_text(F.col("resolved")).alias("resolved"))
 
 
-@query("SELECT x.claim_id, x.evidence_id FROM (SELECT DISTINCT claim_id, evidence_id FROM {claim_evidence}) x WHERE x.claim_id % 4 <> 0")
+@query(
+    """SELECT claim_id, evidence_id, reason, count(*) AS n FROM (SELECT claim_id, evidence_id, CASE WHEN claim_id IN (SELECT claim_id FROM {claims} WHERE approval_status = 'APPROVED') THEN 'EXISTS' WHEN row_number() OVER (PARTITION BY claim_id, evidence_id) > 1 THEN 'REPEATED' ELSE 'WRITTEN' END AS reason
+ FROM (SELECT * FROM {claim_evidence} UNION ALL SELECT * FROM {claim_evidence}) twice) x GROUP BY claim_id, evidence_id, reason"""
+)
 def append_if_absent(t) -> DataFrame:
+    """All links, each given twice, appended to those of approved claims: what is written and what is refused."""
     links = t("claim_evidence")
-    return rel.append_if_absent(links.unionByName(links), links.where("claim_id % 4 = 0"), key=["claim_id", "evidence_id"])
+    stored = links.join(t("claims").where("approval_status = 'APPROVED'").select("claim_id").hint("merge"), "claim_id", "left_semi")
+    written, refused = rel.append(links.unionByName(links), stored, key=["claim_id", "evidence_id"], order=["evidence_id"])
+    return written.withColumn("reason", F.lit("WRITTEN")).unionByName(refused).groupBy("claim_id", "evidence_id", "reason").agg(F.count("*").alias("n"))
 
 
 @query("SELECT candidate_id, location, 'APPROVED' AS approval_status, note, row_number() OVER (ORDER BY candidate_id) AS source_number FROM {candidates} c WHERE approval_status = 'APPROVED' AND candidate_id NOT IN (SELECT candidate_id FROM {promotions})")

@@ -12,7 +12,6 @@ from factloom.operators import audit, contracts, curation, grounding, identity,
 from factloom.operators import relational as rel
 from factloom.operators import text as tx
 from factloom.sources import rules, schemas
-from factloom.sources.schemas import read_table
 
 from .registry import query
 
@@ -387,10 +386,15 @@ def propagate_deletes(t) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-@query("SELECT note_id, topic_id, approval_status, 'UNRELEASED' AS release_status FROM (SELECT note_id, topic_id, coalesce(CASE WHEN note_id % 3 = 0 THEN NULL ELSE approval_status END, 'DRAFT') AS approval_status FROM {notes}) x")
-def typed_scan(t) -> DataFrame:
-    """A table with missing columns and values read under its declared schema and defaults."""
-    stored = t("notes").select("note_id", "topic_id", F.when(C("note_id") % 3 != 0, C("approval_status")).alias("approval_status"))
-    return read_table(stored, "note_drafts").select("note_id", "topic_id", "approval_status", "release_status")
+def _conforming_sql(d: str) -> str:
+    held = [c for c in rules.engine_columns(d) if c in schemas.required(d) and c not in schemas.DEFAULTS]
+    any_null = " OR ".join(f"{c} IS NULL" for c in held) or "FALSE"
+    parts = [f"""SELECT '{d}' AS "table", CAST(NULL AS VARCHAR) AS "column", 'TYPED' AS reason, count(*) AS n FROM {_as_sql(d)} x WHERE NOT ({any_null}) HAVING count(*) > 0"""]
+    return " UNION ALL ".join(parts + [f"SELECT '{d}', '{c}', 'NULL', count(*) FROM {_as_sql(d)} x WHERE {c} IS NULL HAVING count(*) > 0" for c in held])
 
 
+@query(" UNION ALL ".join(_conforming_sql(d) for d in rules.ENGINE))
+def typed_scan(t) -> DataFrame:
+    """All declared tables that the test tables give, stored as text and read under their declared schemas: rows that conform, and faults."""
+    _settle_engine(t)
+    return schemas.conformity({d: (df := _declared(t, d)).select(*[C(c).cast("string").alias(c) for c in df.columns]) for d in rules.ENGINE})

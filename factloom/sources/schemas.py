@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,9 +103,60 @@ def columns(name: str) -> list[str]:
 CHECKS = {name: {f"{name}.{c}": _STATES[c] for c in columns(name) if c in _STATES} for name in SCHEMAS}
 
 
+#: Columns that may be null, in every table or in the named one only.
+OPTIONAL = set("description parent_id reviewer_note approval_decided_at released_at withdrawn_at release_note error_code final_url http_status text_char_count text_sha256 subject predicate object_value input_tokens output_tokens total_tokens provider_cost cost_currency output_sha256 claims.topic_id".split())
+
+
+def kinds(name: str) -> dict[str, str]:
+    """Declared column to type."""
+    return dict(zip(columns(name), [p.split(" ", 1)[1] for p in SCHEMAS[name].replace(", ", "\n").splitlines()], strict=True))
+
+
+def required(name: str) -> list[str]:
+    return [c for c in columns(name) if c not in OPTIONAL and f"{name}.{c}" not in OPTIONAL]
+
+
+def judged_table(stored: DataFrame, name: str) -> DataFrame:
+    """Each stored row as `typed` (the declared columns, cast, defaults filled in) with `faults`: (column, reason), FAILED_CAST or NULL."""
+    have, must = set(stored.columns), set(required(name))
+    typed, faults = [], []
+    for c, kind in kinds(name).items():
+        if c not in have:  # a table's fault, not a row's
+            typed.append(F.lit(DEFAULTS.get(c)).cast(kind).alias(c))
+            continue
+        value = F.col(f"`{c}`").try_cast(kind)
+        filled = F.coalesce(value, F.when(F.col(f"`{c}`").isNull(), F.lit(DEFAULTS[c]))) if c in DEFAULTS else value
+        typed.append(filled.alias(c))
+        null = F.when(filled.isNull(), "NULL") if c in must else F.lit(None).cast("string")
+        faults.append(F.struct(F.lit(c).alias("column"), F.when(F.col(f"`{c}`").isNotNull() & value.isNull(), "FAILED_CAST").otherwise(null).alias("reason")))
+    found = F.filter(F.array(*faults), lambda f: f["reason"].isNotNull()) if faults else F.array().cast("array<struct<column:string,reason:string>>")
+    return stored.select(F.struct(*typed).alias("typed"), found.alias("faults"), F.struct(*[F.col(f"`{c}`") for c in stored.columns]).alias("stored"))
+
+
+def conforming(stored: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Typed rows that conform to a declared table, and the others as they are stored, with their faults."""
+    judged = judged_table(stored, name)
+    return judged.where(F.size("faults") == 0).select("typed.*"), judged.where(F.size("faults") > 0).select("stored", "faults")
+
+
+def table_faults(stored: DataFrame, name: str) -> list[tuple[str, str]]:
+    """(column, reason) of a stored table as such: columns that are unknown, and required ones without a default that lack."""
+    unknown = [(c, "UNKNOWN_COLUMN") for c in stored.columns if c not in columns(name)]
+    return unknown + [(c, "MISSING_COLUMN") for c in required(name) if c not in stored.columns and c not in DEFAULTS]
+
+
+def conformity(tables: dict[str, DataFrame]) -> DataFrame:
+    """table, column, reason and n: of each stored table its rows that conform (TYPED, no column) and how many have which fault; a pass a table."""
+    out = []
+    for name, stored in tables.items():
+        each = judged_table(stored, name).select(F.explode(F.when(F.size("faults") > 0, F.col("faults")).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("column"), F.lit("TYPED").alias("reason"))))).alias("f"))
+        out.append(each.groupBy("f.column", "f.reason").agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "column", "reason", "n"))
+    return reduce(DataFrame.unionByName, out)
+
+
 def read_table(stored: DataFrame, name: str) -> DataFrame:
     """A stored table under its declared schema: columns that lack are null, values are cast, defaults filled in."""
-    types = dict(zip(columns(name), [p.split(" ", 1)[1] for p in SCHEMAS[name].replace(", ", "\n").splitlines()], strict=True))
+    types = kinds(name)
     have = set(stored.columns)
     typed = [(F.col(c) if c in have else F.lit(None)).cast(kind).alias(c) for c, kind in types.items()]
     return stored.select(*typed).na.fill({c: v for c, v in DEFAULTS.items() if c in types})
