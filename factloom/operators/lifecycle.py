@@ -47,6 +47,16 @@ def refused(kind: str, guard_ok: bool | None, approval: str, release: str, decis
     return next((reason for reason, broken in rules.get(decision, []) if broken), None)
 
 
+def with_guards(decisions: DataFrame, guards: DataFrame) -> DataFrame:
+    """Decisions (asset_kind, asset_id, ...) with guard_ok as the tables give it (asset_kind, asset_id, guard_ok); documents have no guard, and what is in no table fails its own.
+
+    guards hold an asset once at most after this; decisions may be a stream, guards are then those at its start.
+    """
+    known = guards.groupBy("asset_kind", "asset_id").agg(F.bool_and("guard_ok").alias("guard_ok"))
+    met = decisions.drop("guard_ok").join(known.hint("merge"), ["asset_kind", "asset_id"], "left")
+    return met.withColumn("guard_ok", F.coalesce("guard_ok", F.col("asset_kind") == "document")).drop("asset_id")
+
+
 #: Decisions that one row folds.
 BUCKET = 1_000
 APPROVALS, RELEASES = ["DRAFT", "APPROVED", "REJECTED"], ["UNRELEASED", "RELEASED", "WITHDRAWN"]

@@ -12,6 +12,7 @@ from factloom.operators import audit, contracts, curation, grounding, identity,
 from factloom.operators import relational as rel
 from factloom.operators import text as tx
 from factloom.sources import rules, schemas
+from factloom.sources.storage import settled
 
 from .registry import query
 
@@ -248,7 +249,7 @@ def model_allowlist(t) -> DataFrame:
 
 # review and release
 
-_FOLD = """(WITH RECURSIVE ev AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts, seq) AS n FROM {decisions}),
+_FOLD = """(WITH RECURSIVE ev AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts, seq) AS n FROM {guarded_decisions}),
  st(asset, n, ap, rn, da, re, ra, wa, nt, seq, decision, reason, oap, ore) AS (
  SELECT DISTINCT asset, CAST(0 AS BIGINT), 'DRAFT', CAST(NULL AS VARCHAR), CAST(NULL AS TIMESTAMP), 'UNRELEASED', CAST(NULL AS TIMESTAMP), CAST(NULL AS TIMESTAMP), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM ev
  UNION ALL SELECT asset, n, CASE WHEN reason IS NULL AND decision IN ('DRAFT', 'APPROVED', 'REJECTED') THEN decision ELSE ap END, CASE WHEN reason IS NULL AND decision = 'DRAFT' THEN NULL WHEN reason IS NULL AND decision IN ('APPROVED', 'REJECTED') THEN note ELSE rn END,
@@ -263,14 +264,23 @@ _FOLD = """(WITH RECURSIVE ev AS (SELECT *, row_number() OVER (PARTITION BY asse
 STATE_SQL = f"SELECT s.asset, k.asset_kind, arg_max(ap, n) AS approval_status, (max_by(row(rn), n))[1] AS reviewer_note, (max_by(row(da), n))[1] AS decided_at, arg_max(re, n) AS release_status, (max_by(row(ra), n))[1] AS released_at, (max_by(row(wa), n))[1] AS withdrawn_at, (max_by(row(nt), n))[1] AS release_note, count(reason) AS n_refused FROM {_FOLD} s JOIN (SELECT DISTINCT asset, asset_kind FROM {{decisions}}) k ON k.asset = s.asset GROUP BY s.asset, k.asset_kind"
 
 
+def guards(t) -> DataFrame:
+    """What the tables say of every asset that has a guard. Stored: a fold reads it more than once."""
+    return settled(curation.release_guards(t("notes"), t("items"), t("options"), t("packages"), t("package_notes"), t("package_items")))
+
+
+def _decided(t) -> DataFrame:
+    return lifecycle.with_guards(t("decisions"), guards(t))
+
+
 @query(STATE_SQL)
 def release_state(t) -> DataFrame:
-    return lifecycle.release_state(t("decisions"))[0]
+    return lifecycle.release_state(_decided(t))[0]
 
 
 @query(f"SELECT s.asset, k.asset_kind, s.seq, s.decision, s.reason, s.oap AS approval, s.ore AS release FROM {_FOLD} s JOIN (SELECT DISTINCT asset, asset_kind FROM {{decisions}}) k ON k.asset = s.asset WHERE reason IS NOT NULL")
 def rejected_decisions(t) -> DataFrame:
-    return lifecycle.release_state(t("decisions"))[1]
+    return lifecycle.release_state(_decided(t))[1]
 
 
 @query(
@@ -290,7 +300,7 @@ def approval_state(t) -> DataFrame:
 
 @query(f"SELECT asset, 'RELEASED_INCONSISTENT' AS rule FROM (SELECT asset, arg_max(re, n) AS re FROM {_FOLD} s GROUP BY asset) x WHERE re = 'RELEASED' AND strpos(asset, '1') > 0")
 def lifecycle_checks(t) -> DataFrame:
-    state = lifecycle.release_state(t("decisions"))[0]
+    state = lifecycle.release_state(_decided(t))[0]
     broken = F.when((C("release_status") == "RELEASED") & C("asset").contains("1"), "REJECTED").otherwise(C("approval_status"))
     return lifecycle.lifecycle_checks(state.withColumn("approval_status", broken))
 

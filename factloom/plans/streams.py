@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.streaming import jobs
-
+from factloom.operators import lifecycle
 from factloom.sources.chunk_sql import chunk_sql
+from factloom.streaming import jobs
 
 from .registry import query
 from .review import STATE_SQL as _STATE
+from .review import guards
 from .text import _NORMAL
 
 C = F.col
@@ -22,13 +23,14 @@ def _decisions(events: DataFrame) -> DataFrame:
     names = F.create_map(*[F.lit(x) for pair in (("click", "APPROVED"), ("error", "REJECTED"), ("view", "DRAFT"), ("purchase", "RELEASE")) for x in pair])
     decision = F.coalesce(F.try_element_at(names, C("event_type")), F.lit("WITHDRAW"))
     note = F.concat(F.lit("note "), C("event_id").cast("string"))
-    return events.select(asset.alias("asset"), F.get(kinds, (C("user_id") % 4).cast("int")).alias("asset_kind"), C("event_id").alias("seq"), "ts", decision.alias("decision"), note.alias("note"), (C("user_id") % 10 != 9).alias("guard_ok"))
+    return events.select(asset.alias("asset"), F.get(kinds, (C("user_id") % 4).cast("int")).alias("asset_kind"), C("event_id").alias("seq"), "ts", decision.alias("decision"), note.alias("note"), C("user_id").alias("asset_id"), (C("user_id") % 10 != 9).alias("guard_ok"))
 
 
 @query(_STATE)
 def stream_release_state(t) -> DataFrame:
-    """The last state of each asset, with times and notes, from the decisions as a stream."""
-    return jobs.release_state_stream(_decisions(jobs.table_stream(t.spark, t.sf_dir, "events")), jobs.shared_folder(t.spark))[0]
+    """The last state of each asset, with times and notes, from the decisions as a stream, guarded by the tables."""
+    decisions = lifecycle.with_guards(_decisions(jobs.table_stream(t.spark, t.sf_dir, "events")), guards(t))
+    return jobs.release_state_stream(decisions, jobs.shared_folder(t.spark))[0]
 
 
 _EXTRACTED = f"(SELECT doc_id AS id, n || chr(10) AS text FROM (SELECT doc_id, {_NORMAL.format(x='text')} AS n FROM {{documents}} WHERE text IS NOT NULL) a WHERE n <> '')"

@@ -54,7 +54,9 @@ TABLES: dict[str, str] = {
     "stored_documents": "SELECT package_id AS document_id, package_id, 'Content Package ' || CAST(package_id AS VARCHAR(20)) AS title, CASE WHEN package_id % 2 = 0 THEN 'RELEASED' ELSE 'UNRELEASED' END AS release_status FROM {packages} WHERE release_status = 'RELEASED' AND package_id % 5 <> 0",
     "artifacts": "SELECT document_id AS artifact_id, document_id, 'content-document-' || CAST(document_id AS VARCHAR(20)) || '.pdf' AS filename, 'application/pdf' AS media_type, length(title) AS byte_size, title AS payload, CASE WHEN document_id % 4 = 0 THEN 'RELEASED' ELSE 'UNRELEASED' END AS release_status FROM {stored_documents}",
     # review log
-    "decisions": "SELECT CAST(user_id AS VARCHAR(20)) || ':' || substr(CAST(ts AS VARCHAR(30)), 1, 10) AS asset, CASE user_id % 4 WHEN 0 THEN 'note' WHEN 1 THEN 'item' WHEN 2 THEN 'package' ELSE 'document' END AS asset_kind, event_id AS seq, ts, CASE event_type WHEN 'click' THEN 'APPROVED' WHEN 'error' THEN 'REJECTED' WHEN 'view' THEN 'DRAFT' WHEN 'purchase' THEN 'RELEASE' ELSE 'WITHDRAW' END AS decision, 'note ' || CAST(event_id AS VARCHAR(20)) AS note, user_id % 10 <> 9 AS guard_ok FROM {events}",
+    "decisions": "SELECT CAST(user_id AS VARCHAR(20)) || ':' || substr(CAST(ts AS VARCHAR(30)), 1, 10) AS asset, CASE user_id % 4 WHEN 0 THEN 'note' WHEN 1 THEN 'item' WHEN 2 THEN 'package' ELSE 'document' END AS asset_kind, event_id AS seq, ts, CASE event_type WHEN 'click' THEN 'APPROVED' WHEN 'error' THEN 'REJECTED' WHEN 'view' THEN 'DRAFT' WHEN 'purchase' THEN 'RELEASE' ELSE 'WITHDRAW' END AS decision, 'note ' || CAST(event_id AS VARCHAR(20)) AS note, user_id AS asset_id FROM {events}",
+    "guards": "SELECT asset_kind, asset_id, bool_and(guard_ok) AS guard_ok FROM (SELECT 'note' AS asset_kind, note_id AS asset_id, content_version_id IS NOT NULL AS guard_ok FROM {notes} UNION ALL SELECT 'item', i.item_id, coalesce(n, 0) >= 2 AND coalesce(has, FALSE) FROM {items} i LEFT JOIN (SELECT o.item_id, count(*) AS n, bool_or(o.option_id = i.correct_option_id) AS has FROM {options} o JOIN {items} i ON i.item_id = o.item_id GROUP BY o.item_id) o ON o.item_id = i.item_id UNION ALL SELECT 'package', package_id, package_id IN (SELECT package_id FROM {package_notes} UNION SELECT package_id FROM {package_items}) FROM {packages}) g GROUP BY asset_kind, asset_id",
+    "guarded_decisions": "SELECT d.*, coalesce(g.guard_ok, d.asset_kind = 'document') AS guard_ok FROM {decisions} d LEFT JOIN {guards} g ON g.asset_kind = d.asset_kind AND g.asset_id = d.asset_id",
     # crawl
     "urls": "SELECT page_id, url FROM {pages} WHERE url IS NOT NULL",
     "hosts": "SELECT DISTINCT lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host FROM {pages} WHERE url IS NOT NULL",

@@ -52,3 +52,11 @@ def test_ranges_are_even(spark, log):
     assert placed.where("asset = 'a0'").select("part").distinct().count() > 1
     order = placed.groupBy("part").agg(F.min(F.struct("asset", "asset_kind", "ts", "seq")).alias("a"), F.max(F.struct("asset", "asset_kind", "ts", "seq")).alias("b")).orderBy("part").collect()
     assert all(x.b < y.a for x, y in zip(order[:-1], order[1:], strict=True))
+
+
+def test_guards_of_the_tables(spark):
+    """A guard of several rows holds if all do; an asset that no table knows fails, a document needs none."""
+    decisions = spark.createDataFrame([("a", "note", 1, False), ("b", "note", 2, True), ("c", "item", 1, True), ("d", "document", 9, False), ("e", "note", 3, True)], "asset string, asset_kind string, asset_id long, guard_ok boolean")
+    guards = spark.createDataFrame([("note", 1, True), ("note", 2, False), ("note", 2, True), ("package", 1, True)], "asset_kind string, asset_id long, guard_ok boolean")
+    found = lifecycle.with_guards(decisions, guards)
+    assert {r.asset: r.guard_ok for r in found.collect()} == {"a": True, "b": False, "c": False, "d": True, "e": False} and "asset_id" not in found.columns
