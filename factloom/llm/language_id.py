@@ -123,9 +123,11 @@ def models(docs: DataFrame) -> list[Model]:
     for k in range(0, len(names), LANGUAGES):
         own = names[k : k + LANGUAGES]
         counts = np.zeros((len(own), 2 * BINS + 1), np.int64)
-        found = totals.where(F.col("lang").between(own[0], own[-1])).toArrow()
-        at = {name: i for i, name in enumerate(own)}
-        counts[[at[x] for x in found.column(0).to_pylist()], found.column(1).to_numpy()] = found.column(2).to_numpy()
+        # a row a language, so the driver holds numbers only, and no name beside each
+        found = totals.where(F.col("lang").between(own[0], own[-1])).groupBy("lang").agg(F.collect_list(F.struct("bin", "n")).alias("counts")).toArrow()
+        rows, lists = [own.index(x) for x in found.column(0).to_pylist()], found.column(1).combine_chunks()
+        flat = lists.flatten()
+        counts[np.repeat(rows, lists.value_lengths().to_numpy()), flat.field("bin").to_numpy()] = flat.field("n").to_numpy()
         out.append(Model(own, counts, sum(sizes.values())))
     return out
 

@@ -3,7 +3,8 @@
 Vectors are dealt into buckets of similar length, the longest first. For a query and a bucket, its k-th best score so far
 gives the least cosine that a vector of the bucket's length needs: above 1 the bucket is skipped; a high one prunes by
 the ranges that single coordinates of a unit vector may have, a low one by length alone. What stays is verified by
-its product. Thresholds start from the HEAD longest vectors. Queries are a stated set, taken in blocks of BLOCK.
+its product. Thresholds start from the HEAD longest vectors. Queries are a stated set, taken in blocks of BLOCK, ROUND
+blocks a job.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from ._runtime import as_batch, settle
 
 BLOCK = 4096
+#: Blocks that one job takes together, each of them with each part of the buckets as a task.
+ROUND = 16
 HEAD = 1024
 BUCKET = 2048
 #: From this local cosine on, coordinates prune; below it length does.
@@ -173,7 +176,7 @@ def top_k(df: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col
     chosen = settle(buckets.withColumn(id_col, F.col("id")).where(is_query).groupBy("id").agg(F.min("v").alias("v")))
     n = -(-chosen.count() // BLOCK)
     head = buckets.orderBy(F.desc("length"), "id").limit(HEAD).select("id", "v").collect()
-    found = []
+    found, rounds = [], []
     for b in range(n):
         part = chosen if n == 1 else chosen.where(F.pmod(F.xxhash64("id"), F.lit(n)) == b)
         rows, blocks = part.orderBy("id").collect(), {}
@@ -182,8 +185,10 @@ def top_k(df: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col
             blocks[d] = Queries(np.array([r.id for r in own], np.int64), _matrix([r.v for r in own]), k)
             if near:
                 blocks[d].learn(np.array([r.id for r in near], np.int64), _matrix([r.v for r in near]))
-        answers = _search(buckets, spark.sparkContext.broadcast(blocks))
-        found.append(answers if n == 1 else settle(answers))
-    answers = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "query_id long, vec_id long, score long")
+        found.append(_search(buckets, spark.sparkContext.broadcast(blocks)))
+        if len(found) == ROUND and b < n - 1:
+            rounds.append(settle(reduce(DataFrame.unionByName, found)))
+            found = []
+    answers = reduce(DataFrame.unionByName, rounds + found) if found else spark.createDataFrame([], "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

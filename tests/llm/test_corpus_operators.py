@@ -215,12 +215,13 @@ def test_top_k(spark):
         s = ints @ ints[q]
         order = [j for j in np.lexsort((np.arange(700), -s)) if j != q][:10]
         want |= {(q, k + 1, int(j), int(s[j])) for k, j in enumerate(order)}
-    for block, bucket in ((4096, 2048), (16, 32)):
+    for block, bucket, together in ((4096, 2048, 16), (16, 32, 16), (16, 32, 2)):
         top_k.BLOCK, before, top_k.BUCKET, size = block, top_k.BLOCK, bucket, top_k.BUCKET
+        top_k.ROUND = together
         try:
             found = {(x.query_id, x["rank"], x.vec_id, x.score) for x in top_k.top_k(df, F.col("vec_id") % 10 == 0).collect()}
         finally:
-            top_k.BLOCK, top_k.BUCKET = before, size
+            top_k.BLOCK, top_k.BUCKET, top_k.ROUND = before, size, 16
         assert found == want
     few = spark.createDataFrame([(0, [1.0]), (1, [1.0]), (2, [2.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(x["rank"], x.vec_id) for x in top_k.top_k(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 2), (2, 1)]

@@ -177,7 +177,7 @@ def test_pii(spark, docs):
         assert r.base_sha256 == _sha(_written(base)), texts[r.doc_id][:80]
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == s[0] for s in base) for k in ("email", "ip", "card", "phone")]
         assert r.spans.startswith(_written(base))
-    assert pii.pii_digest(docs.limit(0)).count() == 0
+    assert pii.pii_digest(docs.limit(0)).collect() == []
 
 
 def test_pii_checksums_and_context(spark):
@@ -245,7 +245,7 @@ def test_secrets(spark, docs):
         base = sorted(_spans(texts[r.doc_id], SECRETS), key=lambda s: (s[1], place[s[0]]))
         assert r.base_sha256 == _sha(_written(base)), texts[r.doc_id][:80]
         assert [s for s in r.spans.split(",") if s and not s.startswith("entropy")] == [f"{k}:{a}:{b}" for k, a, b in base]
-    assert secrets.secret_digest(docs.limit(0)).count() == 0
+    assert secrets.secret_digest(docs.limit(0)).collect() == []
 
 
 def test_entropy(spark):
