@@ -78,11 +78,10 @@ def test_conforming_rows(spark):
 
 def test_every_declared_table_reads_its_own_rows(spark):
     """A row of values of the declared types conforms to each of the declared tables; an empty one has every fault of its required columns."""
-    for name in schemas.SCHEMAS:
-        kinds = schemas.kinds(name)
-        sample = {"long": "1", "int": "1", "double": "0.5", "string": "'x'", "timestamp": "timestamp'2024-01-01'", "binary": "X'00'", "decimal(18,6)": "1.5"}
-        full = spark.sql("SELECT " + ", ".join(f"CAST({sample[k]} AS {k}) AS {c}" for c, k in kinds.items()))
-        assert schemas.conforming(full, name)[0].count() == 1 and schemas.table_faults(full, name) == []
-        nulls = spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {k}) AS {c}" for c, k in kinds.items()))
-        faults = schemas.conforming(nulls, name)[1].collect()
-        assert [f.column for f in faults[0].faults] == [c for c in schemas.required(name) if c not in schemas.DEFAULTS]
+    sample = {"long": "1", "int": "1", "double": "0.5", "string": "'x'", "timestamp": "timestamp'2024-01-01'", "binary": "X'00'", "decimal(18,6)": "1.5"}
+    full = {n: spark.sql("SELECT " + ", ".join(f"CAST({sample[k]} AS {k}) AS {c}" for c, k in schemas.kinds(n).items())) for n in schemas.SCHEMAS}
+    assert {tuple(r) for r in schemas.conformity(full).collect()} == {(n, None, "TYPED", 1) for n in schemas.SCHEMAS}
+    assert all(schemas.table_faults(df, n) == [] for n, df in full.items())
+    nulls = {n: spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {k}) AS {c}" for c, k in schemas.kinds(n).items())) for n in schemas.SCHEMAS}
+    wanted = {(n, c, "NULL", 1) for n in schemas.SCHEMAS for c in schemas.required(n) if c not in schemas.DEFAULTS}
+    assert {tuple(r) for r in schemas.conformity(nulls).collect()} == wanted
