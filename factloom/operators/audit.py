@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import exprs as E
 
+from . import contracts
+
 PROMPT_FIELDS = ["input_schema_key", "input_schema_version", "output_schema_key", "output_schema_version", "prompt_key", "system_template", "user_template", "version"]
 
 _PARTS = r"\{\{|\}\}|\{[^{}]*\}|[^{}]+|[{}]"
@@ -40,10 +44,10 @@ def render_prompts(prompts: DataFrame, inputs: DataFrame) -> DataFrame:
     return out.withColumns({"system_sha256": F.sha2("system", 256), "user_sha256": F.sha2("user", 256)})
 
 
-def execution_audit(executions: DataFrame, *, schema_type: str) -> DataFrame:
-    """execution_id, status, error_code and, of those that succeeded, output and its hash; codes in fixed order.
+def execution_audit(executions: DataFrame, *, valid: Callable[[Column], Column] = contracts.claims_output_valid) -> DataFrame:
+    """execution_id, status, error_code and, of those that succeeded, output (JSON with keys in order) and its hash; codes in fixed order.
 
-    schema_type: the variant type that an output must have, without further fields.
+    valid: the contract that an output, as text, must keep; by default that of grounded claims.
     """
     parsed = executions.withColumn("json", F.expr("try_parse_json(output_text)"))
     cost_given = F.col("provider_cost").isNotNull()
@@ -59,7 +63,7 @@ def execution_audit(executions: DataFrame, *, schema_type: str) -> DataFrame:
         F.when(F.col("provider_error").isNotNull(), F.when(F.col("provider_error").isin(E.PROVIDER_CODES), F.col("provider_error")).otherwise("AI_PROVIDER_ERROR"))
         .when(bad_response, "AI_PROVIDER_INVALID_RESPONSE")
         .when(F.col("json").isNull(), "AI_OUTPUT_INVALID_JSON")
-        .when(F.coalesce(F.schema_of_variant("json"), F.lit("")) != schema_type, "AI_OUTPUT_SCHEMA_INVALID")
+        .when(~valid(F.col("output_text")), "AI_OUTPUT_SCHEMA_INVALID")
     )
     coded = parsed.withColumn("error_code", code)
     output = F.when(F.col("error_code").isNull(), F.to_json("json"))

@@ -222,14 +222,18 @@ def render_prompts(t) -> DataFrame:
 
 
 _CODES = "('AI_PROVIDER_AUTHENTICATION', 'AI_PROVIDER_DISABLED', 'AI_PROVIDER_ERROR', 'AI_PROVIDER_INVALID_RESPONSE', 'AI_PROVIDER_RATE_LIMITED', 'AI_PROVIDER_RESPONSE_INVALID', 'AI_PROVIDER_SAFETY_BLOCKED', 'AI_PROVIDER_TIMEOUT', 'AI_PROVIDER_TRANSPORT', 'AI_PROVIDER_UNAVAILABLE')"
+_CLAIM = "json_extract(j, '$.claims[0]')"
+_CITED = f"array_to_string(list_transform(json_extract({_CLAIM}, '$.citations[*]'), lambda x: '{{\"char_end\":' || (x->>'char_end') || ',\"char_start\":' || (x->>'char_start') || ',\"source_chunk_id\":' || (x->>'source_chunk_id') || '}}'), ',')"
+_CANONICAL_OUTPUT = f"'{{\"claims\":[{{\"citations\":[' || {_CITED} || '],\"statement\":' || CAST(json_extract({_CLAIM}, '$.statement') AS VARCHAR) || ',\"subject\":' || CAST(json_extract({_CLAIM}, '$.subject') AS VARCHAR) || '}}]}}'"
 _CLASSIFIED = f"""(SELECT *, CASE WHEN provider_error IS NOT NULL THEN CASE WHEN provider_error IN {_CODES} THEN provider_error ELSE 'AI_PROVIDER_ERROR' END
  WHEN output_text IS NULL OR trim(output_text) = '' OR input_tokens NOT BETWEEN 0 AND 2147483647 OR total_tokens NOT BETWEEN 0 AND 2147483647 OR total_tokens <> input_tokens + output_tokens OR (cost_currency IS NOT NULL AND NOT regexp_full_match(cost_currency, '[A-Z]{{3}}')) OR (provider_cost IS NULL) <> (cost_currency IS NULL) OR (provider_cost IS NOT NULL AND NOT regexp_full_match(provider_cost, '(0|[1-9][0-9]{{0,11}})([.][0-9]{{1,6}})?')) THEN 'AI_PROVIDER_INVALID_RESPONSE'
- WHEN NOT json_valid(output_text) THEN 'AI_OUTPUT_INVALID_JSON' WHEN json_type(CASE WHEN json_valid(output_text) THEN output_text END) <> 'OBJECT' THEN 'AI_OUTPUT_SCHEMA_INVALID' END AS error_code FROM {{executions}})"""
+ WHEN j IS NULL THEN 'AI_OUTPUT_INVALID_JSON' WHEN NOT coalesce({_OUTPUT_OK}, FALSE) THEN 'AI_OUTPUT_SCHEMA_INVALID' END AS error_code FROM (SELECT *, CASE WHEN json_valid(output_text) THEN CAST(output_text AS JSON) END AS j FROM {{claim_executions}}) o)"""
 
 
-@query(f"SELECT execution_id, CASE WHEN error_code IS NULL THEN 'SUCCEEDED' ELSE 'FAILED' END AS status, error_code, CASE WHEN error_code IS NULL THEN replace(output_text, ' ', '') END AS output_json, CASE WHEN error_code IS NULL THEN sha256(replace(output_text, ' ', '')) END AS output_sha256 FROM {_CLASSIFIED} x")
+@query(f"SELECT execution_id, CASE WHEN error_code IS NULL THEN 'SUCCEEDED' ELSE 'FAILED' END AS status, error_code, CASE WHEN error_code IS NULL THEN {_CANONICAL_OUTPUT} END AS output_json, CASE WHEN error_code IS NULL THEN sha256({_CANONICAL_OUTPUT}) END AS output_sha256 FROM {_CLASSIFIED} x")
 def execution_audit(t) -> DataFrame:
-    return audit.execution_audit(t("executions"), schema_type="OBJECT<k: BIGINT>")
+    """Recorded executions whose outputs are claims over whole texts, by the contract of grounded claims."""
+    return audit.execution_audit(t("claim_executions"))
 
 
 @query(

@@ -78,6 +78,7 @@ TABLES: dict[str, str] = {
     # prompts and executions
     "prompts": "SELECT s_suppkey AS prompt_id, CASE s_suppkey % 3 WHEN 0 THEN 'summary' ELSE 'extract' END AS prompt_key, s_suppkey AS version, CASE s_suppkey % 3 WHEN 1 THEN 'You are {{role}} for ' || s_name || '.' ELSE 'Plain ' || s_name END AS system_template, CASE s_suppkey % 3 WHEN 1 THEN 'Type {type} value {value} {{braces}}' WHEN 2 THEN 'Props {props} of {type}' ELSE 'Missing {nothing}' END AS user_template, CASE s_suppkey % 3 WHEN 0 THEN 'other.input' ELSE 'grounded-claim-extraction.input' END AS input_schema_key, CAST(1 AS BIGINT) AS input_schema_version, CASE s_suppkey % 3 WHEN 1 THEN 'grounded-claim-extraction.output' ELSE 'other.output' END AS output_schema_key, CAST(1 AS BIGINT) AS output_schema_version FROM {supplier}",
     "executions": "SELECT event_id AS execution_id, event_id % z.n + 1 AS prompt_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'model-x' ELSE 'model-a' END AS model_id, CASE event_id % 9 WHEN 0 THEN '{bad json' WHEN 1 THEN ' ' WHEN 2 THEN '[1]' ELSE props END AS output_text, CASE event_id % 14 WHEN 3 THEN 'AI_PROVIDER_TIMEOUT' WHEN 4 THEN 'SOMETHING_ELSE' END AS provider_error, CASE WHEN event_id % 10 = 7 THEN CAST(-1 AS BIGINT) ELSE user_id END AS input_tokens, CAST(10 AS BIGINT) AS output_tokens, CASE WHEN event_id % 15 = 8 THEN user_id ELSE user_id + 10 END AS total_tokens, CASE event_id % 4 WHEN 0 THEN '0.25' WHEN 1 THEN '1e5' WHEN 2 THEN '012' END AS provider_cost, CASE event_id % 8 WHEN 0 THEN 'USD' WHEN 1 THEN 'usd' WHEN 4 THEN 'EUR' END AS cost_currency, ts AS started_at FROM {events} CROSS JOIN (SELECT max(s_suppkey) AS n FROM {supplier}) z",
+    "claim_executions": "SELECT e.execution_id, CASE WHEN e.output_text IN ('{bad json', ' ', '[1]') OR e.execution_id % 9 = 3 THEN e.output_text ELSE m.body END AS output_text, e.provider_error, e.input_tokens, e.output_tokens, e.total_tokens, e.provider_cost, e.cost_currency FROM (SELECT x.*, x.execution_id % z.n AS output_id FROM {executions} x CROSS JOIN (SELECT max(doc_id) + 1 AS n FROM {documents}) z) e LEFT JOIN {model_outputs} m ON m.output_id = e.output_id",
 }
 
 _REF = re.compile(r"(?<!\{)\{(\w+)\}(?!\})")

@@ -6,6 +6,8 @@ from __future__ import annotations
 UNIQUE = {
     "exams": [["exam_id"], ["name"]],
     "topics": [["topic_id"]],
+    "syllabus_versions": [["syllabus_version_id"], ["exam_id", "label"]],
+    "source_discovery_runs": [["run_id"], ["run_id", "status"]],
     "syllabus_version_topics": [["syllabus_version_id", "topic_id"], ["syllabus_version_id", "position"]],
     "previous_papers": [["paper_id"], ["exam_id", "year", "label"]],
     "previous_questions": [["question_id"], ["paper_id", "position"]],
@@ -43,12 +45,16 @@ UNIQUE = {
 #: References as (child, its columns, parent, its columns, what a deletion of the parent does).
 REFERENCES = [
     ("topics", ["parent_id"], "topics", ["topic_id"], "RESTRICT"),
+    ("syllabus_versions", ["exam_id"], "exams", ["exam_id"], "RESTRICT"),
+    ("syllabus_versions", ["source_id"], "sources", ["source_id"], "RESTRICT"),
+    ("syllabus_version_topics", ["syllabus_version_id"], "syllabus_versions", ["syllabus_version_id"], "RESTRICT"),
     ("syllabus_version_topics", ["topic_id"], "topics", ["topic_id"], "RESTRICT"),
     ("previous_papers", ["exam_id"], "exams", ["exam_id"], "RESTRICT"),
     ("previous_papers", ["source_id"], "sources", ["source_id"], "RESTRICT"),
     ("previous_questions", ["paper_id"], "previous_papers", ["paper_id"], "RESTRICT"),
     ("previous_questions", ["topic_id"], "topics", ["topic_id"], "RESTRICT"),
     ("content_versions", ["syllabus_version_id", "topic_id"], "syllabus_version_topics", ["syllabus_version_id", "topic_id"], "RESTRICT"),
+    ("source_candidates", ["run_id"], "source_discovery_runs", ["run_id"], "RESTRICT"),
     ("source_candidate_promotions", ["candidate_id"], "source_candidates", ["candidate_id"], "RESTRICT"),
     ("source_candidate_promotions", ["source_id"], "sources", ["source_id"], "RESTRICT"),
     ("source_fetch_runs", ["source_id"], "sources", ["source_id"], "RESTRICT"),
