@@ -170,12 +170,13 @@ _REQUESTS = """SELECT 'verification' AS kind, v.verification_id AS id, CASE WHEN
  WHEN coalesce(o.n, 0) < 2 THEN 'OPTIONS' WHEN o.blank THEN 'BLANK_OPTION' WHEN NOT coalesce(o.correct BETWEEN 0 AND o.n - 1, FALSE) THEN 'CORRECT_OPTION' END FROM {items} i
  LEFT JOIN (SELECT item_id, count(*) AS n, min(claim_id) AS least_id, count(DISTINCT claim_id) AS ids FROM {item_claims} GROUP BY item_id) c ON c.item_id = i.item_id
  LEFT JOIN (SELECT o.item_id, count(*) AS n, bool_or(NOT coalesce(regexp_matches(option_text, '\\S'), FALSE)) AS blank, min(CASE WHEN o.option_id = i.correct_option_id THEN position END) AS correct FROM {options} o JOIN {items} i ON i.item_id = o.item_id GROUP BY o.item_id) o ON o.item_id = i.item_id
- UNION ALL SELECT 'source', source_id, CASE WHEN NOT coalesce(regexp_matches(name, '\\S') AND length(name) <= 500, FALSE) THEN 'TITLE' WHEN NOT coalesce(tier BETWEEN 1 AND 4, FALSE) THEN 'TIER' WHEN NOT coalesce(regexp_matches(location, '\\S'), FALSE) THEN 'LOCATION' END FROM {sources}"""
+ UNION ALL SELECT 'source', source_id, CASE WHEN NOT coalesce(regexp_matches(name, '\\S') AND length(name) <= 500, FALSE) THEN 'TITLE' WHEN NOT coalesce(tier BETWEEN 1 AND 4, FALSE) THEN 'TIER' WHEN NOT coalesce(regexp_matches(location, '\\S'), FALSE) THEN 'LOCATION' END FROM {sources}
+ UNION ALL SELECT 'fetch_result', result_id, CASE WHEN status = 'SUCCEEDED' AND NOT coalesce(length(content_base64) > 0, FALSE) THEN 'CONTENT' END FROM {fetch_results}"""
 
 
 @query(_REQUESTS)
 def request_validation(t) -> DataFrame:
-    """Verifications, question items and sources as requests, each by the rules of its kind."""
+    """Verifications, question items, sources and fetch results as requests, each by the rules of its kind."""
     evidence = rel.nest_children(t("verifications"), t("verification_evidence"), key="verification_id", order_by=["position", "evidence_id"], fields=[], as_="e")
     verifications = evidence.withColumns({"evidence_ids": C("e.evidence_id"), "positions": C("e.position")})
     items = rel.nest_children(t("items"), t("options"), key="item_id", order_by=["position", "option_id"], fields=["option_text"], as_="o")
@@ -184,8 +185,10 @@ def request_validation(t) -> DataFrame:
     items = items.withColumns({"options": C("o.option_text"), "claim_ids": C("c.claim_id"), "correct_option_position": right})
     none = F.lit(None).cast("string")
     sources = t("sources").select("source_id", C("name").alias("title"), none.alias("publisher"), F.lit("site").alias("source_type"), C("tier").alias("authority_tier"), "location", F.lit("open").alias("license_status"), none.alias("content_hash"))
-    out = [contracts.validated(df, kind).select(F.lit(kind).alias("kind"), C(key).alias("id"), "error_code") for df, kind, key in ((verifications, "verification", "verification_id"), (items, "question_item", "item_id"), (sources, "source", "source_id"))]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    succeeded = C("status") == "SUCCEEDED"
+    fetched = t("fetch_results").withColumns({"http_status": F.when(succeeded, 200), "error_code": F.when(~succeeded, "FETCH_FAILED")})
+    kinds = ((verifications, "verification", "verification_id"), (items, "question_item", "item_id"), (sources, "source", "source_id"), (fetched, "fetch_result", "result_id"))
+    return reduce(DataFrame.unionByName, [contracts.validated(df, kind).select(F.lit(kind).alias("kind"), C(key).alias("id"), "error_code") for df, kind, key in kinds])
 
 
 _TEXT_OK = "(NOT list_contains(json_keys(c), '{f}') OR json_type(c, '$.{f}') = 'NULL' OR (json_type(c, '$.{f}') = 'VARCHAR' AND length(c->>'{f}') <= {n} AND regexp_matches(c->>'{f}', '\\S')))"

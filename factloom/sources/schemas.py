@@ -92,6 +92,40 @@ _STATES = {
     "name": "trim(name) <> '' and length(name) <= 255",
     "media_type": "media_type = 'application/pdf'",
     "approval_decided_at": "(approval_status = 'DRAFT') = (approval_decided_at is null)",
+    "reviewer_note": "approval_status <> 'DRAFT' or reviewer_note is null",
+    "release_note": "release_status <> 'UNRELEASED' or release_note is null",
+    "year": "year > 0",
+    "difficulty": "difficulty in ('EASY', 'MEDIUM', 'HARD')",
+    "query": "trim(query) <> ''",
+    "requested_url": "trim(requested_url) <> ''",
+    "final_url": "trim(final_url) <> ''",
+    "content_type": "trim(content_type) <> ''",
+    "error_code": "error_code rlike '^[A-Z][A-Z0-9_]*$' and length(error_code) <= 100",
+    "input_schema_key": "input_schema_key rlike '^[a-z][a-z0-9_.-]*$' and length(input_schema_key) <= 100",
+    "output_schema_key": "output_schema_key rlike '^[a-z][a-z0-9_.-]*$' and length(output_schema_key) <= 100",
+    "request_id": "length(request_id) between 1 and 100 and request_id = trim(request_id)",
+    "provider_cost": "(provider_cost is null) = (cost_currency is null) and coalesce(provider_cost, 0) >= 0",
+    "checksum": "checksum rlike '^[0-9a-f]{64}$'",
+    "input_sha256": "input_sha256 rlike '^[0-9a-f]{64}$'",
+    "output_sha256": "output_sha256 rlike '^[0-9a-f]{64}$'",
+    "snapshot_sha256": "snapshot_sha256 rlike '^[0-9a-f]{64}$'",
+    "text_sha256": "text_sha256 rlike '^[0-9a-f]{64}$'",
+    "cited_text_sha256": "cited_text_sha256 rlike '^[0-9a-f]{64}$'",
+}
+
+#: Checks over several columns of one table.
+_TOGETHER = {
+    "source_fetch_runs": {"succeeded": "status <> 'SUCCEEDED' or (final_url is not null and http_status between 200 and 299 and error_code is null)"},
+    "source_snapshots": {"byte_size_matches": "byte_size = octet_length(content)", "byte_size_positive": "byte_size > 0"},
+    "ai_execution_runs": {"tokens_add_up": "total_tokens = input_tokens + output_tokens", "output_of_succeeded": "(status = 'SUCCEEDED') = (output_sha256 is not null)"},
+    "ai_prompt_versions": {"schema_versions": "input_schema_version > 0 and output_schema_version > 0"},
+    "source_candidate_promotions": {"approved": "approval_status = 'APPROVED' and approval_decided_at is not null"},
+    "claim_extraction_evidence": {"place": "position >= 0 and char_start >= 0 and char_end > char_start"},
+    "note_drafts": {"release_times": "released_at is null or withdrawn_at is null or withdrawn_at >= released_at"},
+    "question_bank_items": {"release_times": "released_at is null or withdrawn_at is null or withdrawn_at >= released_at"},
+    "content_packages": {"release_times": "released_at is null or withdrawn_at is null or withdrawn_at >= released_at"},
+    "content_documents": {"release_times": "released_at is null or withdrawn_at is null or withdrawn_at >= released_at"},
+    "pdf_artifacts": {"release_times": "released_at is null or withdrawn_at is null or withdrawn_at >= released_at"},
 }
 
 
@@ -100,7 +134,7 @@ def columns(name: str) -> list[str]:
 
 
 #: Checks of each table: rule to condition, for the audit of a table.
-CHECKS = {name: {f"{name}.{c}": _STATES[c] for c in columns(name) if c in _STATES} for name in SCHEMAS}
+CHECKS = {name: {f"{name}.{c}": _STATES[c] for c in columns(name) if c in _STATES} | {f"{name}.{c}": rule for c, rule in _TOGETHER.get(name, {}).items()} for name in SCHEMAS}
 
 
 #: Columns that may be null, in every table or in the named one only.

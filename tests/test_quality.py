@@ -105,3 +105,15 @@ def test_what_two_seeds_reach(spark):
     links = [("b", ["a"], "a", ["id"], "CASCADE"), ("c", ["a"], "a", ["id"], "RESTRICT")]
     assert deleted(spark, tables, links, "a", [(1,), (2,)]) == {("a", "1", "BLOCKED"), ("a", "2", "DELETE"), ("b", "7", "DELETE")}
     assert deleted(spark, tables, links, "a", []) == set()
+
+
+def test_every_declared_check_runs(spark):
+    """Each check reads columns of its own table, holds for no row of nulls as broken, and counts one of each kind that is."""
+    from factloom.sources import schemas
+
+    for name in ("source_snapshots", "source_fetch_runs", "ai_execution_runs", "ai_prompt_versions", "note_drafts"):
+        empty = spark.sql("SELECT " + ", ".join(f"CAST(NULL AS {k}) AS {c}" for c, k in schemas.kinds(name).items()))
+        assert {r.rule: r.violations for r in quality.audit_checks(empty, schemas.CHECKS[name]).collect()} == dict.fromkeys(schemas.CHECKS[name], 0)
+    run = spark.sql("SELECT 'SUCCEEDED' AS status, CAST(NULL AS STRING) AS error_code, ' ' AS requested_url, 'https://a.org' AS final_url, 404 AS http_status, 1L AS run_id, 1L AS source_id, current_timestamp() AS created_at")
+    found = {r.rule for r in quality.audit_checks(run, schemas.CHECKS["source_fetch_runs"]).where("violations > 0").collect()}
+    assert found == {"source_fetch_runs.requested_url", "source_fetch_runs.succeeded"}
