@@ -18,22 +18,34 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go; columns beyond those of documents too.
+
+    Null and empty texts are scored as texts without features; rows that repeat are judged each; where labels teach nothing all stay; an empty table stays empty.
+    """
     return quality.keep_good(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest id."""
+    """One document of each group of near duplicates stays, the one with the smallest id.
+
+    Null texts and those without words are like nothing and stay; of rows that share an id one stays, and all without an id; an empty table stays empty.
+    """
     return near_duplicates.one_of_each(docs.select(*COLUMNS), width=5, percent=80)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; shorter benchmark passages are cut out of the others."""
+    """Contaminated documents go; shorter benchmark passages are cut out of the others.
+
+    Null and empty texts have no words and stay as they are, as does all where the benchmark is empty; rows that repeat are judged each; n_chars is counted anew (null where the text is).
+    """
     return _recounted(decontamination.decontaminate(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark")))
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind."""
+    """Personal data is replaced by its kind.
+
+    Null texts stay null and empty ones empty; rows that repeat are treated each; texts may be of any length; n_chars is counted anew.
+    """
     return _recounted(pii.redact_pii(docs.select(*COLUMNS)))
 
 
