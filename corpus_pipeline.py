@@ -20,7 +20,7 @@ def _recounted(docs: DataFrame) -> DataFrame:
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; columns beyond those of documents too.
 
-    Null and empty texts are scored as texts without features; rows that repeat are judged each; where labels teach nothing all stay; an empty table stays empty.
+    Null and empty texts score the labels' mean (0.5 without labels) and stay or go by it; rows that repeat are judged each; an empty table stays empty.
     """
     return quality.keep_good(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
