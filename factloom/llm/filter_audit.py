@@ -184,5 +184,6 @@ def filter_audit(docs: DataFrame, labels: DataFrame, conditions: Mapping = CONDI
                 yield as_batch([[part] * len(rows), *zip(*rows, strict=True)], schema)
 
     counts = failure_counts(docs, labels, conditions, id_col=id_col, text_col=text_col, part_col=part_col)
-    by_part = counts.groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("counts"))  # at most 2^filters of them
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a part's rows are few but all orders of it cost some milliseconds, so tasks are not merged by size
+    by_part = counts.repartition(tasks, "part").groupBy("part").agg(F.collect_list(F.struct("mask", "n", "good", "toxic")).alias("counts"))  # at most 2^filters of them
     return by_part.mapInArrow(audit, "part string, filter_order string, step int, " + ", ".join(f"{c} long" for c in COLUMNS))
