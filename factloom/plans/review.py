@@ -340,8 +340,9 @@ def package_content(t) -> DataFrame:
 _CHECKED = {d: {rule: c for rule, c in schemas.CHECKS[d].items() if set(re.findall("[a-z_0-9]+", c)) & set(schemas.columns(d)) <= set(rules.engine_columns(d))} for d in rules.ENGINE}
 
 
-def _settle_engine(t) -> None:
-    t.settle_shared([engine for engine, _ in rules.ENGINE.values()])
+def _stored(frames: list[DataFrame]) -> DataFrame:
+    """Small results over many tables, each stored on its own, so that no plan holds them all."""
+    return reduce(DataFrame.unionByName, [settled(df) for df in frames])
 
 
 def _declared(t, name: str) -> DataFrame:
@@ -356,25 +357,25 @@ def _as_sql(name: str) -> str:
 @query(" UNION ALL ".join(f"SELECT '{rule}' AS rule, count(*) FILTER (WHERE NOT ({c})) AS violations FROM {_as_sql(d)} x" for d, checks in _CHECKED.items() for rule, c in checks.items()))
 def audit_checks(t) -> DataFrame:
     """All declared checks of all stored tables that the test tables give, one pass a table."""
-    _settle_engine(t)
-    return reduce(DataFrame.unionByName, [quality.audit_checks(_declared(t, d), checks) for d, checks in _CHECKED.items() if checks])
+    each = [quality.audit_checks(_declared(t, d), checks) for d, checks in _CHECKED.items() if checks]
+    return _stored([reduce(DataFrame.unionByName, each[i : i + 7]) for i in range(0, len(each), 7)])
 
 
 @query(" UNION ALL ".join(f"SELECT '{rule}' AS rule, count(*) AS groups, CAST(coalesce(sum(n), 0) AS BIGINT) AS rows FROM (SELECT count(*) AS n FROM {_as_sql(d)} x WHERE {' AND '.join(f'{c} IS NOT NULL' for c in key)} GROUP BY {', '.join(key)} HAVING count(*) > 1) y" for rule, d, key in rules.audited_keys()))
 def audit_unique(t) -> DataFrame:
     """All declared keys of all stored tables that the test tables give."""
-    _settle_engine(t)
     keys: dict[str, dict[str, list[str]]] = {}
     for rule, d, key in rules.audited_keys():
         keys.setdefault(d, {})[rule] = key
-    return quality.audit_unique([(_declared(t, d), own) for d, own in keys.items()])
+    each = [(_declared(t, d), own) for d, own in keys.items()]
+    return _stored([quality.audit_unique(each[i : i + 7]) for i in range(0, len(each), 7)])
 
 
 @query(" UNION ALL ".join(f"SELECT '{rule}' AS rule, count(*) AS orphans FROM {_as_sql(child)} c WHERE {' AND '.join(f'c.{x} IS NOT NULL' for x in columns)} AND NOT EXISTS (SELECT 1 FROM {_as_sql(parent)} p WHERE {' AND '.join(f'p.{k} = c.{x}' for x, k in zip(columns, keys, strict=True))})" for rule, child, columns, parent, keys in rules.audited_references()))
 def audit_foreign_keys(t) -> DataFrame:
     """All declared references between stored tables that the test tables give: how many rows refer to nothing."""
-    _settle_engine(t)
-    return quality.audit_foreign_keys({d: _declared(t, d) for d in rules.ENGINE}, rules.audited_references())
+    tables, references = {d: _declared(t, d) for d in rules.ENGINE}, sorted(rules.audited_references(), key=lambda r: r[3])  # those to one parent stand together
+    return _stored([quality.audit_foreign_keys(tables, references[i : i + 8]) for i in range(0, len(references), 8)])
 
 
 def _gone(seed: str, key: str, used: str, taken: dict[str, str]) -> str:
@@ -396,7 +397,6 @@ _DELETIONS = [
 @query(" UNION ALL ".join(_gone(*d) for d in _DELETIONS) + """ UNION ALL SELECT 'topics', 'claims', CAST(claim_id AS VARCHAR), 'SET_NULL' FROM {claims} WHERE topic_id NOT IN (SELECT topic_id FROM {syllabus_topics} UNION ALL SELECT topic_id FROM {questions} UNION ALL SELECT topic_id FROM {notes})""")
 def propagate_deletes(t) -> DataFrame:
     """What the deletion of all items, evidence, packages and topics would do along all declared references that the test tables give."""
-    _settle_engine(t)
     tables = {d: (_declared(t, d), rules.UNIQUE[d][0]) for d in rules.ENGINE}
     tables["previous_questions"] = (tables["previous_questions"][0], ["paper_id", "position"])  # the test tables give these no id
     found = [quality.propagate_deletes(tables, rules.held_references(), seed, tables[seed][0].select(key)).withColumn("seed_table", F.lit(seed)) for seed, key, _, _ in _DELETIONS]
@@ -413,5 +413,6 @@ def _conforming_sql(d: str) -> str:
 @query(" UNION ALL ".join(_conforming_sql(d) for d in rules.ENGINE))
 def typed_scan(t) -> DataFrame:
     """All declared tables that the test tables give, stored as text and read under their declared schemas: rows that conform, and faults."""
-    _settle_engine(t)
-    return schemas.conformity({d: (df := _declared(t, d)).select(*[C(c).cast("string").alias(c) for c in df.columns]) for d in rules.ENGINE})
+    stored = {d: (df := _declared(t, d)).select(*[C(c).cast("string").alias(c) for c in df.columns]) for d in rules.ENGINE}
+    names = list(stored)
+    return _stored([schemas.conformity({d: stored[d] for d in names[i : i + 7]}) for i in range(0, len(names), 7)])

@@ -6,7 +6,6 @@ References to other tables stand in braces: base tables are Parquet files, the r
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -135,16 +134,6 @@ class Tables:
                 self.known[name] = _run(self.spark, sql, {f"t_{n}": self(n) for n in refs})
         return self.known[name]
 
-    def settle_shared(self, names: list[str]) -> None:
-        """Store every engine table that three or more of those that names need read, so that one query over many of them builds each once."""
-        from .storage import settled
-
-        order = needed(names)
-        uses = Counter(n for name in order for n in _names(TABLES[name])) + Counter(names)
-        for name in order:
-            if uses[name] > 2 and name not in ("chunks", "topics"):  # chunks are stored anyway, topics are literals
-                self.known[name] = settled(self(name))
-
 
 def _chunks(texts: DataFrame) -> DataFrame:
     """The engine's own chunks of whole texts; what the oracles walk over in SQL. Stored once a session of tables."""
