@@ -23,7 +23,7 @@ def folder(spark, tmp_path_factory):
     return own
 
 
-@pytest.mark.parametrize("name", ["extract_html", "extract_snapshots"])
+@pytest.mark.parametrize("name", ["extract_html", "extract_snapshots", "extraction_sink"])
 def test_pages_equal_oracle(spark, folder, name):
     duck = duckdb.connect()
     for file in folder.glob("*.parquet"):
