@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factloom.functions import exprs as E
-from factloom.sources.storage import settled
+from factloom.sources.storage import bounded_batches, settled
 
 from . import relational as rel
 from .url_scores import url_scores
@@ -155,6 +155,7 @@ def _sitemap(bodies: pd.Series) -> pd.DataFrame:
 
 def parse_sitemap(crawl: DataFrame) -> DataFrame:
     """url, valid, is_index and locations of stored sitemaps (url, body)."""
+    bounded_batches(crawl.sparkSession)
     return crawl.select("url", _sitemap("body").alias("s")).select("url", F.col("s.is_index").isNotNull().alias("valid"), F.col("s.is_index").alias("is_index"), F.col("s.locations").alias("locations"))
 
 
