@@ -14,7 +14,7 @@ from factloom.functions import exprs as E
 from factloom.sources.storage import bounded_batches, settled
 
 from . import relational as rel
-from .url_scores import url_scores
+from .url_scores import ordered_scores, url_scores
 
 #: Kinds of content that are stored.
 SUPPORTED = ["application/json", "application/pdf", "application/xml", "text/html", "text/plain", "text/xml"]
@@ -77,8 +77,8 @@ def frontier_filter(urls: DataFrame, hosts: DataFrame, rules: DataFrame, *, agen
 
 
 def scored_urls(urls: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, url and score (how many of the query's tokens the URL holds) wherever there is one."""
-    return url_scores(urls, queries)
+    """query_id, url and score (how many of the query's tokens the URL holds) wherever there is one, in order of query, best score and URL."""
+    return ordered_scores(urls, queries)
 
 
 def discover_candidates(urls: DataFrame, queries: DataFrame, *, k: int = 50) -> DataFrame:

@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import exprs as E
-from factloom.sources.storage import settled
+from factloom.sources.storage import bounded_batches, settled
 
-#: Bytes of the tokens of a block of queries, and of one URL batch's rows of scores that are sorted at a time.
+#: Bytes of the tokens of a block of queries; pairs of queries and URLs that a worker makes at a time; pairs that are sorted in one partition.
 BLOCK_BYTES = 2**20
+PAIRS = 2**18
+SLICE_PAIRS = 4_000_000
 _SCORES = "query_id long, url string, score long"
 _SCHEMA = pa.schema([("query_id", pa.int64()), ("url", pa.string()), ("score", pa.int64())])
 
@@ -69,36 +71,88 @@ def _best(rows: pa.Table, k: int) -> pa.Table:
     return rows.filter(pa.array(place < k))
 
 
+def _pairs(batches: Iterator[pa.RecordBatch], matcher: Matcher) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]:
+    """(urls, place of the URL, place of the query in the block, score) of pairs that score, about PAIRS at a time: a URL may meet all queries."""
+    for batch in batches:
+        met, size, begin, last = [], 0, 0, batch.num_rows - 1
+        for i, folded in enumerate(batch.column(1).to_pylist()):
+            met.append(matcher.scores(folded or ""))
+            size += len(met[-1][0])
+            if size and (size >= PAIRS or i == last):
+                at = np.repeat(np.arange(begin, i + 1), [len(q) for q, _ in met])
+                yield batch.column(0), at, *(np.concatenate([x[c] for x in met]) for c in (0, 1))
+                met, size, begin = [], 0, i + 1
+
+
 def _scored(urls: DataFrame, block: list[tuple[int, list[str]]], k: int | None) -> DataFrame:
     """urls: url, folded. Scores of a block, of each query the k best a task where k is given."""
     shared = urls.sparkSession.sparkContext.broadcast(block)
 
     def run(batches):
-        matcher, kept = Matcher(shared.value), []
-        for batch in batches:
-            met = [matcher.scores(x or "") for x in batch.column(1).to_pylist()]
-            at = np.repeat(np.arange(len(met)), [len(q) for q, _ in met])
-            if not len(at):
+        matcher, kept, waiting, n = Matcher(shared.value), _SCHEMA.empty_table(), [], 0
+        for texts, at, queries, scores in _pairs(batches, matcher):
+            rows = pa.RecordBatch.from_arrays([pa.array(matcher.ids[queries]), texts.take(pa.array(at)), pa.array(scores.astype(np.int64))], schema=_SCHEMA)
+            if k is None:
+                yield rows
                 continue
-            queries, scores = (np.concatenate([x[i] for x in met]) for i in (0, 1))
-            for i in range(0, len(at), 1_000_000):
-                part = slice(i, i + 1_000_000)
-                rows = pa.RecordBatch.from_arrays([pa.array(matcher.ids[queries[part]]), batch.column(0).take(pa.array(at[part])), pa.array(scores[part].astype(np.int64))], schema=_SCHEMA)
-                if k is None:
-                    yield rows
-                else:
-                    kept = _best(pa.Table.from_batches([rows, *kept]), k).to_batches()
-        yield from kept
+            waiting.append(rows)
+            n += rows.num_rows
+            if n >= max(PAIRS, kept.num_rows):
+                kept, waiting, n = _best(pa.Table.from_batches([*waiting, *kept.to_batches()], _SCHEMA), k), [], 0
+        if k is not None:
+            yield from _best(pa.Table.from_batches([*waiting, *kept.to_batches()], _SCHEMA), k).to_batches()
 
     return urls.mapInArrow(run, _SCORES)
 
 
+def _listed(urls: DataFrame, block: list[tuple[int, list[str]]], cuts: np.ndarray) -> DataFrame:
+    """Scores of a block as a row a URL and slice of queries; cuts: the first query of each slice but the first."""
+    shared = urls.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches):
+        matcher = Matcher(shared.value)
+        slices = np.searchsorted(cuts, matcher.ids, "right").astype(np.int32)
+        for texts, at, queries, scores in _pairs(batches, matcher):
+            own = slices[queries]
+            first = np.flatnonzero((np.diff(at, prepend=-1) != 0) | (np.diff(own, prepend=-1) != 0))
+            ends = pa.array(np.append(first, len(at)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (matcher.ids[queries], scores.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(own[first]), texts.take(pa.array(at[first])), *lists], ["slice", "url", "queries", "scores"])
+
+    return urls.mapInArrow(run, "slice int, url string, queries array<long>, scores array<int>")
+
+
 def url_scores(urls: DataFrame, queries: DataFrame, *, k: int | None = None) -> DataFrame:
     """query_id, url and score wherever a query shares a token with a distinct URL; with k a superset of each query's k best by score and URL.
 
     A token counts where the URL holds it anywhere, in either case. Null and empty queries and URLs match nothing.
     """
-    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # many small rows cost much each, so tasks are not merged by size
-    own = urls.select("url").where("url is not null").repartition(parts, "url").distinct().select("url", E.casefold(F.col("url")).alias("folded"))
+    own = _folded(urls)
     blocks = [_scored(own, block, k) for block in query_blocks(queries)]
     return reduce(DataFrame.unionByName, blocks) if blocks else urls.sparkSession.createDataFrame([], _SCORES)
+
+
+def _folded(urls: DataFrame) -> DataFrame:
+    bounded_batches(urls.sparkSession)
+    parts = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # many small rows cost much each, so tasks are not merged by size
+    return urls.select("url").where("url is not null").repartition(parts, "url").distinct().select("url", E.casefold(F.col("url")).alias("folded"))
+
+
+def ordered_scores(urls: DataFrame, queries: DataFrame) -> DataFrame:
+    """The rows of url_scores in order of query_id, best score and url.
+
+    Queries are cut into slices in order of their ids, a partition each; a URL goes to a slice once, with the queries
+    that it scores for, and pairs are made where they are sorted. A slice has as many queries as make about SLICE_PAIRS
+    pairs with all URLs, one at least.
+    """
+    spark = urls.sparkSession
+    own, blocks = settled(_folded(urls).sortWithinPartitions("url")), list(query_blocks(queries))
+    ids = np.sort(np.array([i for block in blocks for i, _ in block], np.int64))
+    if not len(ids):
+        return spark.createDataFrame([], _SCORES)
+    width = max(1, min(SLICE_PAIRS // max(1, own.count()), -(-len(ids) // int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    listed = reduce(DataFrame.unionByName, [_listed(own, block, ids[width::width]) for block in blocks])
+    dealt = listed.repartitionById(-(-len(ids) // width), "slice")
+    pairs = dealt.select("url", F.explode(F.arrays_zip("queries", "scores")).alias("p"))
+    scores = pairs.select(F.col("p.queries").alias("query_id"), "url", F.col("p.scores").cast("long").alias("score"))
+    return scores.sortWithinPartitions("query_id", F.desc("score"), "url")

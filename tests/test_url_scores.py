@@ -61,3 +61,31 @@ def test_nothing_to_score(spark, data):
     assert discovery.discover_candidates(urls.limit(0), queries).collect() == []
     assert discovery.discover_candidates(urls, queries.limit(0)).collect() == []
     assert discovery.scored_urls(urls, queries.where("query_id > 899")).collect() == []
+
+
+@pytest.mark.parametrize("pairs", [1, 3_000, 10**6])
+def test_scores_are_in_order(data, monkeypatch, pairs):
+    """Over slices of one query, of some, and as many as there are partitions; a URL goes to a slice once."""
+    monkeypatch.setattr(url_scores, "SLICE_PAIRS", pairs)
+    urls, queries, wanted = data
+    rows = [(r.query_id, -r.score, r.url.encode()) for r in discovery.scored_urls(urls, queries).collect()]
+    assert rows == sorted(rows) and len(rows) == len(wanted)
+
+
+def test_a_url_goes_to_a_slice_once(data):
+    urls, queries, _ = data
+    own = url_scores._folded(urls)
+    (block,) = url_scores.query_blocks(queries)
+    cuts = url_scores.np.array([i for i, _ in block][30::30])
+    rows = url_scores._listed(own, block, cuts).collect()
+    assert len(rows) == len({(r.slice, r.url) for r in rows}) <= own.count() * (len(cuts) + 1)
+    assert sum(len(r.queries) for r in rows) == url_scores.url_scores(urls, queries).count()
+
+
+def test_pairs_come_in_bounded_parts(monkeypatch):
+    """URLs that each meet all queries, as many in a batch as there may be."""
+    monkeypatch.setattr(url_scores, "PAIRS", 5_000)
+    matcher = url_scores.Matcher([(i, ["a"]) for i in range(700)])
+    batch = url_scores.pa.RecordBatch.from_pydict({"url": [f"a{i}" for i in range(1_000)], "folded": ["a"] * 1_000})
+    sizes = [len(at) for _, at, _, _ in url_scores._pairs([batch], matcher)]
+    assert sum(sizes) == 700_000 and max(sizes) < 5_700
