@@ -30,7 +30,7 @@ def largest(spark, rows: int, width: int) -> int:
     return texts.select(size_of_batch("text").alias("n")).agg(F.max("n")).first()[0]
 
 
-@pytest.mark.parametrize("name", ["fn_normalize_text"])
+@pytest.mark.parametrize("name", ["fn_normalize_text", "chunk_text", "chunk_continuity"])
 def test_query_bounds_batches(fresh, name):
     plans.QUERIES[name](fresh, FOLDER)
     assert largest(fresh, 5_000, 1) <= BATCH_ROWS
