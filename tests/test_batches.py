@@ -53,3 +53,9 @@ def test_chunks_are_made_in_arrow():
         text, chunks = texts[i].as_py(), found[i].as_py()
         assert [(c["char_start"], c["char_end"]) for c in chunks] == [(w["char_start"], w["char_end"]) for w in tx._windows(text, tx.SIZE, tx.OVERLAP)]
         assert all(c["text"] == text[c["char_start"] : c["char_end"]] for c in chunks)
+
+
+@pytest.mark.parametrize("name", ["validate_grounding"])
+def test_query_that_reads_chunks_bounds_batches(fresh, name):
+    plans.QUERIES[name](fresh, FOLDER)
+    assert largest(fresh, 100, 1 << 20) <= BATCH_BYTES >> 19
