@@ -55,7 +55,7 @@ def test_chunks_are_made_in_arrow():
         assert all(c["text"] == text[c["char_start"] : c["char_end"]] for c in chunks)
 
 
-@pytest.mark.parametrize("name", ["validate_grounding", "propagate_deletes", "identity_revalidate"])
+@pytest.mark.parametrize("name", ["validate_grounding", "propagate_deletes", "identity_revalidate", "audit_foreign_keys"])
 def test_query_that_reads_chunks_bounds_batches(fresh, name):
     plans.QUERIES[name](fresh, FOLDER)
     assert largest(fresh, 100, 1 << 20) <= BATCH_BYTES >> 19
