@@ -85,3 +85,18 @@ def test_extract(spark):
     columns = ["snapshot_id", "position", "char_start", "char_end", "sha256"]
     stream = plans.QUERIES["stream_extract"](spark, FOLDER)
     assert sorted(map(tuple, stream.select(columns).collect())) == sorted(map(tuple, batch.select(columns).collect()))
+
+
+def test_states_of_a_group_are_one_value(spark, tmp_path, files, monkeypatch):
+    """Three groups, six batches: the store holds three values at most, and state and refusals are those of the whole log."""
+    monkeypatch.setattr(jobs, "GROUPS", 3)
+    log, write, stream = files
+    for k in range(6):
+        write(k)
+    out = f"file://{tmp_path}/out"
+    state, refused = jobs.release_state_stream(stream(), out)
+    wanted_state, wanted_refused = lifecycle.release_state(spark.read.schema(log.schema).parquet(f"file://{tmp_path}/in/*"))
+    assert sorted(map(str, state.select(wanted_state.columns).collect())) == sorted(map(str, wanted_state.collect()))
+    assert sorted(map(str, refused.select(wanted_refused.columns).collect())) == sorted(map(str, wanted_refused.collect()))
+    kept = spark.read.format("statestore").option("stateVarName", "states").load(f"{out}/state")
+    assert 0 < kept.count() <= 3 < wanted_state.count()
