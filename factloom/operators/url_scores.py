@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
@@ -19,10 +20,13 @@ from pyspark.sql import functions as F
 from factloom.functions import exprs as E
 from factloom.sources.storage import bounded_batches, settled
 
-#: Bytes of the tokens of a block of queries; pairs of queries and URLs that a worker makes at a time; pairs that are sorted in one partition.
+#: Bytes of the tokens of a block of queries; pairs of queries and URLs that a worker makes at a time; scores that a worker holds to put them in order; pairs that Spark
+#: sorts in one partition where URLs have more bytes than a worker may hold.
 BLOCK_BYTES = 2**20
 PAIRS = 2**18
-SLICE_PAIRS = 4_000_000
+SLICE_PAIRS = 2**25
+SORTED_PAIRS = 4_000_000
+URL_BYTES = 2**27
 _SCORES = "query_id long, url string, score long"
 _SCHEMA = pa.schema([("query_id", pa.int64()), ("url", pa.string()), ("score", pa.int64())])
 
@@ -138,20 +142,95 @@ def _folded(urls: DataFrame) -> DataFrame:
     return urls.select("url").where("url is not null").repartition(parts, "url").distinct().select("url", E.casefold(F.col("url")).alias("folded"))
 
 
+def _rated(urls: DataFrame, block: list[tuple[int, list[str]]], places: np.ndarray, width: int, kind: np.dtype) -> DataFrame:
+    """Scores of a block as a row a URL and slice of width queries: a number of a kind for each query of the slice, 0 where they share no token. places: those of the block's queries in their order."""
+    shared = urls.sparkSession.sparkContext.broadcast(block)
+    step = max(1, SLICE_PAIRS // (4 * width))
+
+    def run(batches):
+        matcher = Matcher(shared.value)
+        for texts, at, queries, scores in _pairs(batches, matcher):
+            slices, column = np.divmod(places[queries], width)
+            rows, row = np.unique(slices * len(texts) + at, return_inverse=True)
+            for k in range(0, len(rows), step):
+                own, here = rows[k : k + step], (row >= k) & (row < k + step)
+                rated = np.zeros((len(own), width), kind)
+                rated[row[here] - k, column[here]] = scores[here]
+                ends = pa.array(np.arange(len(own) + 1, dtype=np.int32) * rated[0].nbytes)
+                packed = pa.Array.from_buffers(pa.binary(), len(own), [None, ends.buffers()[1], pa.py_buffer(rated.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array((own // len(texts)).astype(np.int32)), texts.take(pa.array(own % len(texts))), packed], ["slice", "url", "scores"])
+
+    return urls.mapInArrow(run, "slice int, url string, scores binary")
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Rows in order of their slice, slice by slice."""
+    now, waiting = -1, []
+    for batch in batches:
+        own = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(own)) + 1), len(own)] if len(own) else []
+        for begin, end in pairwise(cuts):
+            if waiting and own[begin] != now:
+                yield now, waiting
+                waiting = []
+            now = int(own[begin])
+            waiting.append(batch.slice(begin, end - begin))
+    if waiting:
+        yield now, waiting
+
+
+def _unpacked(rows: DataFrame, ids: np.ndarray, width: int, kind: np.dtype) -> DataFrame:
+    """The pairs of rows of _rated that lie in order of slice and URL, in order of query_id, best score and url: each query's URLs are sorted by score alone, stably."""
+
+    def run(batches):
+        for s, found in _slices(batches):
+            rated = np.concatenate([np.frombuffer(b"".join(batch.column(2).to_pylist()), kind) for batch in found]).reshape(-1, width)
+            urls = pa.concat_arrays([batch.column(1) for batch in found])
+            found.clear()
+            for place, query in enumerate(ids[s * width : (s + 1) * width]):
+                scores = rated[:, place]
+                met = np.flatnonzero(scores)
+                order = met[np.argsort(np.iinfo(kind).max - scores[met], kind="stable")]
+                for k in range(0, len(order), PAIRS):
+                    part = order[k : k + PAIRS]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), query)), urls.take(pa.array(part)), pa.array(scores[part].astype(np.int64))], schema=_SCHEMA)
+
+    return rows.mapInArrow(run, _SCORES)
+
+
+def slice_width(urls: int, queries: int, tasks: int) -> int:
+    """Queries of a slice: two slices a task that runs at a time, but no more than SLICE_PAIRS scores in one."""
+    return max(1, min(SLICE_PAIRS // max(1, urls), -(-queries // (2 * tasks))))
+
+
 def ordered_scores(urls: DataFrame, queries: DataFrame) -> DataFrame:
     """The rows of url_scores in order of query_id, best score and url.
 
-    Queries are cut into slices in order of their ids, a partition each; a URL goes to a slice once, with the queries
-    that it scores for, and pairs are made where they are sorted. A slice has as many queries as make about SLICE_PAIRS
-    pairs with all URLs, one at least.
+    Queries are cut into slices in order of their ids, a partition each; a URL goes to a slice once, with a number for
+    each query of it, and pairs are made where they are in order. A worker holds the URLs and the scores of a slice.
+    URLs of more than URL_BYTES are not held: there Spark sorts the pairs.
     """
     spark = urls.sparkSession
     own, blocks = settled(_folded(urls).sortWithinPartitions("url")), list(query_blocks(queries))
-    ids = np.sort(np.array([i for block in blocks for i, _ in block], np.int64))
+    ids = np.array([i for block in blocks for i, _ in block], np.int64)
     if not len(ids):
         return spark.createDataFrame([], _SCORES)
-    width = max(1, min(SLICE_PAIRS // max(1, own.count()), -(-len(ids) // int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    listed = reduce(DataFrame.unionByName, [_listed(own, block, ids[width::width]) for block in blocks])
+    n, size = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("url")), F.lit(0))).first()
+    if size * len(blocks) > URL_BYTES:
+        return _sorted_pairs(own, n, blocks, np.sort(ids))
+    width = slice_width(n * len(blocks), len(ids), spark.sparkContext.defaultParallelism)
+    kind = np.min_scalar_type(max(len(tokens) for block in blocks for _, tokens in block))
+    order = np.argsort(ids, kind="stable")
+    places = np.split(np.argsort(order, kind="stable"), np.cumsum([len(block) for block in blocks])[:-1])
+    rated = reduce(DataFrame.unionByName, [_rated(own, block, at, width, kind) for block, at in zip(blocks, places, strict=True)])
+    dealt = rated.repartitionById(-(-len(ids) // width), "slice").sortWithinPartitions("slice", "url")
+    return _unpacked(dealt, ids[order], width, kind)
+
+
+def _sorted_pairs(urls: DataFrame, n: int, blocks: list[list[tuple[int, list[str]]]], ids: np.ndarray) -> DataFrame:
+    """The same for n URLs that are too many for a worker: a URL goes to a slice with the list of its queries, and Spark sorts the pairs, about SORTED_PAIRS in a slice or those of one query."""
+    width = max(1, min(SORTED_PAIRS // max(1, n), -(-len(ids) // int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    listed = reduce(DataFrame.unionByName, [_listed(urls, block, ids[width::width]) for block in blocks])
     dealt = listed.repartitionById(-(-len(ids) // width), "slice")
     pairs = dealt.select("url", F.explode(F.arrays_zip("queries", "scores")).alias("p"))
     scores = pairs.select(F.col("p.queries").alias("query_id"), "url", F.col("p.scores").cast("long").alias("score"))

@@ -89,3 +89,31 @@ def test_pairs_come_in_bounded_parts(monkeypatch):
     batch = url_scores.pa.RecordBatch.from_pydict({"url": [f"a{i}" for i in range(1_000)], "folded": ["a"] * 1_000})
     sizes = [len(at) for _, at, _, _ in url_scores._pairs([batch], matcher)]
     assert sum(sizes) == 700_000 and max(sizes) < 5_700
+
+
+def test_slices_stay_wide_over_many_urls(spark):
+    """What is shuffled of a URL is a row a slice: 770,000 URLs and 7,700 queries made 1,540 slices of 5 queries."""
+    assert 7_700 / url_scores.slice_width(770_000, 7_700, 12) < 200
+    urls = spark.createDataFrame([(f"https://a/{i}", f"https://a/{i}") for i in range(400)], "url string, folded string").coalesce(1)
+    block = [(i, ["a", str(i)]) for i in range(90)]
+    rows = url_scores._rated(urls, block, url_scores.np.arange(90), 30, url_scores.np.dtype("uint8")).collect()
+    assert len(rows) == 3 * 400 and {len(r.scores) for r in rows} == {30}
+    assert sum(x for r in rows for x in r.scores) == 400 * 90 + sum(str(i) in f"https://a/{k}" for i in range(90) for k in range(400))
+
+
+@pytest.mark.parametrize("held", [2**27, 0])
+@pytest.mark.parametrize("block", [2**20, 200])
+def test_order_of_held_and_sorted_pairs(spark, monkeypatch, held, block):
+    """Where a worker holds a slice and where Spark sorts pairs; scores above 255, ids that stand twice, one URL for each of several blocks."""
+    monkeypatch.setattr(url_scores, "URL_BYTES", held)
+    monkeypatch.setattr(url_scores, "BLOCK_BYTES", block)
+    tokens = [f"t{i}x" for i in range(300)]
+    urls = ["/".join(tokens), "t1x", "é t1x", "T1X t2x", None, "none", *(f"t{i}x/t{i % 7}x" for i in range(200))]
+    queries = [(7, " ".join(tokens)), (3, "t1x t2x"), (3, "t4x"), (-2, "t5x"), *((50 + i, f"t{i}x") for i in range(30))]
+    frames = spark.createDataFrame([(u,) for u in urls], "url string").repartition(3), spark.createDataFrame(queries, "query_id long, query string")
+    rows = [(r.query_id, r.url, r.score) for r in discovery.scored_urls(*frames).collect()]
+    wanted = [(q, u, n) for i, (q, text) in enumerate(queries) for (_, u), n in brute(urls, [(i, text)]).items()]
+    assert sorted(rows) == sorted(wanted) and max(n for _, _, n in rows) == 300
+    assert [q for q, _, _ in rows] == sorted(q for q, _, _ in rows)
+    once = [(q, -n, u.encode()) for q, u, n in rows if q != 3]
+    assert once == sorted(once)
