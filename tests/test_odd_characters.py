@@ -28,7 +28,7 @@ def folder(spark, tmp_path_factory):
     return own
 
 
-@pytest.mark.parametrize("name", ["extract_snapshots"])
+@pytest.mark.parametrize("name", ["extract_snapshots", "extraction_sink", "chunk_text"])
 def test_rows_equal_oracle(spark, folder, name):
     duck = duckdb.connect()
     for file in folder.glob("*.parquet"):
