@@ -20,11 +20,12 @@ from pyspark.sql import functions as F
 from factloom.functions import exprs as E
 from factloom.sources.storage import bounded_batches, settled
 
-#: Bytes of the tokens of a block of queries; pairs of queries and URLs that a worker makes at a time; scores that a worker holds to put them in order; pairs that Spark
-#: sorts in one partition where URLs have more bytes than a worker may hold.
+#: Bytes of the tokens of a block of queries; pairs of queries and URLs that a worker makes at a time; scores that a worker holds to put them in order, and queries of a slice
+#: up to which a URL takes scores along instead of tokens; pairs that Spark sorts in one partition where URLs and their tokens have more bytes than a worker may hold.
 BLOCK_BYTES = 2**20
 PAIRS = 2**18
 SLICE_PAIRS = 2**25
+SLICE_QUERIES = 16
 SORTED_PAIRS = 4_000_000
 URL_BYTES = 2**27
 _SCORES = "query_id long, url string, score long"
@@ -58,6 +59,10 @@ class Matcher:
             self.automaton.add_word(token, k)
         self.automaton.make_automaton()
 
+    def tokens(self, folded: str) -> list[int]:
+        """The tokens that a URL holds, by place in the block."""
+        return sorted({k for _, k in self.automaton.iter(folded)})
+
     def scores(self, folded: str) -> tuple[np.ndarray, np.ndarray]:
         """The queries that share a token with a URL, by place in the block, and how many tokens."""
         found = {k for _, k in self.automaton.iter(folded)}
@@ -163,6 +168,53 @@ def _rated(urls: DataFrame, block: list[tuple[int, list[str]]], places: np.ndarr
     return urls.mapInArrow(run, "slice int, url string, scores binary")
 
 
+def token_places(blocks: list[list[tuple[int, list[str]]]]) -> tuple[list[int], list[np.ndarray]]:
+    """The number of each block's first token, as a Matcher numbers them, block after block; and the tokens of each query, over all blocks."""
+    firsts, asked, n = [], [], 0
+    for block in blocks:
+        firsts.append(n)
+        own: dict[str, int] = {}
+        asked += [np.array([n + own.setdefault(token, len(own)) for token in tokens], np.int32) for _, tokens in block]
+        n += len(own)
+    return firsts, asked
+
+
+def _held_tokens(urls: DataFrame, block: list[tuple[int, list[str]]], first: int) -> DataFrame:
+    """URLs that hold tokens of a block, with the tokens' numbers from first on."""
+    shared = urls.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches):
+        matcher = Matcher(shared.value)
+        for batch in batches:
+            held = [matcher.tokens(folded or "") for folded in batch.column(1).to_pylist()]
+            some = np.flatnonzero([len(tokens) > 0 for tokens in held])
+            tokens = pa.array([[first + k for k in held[i]] for i in some], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), tokens], ["url", "tokens"])
+
+    return urls.mapInArrow(run, "url string, tokens array<int>")
+
+
+def _asked_tokens(held: DataFrame, asked: list[np.ndarray], width: int) -> DataFrame:
+    """URLs with their tokens as a row a URL and slice of width queries: the tokens that a query of the slice asks for. asked: the tokens of the queries in their order."""
+    shared = held.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches):
+        asked = shared.value
+        total = 1 + max(int(tokens.max()) for tokens in asked)
+        slices = [np.unique(np.concatenate(asked[k : k + width])) for k in range(0, len(asked), width)]
+        for batch in batches:
+            tokens, row = batch.column(1).flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy())
+            for s, own in enumerate(slices):
+                wanted = np.zeros(total, bool)
+                wanted[own] = True
+                at = np.flatnonzero(wanted[tokens])
+                rows, first = np.unique(row[at], return_index=True)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), pa.array(tokens[at]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), s, np.int32)), batch.column(0).take(pa.array(rows)), lists], ["slice", "url", "tokens"])
+
+    return held.mapInArrow(run, "slice int, url string, tokens array<int>")
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
     """Rows in order of their slice, slice by slice."""
     now, waiting = -1, []
@@ -179,8 +231,17 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.Re
         yield now, waiting
 
 
+def _best_first(query: int, urls: pa.Array, scores: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The pairs of a query with URLs that lie in their order, best score first: sorted by score alone, stably."""
+    met = np.flatnonzero(scores)
+    order = met[np.argsort(np.iinfo(scores.dtype).max - scores[met], kind="stable")]
+    for k in range(0, len(order), PAIRS):
+        part = order[k : k + PAIRS]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), query)), urls.take(pa.array(part)), pa.array(scores[part].astype(np.int64))], schema=_SCHEMA)
+
+
 def _unpacked(rows: DataFrame, ids: np.ndarray, width: int, kind: np.dtype) -> DataFrame:
-    """The pairs of rows of _rated that lie in order of slice and URL, in order of query_id, best score and url: each query's URLs are sorted by score alone, stably."""
+    """The pairs of rows of _rated that lie in order of slice and URL, in order of query_id, best score and url."""
 
     def run(batches):
         for s, found in _slices(batches):
@@ -188,12 +249,29 @@ def _unpacked(rows: DataFrame, ids: np.ndarray, width: int, kind: np.dtype) -> D
             urls = pa.concat_arrays([batch.column(1) for batch in found])
             found.clear()
             for place, query in enumerate(ids[s * width : (s + 1) * width]):
-                scores = rated[:, place]
-                met = np.flatnonzero(scores)
-                order = met[np.argsort(np.iinfo(kind).max - scores[met], kind="stable")]
-                for k in range(0, len(order), PAIRS):
-                    part = order[k : k + PAIRS]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), query)), urls.take(pa.array(part)), pa.array(scores[part].astype(np.int64))], schema=_SCHEMA)
+                yield from _best_first(query, urls, rated[:, place])
+
+    return rows.mapInArrow(run, _SCORES)
+
+
+def _counted(rows: DataFrame, ids: np.ndarray, asked: list[np.ndarray], width: int, kind: np.dtype) -> DataFrame:
+    """The same of rows of _asked_tokens: the URLs of each token are listed, and a query counts those of its tokens."""
+    shared = rows.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches):
+        for s, found in _slices(batches):
+            tokens = np.concatenate([batch.column(2).flatten().to_numpy() for batch in found])
+            sizes = np.concatenate([batch.column(2).value_lengths().to_numpy() for batch in found])
+            urls = pa.concat_arrays([batch.column(1) for batch in found])
+            found.clear()
+            own = shared.value[s * width : (s + 1) * width]
+            order = np.argsort(tokens, kind="stable")
+            row, tokens = np.repeat(np.arange(len(urls), dtype=np.int32), sizes)[order], tokens[order]
+            for query, wanted in zip(ids[s * width : (s + 1) * width], own, strict=True):
+                scores = np.zeros(len(urls), kind)
+                for begin, end in zip(np.searchsorted(tokens, wanted), np.searchsorted(tokens, wanted, "right"), strict=True):
+                    scores[row[begin:end]] += 1
+                yield from _best_first(query, urls, scores)
 
     return rows.mapInArrow(run, _SCORES)
 
@@ -206,9 +284,10 @@ def slice_width(urls: int, queries: int, tasks: int) -> int:
 def ordered_scores(urls: DataFrame, queries: DataFrame) -> DataFrame:
     """The rows of url_scores in order of query_id, best score and url.
 
-    Queries are cut into slices in order of their ids, a partition each; a URL goes to a slice once, with a number for
-    each query of it, and pairs are made where they are in order. A worker holds the URLs and the scores of a slice.
-    URLs of more than URL_BYTES are not held: there Spark sorts the pairs.
+    Queries are cut into slices in order of their ids, a partition each, and pairs are made where they are in order. A URL
+    goes to a slice once, with the tokens that queries of the slice ask for, so what is shuffled grows with the URLs and
+    not with the pairs; few queries a slice get a number each instead. A worker holds the URLs of a slice with either.
+    URLs and tokens of more than URL_BYTES are not held: there Spark sorts the pairs.
     """
     spark = urls.sparkSession
     own, blocks = settled(_folded(urls).sortWithinPartitions("url")), list(query_blocks(queries))
@@ -218,9 +297,20 @@ def ordered_scores(urls: DataFrame, queries: DataFrame) -> DataFrame:
     n, size = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("url")), F.lit(0))).first()
     if size * len(blocks) > URL_BYTES:
         return _sorted_pairs(own, n, blocks, np.sort(ids))
-    width = slice_width(n * len(blocks), len(ids), spark.sparkContext.defaultParallelism)
+    tasks = spark.sparkContext.defaultParallelism
+    width = slice_width(n * len(blocks), len(ids), tasks)
     kind = np.min_scalar_type(max(len(tokens) for block in blocks for _, tokens in block))
     order = np.argsort(ids, kind="stable")
+    even = -(-len(ids) // (2 * tasks))
+    if width < even or width > SLICE_QUERIES:
+        firsts, asked = token_places(blocks)
+        held = settled(reduce(DataFrame.unionByName, [_held_tokens(own, block, first) for block, first in zip(blocks, firsts, strict=True)]))
+        size = held.agg(F.coalesce(F.sum(F.octet_length("url") + 4 * F.size("tokens")), F.lit(0))).first()[0]
+        if size > URL_BYTES:
+            return _sorted_pairs(own, n, blocks, np.sort(ids))
+        asked = [asked[i] for i in order]
+        dealt = _asked_tokens(held, asked, even).repartitionById(-(-len(ids) // even), "slice").sortWithinPartitions("slice", "url")
+        return _counted(dealt, ids[order], asked, even, kind)
     places = np.split(np.argsort(order, kind="stable"), np.cumsum([len(block) for block in blocks])[:-1])
     rated = reduce(DataFrame.unionByName, [_rated(own, block, at, width, kind) for block, at in zip(blocks, places, strict=True)])
     dealt = rated.repartitionById(-(-len(ids) // width), "slice").sortWithinPartitions("slice", "url")

@@ -117,3 +117,50 @@ def test_order_of_held_and_sorted_pairs(spark, monkeypatch, held, block):
     assert [q for q, _, _ in rows] == sorted(q for q, _, _ in rows)
     once = [(q, -n, u.encode()) for q, u, n in rows if q != 3]
     assert once == sorted(once)
+
+
+@pytest.mark.parametrize("queries_a_slice", [0, 16])
+def test_what_is_moved_grows_with_urls(spark, monkeypatch, queries_a_slice):
+    """Twice the URLs and queries: twice as much goes to the slices, where a number a query and URL made it four times as much."""
+    monkeypatch.setattr(url_scores, "SLICE_QUERIES", queries_a_slice, raising=False)
+    for step in ("_unpacked", "_counted"):
+        monkeypatch.setattr(url_scores, step, lambda rows, *_: rows, raising=False)
+
+    def moved(n):
+        urls = spark.createDataFrame([(f"https://a.example/en/{i}x?page=2",) for i in range(n)], "url string")
+        queries = spark.createDataFrame([(i, f"en {i}x page 2") for i in range(n // 2)], "query_id long, query string")
+        return sum(len(r[2]) * (4 if isinstance(r[2], list) else 1) for r in discovery.scored_urls(urls, queries).collect())
+
+    small, large = moved(400), moved(800)
+    assert 0 < large < 2.5 * small
+
+
+@pytest.mark.parametrize("held", [2**27, 3_000, 0])
+@pytest.mark.parametrize("block", [2**20, 200])
+def test_order_of_counted_tokens(spark, monkeypatch, held, block):
+    """As above where URLs take tokens along, up to the bytes of URLs and tokens that a worker holds: slices of several queries, of one block or more."""
+    monkeypatch.setattr(url_scores, "SLICE_QUERIES", 0)
+    monkeypatch.setattr(url_scores, "URL_BYTES", held)
+    monkeypatch.setattr(url_scores, "BLOCK_BYTES", block)
+    tokens = [f"t{i}x" for i in range(300)]
+    urls = ["/".join(tokens), "t1x", "é t1x", "T1X t2x", None, "", "none", *(f"t{i}x/t{i % 7}x" for i in range(200))]
+    queries = [(7, " ".join(tokens)), (3, "t1x t2x"), (3, "t4x"), (-2, "t5x"), (8, "nowhere"), (9, None), *((50 + i, f"t{i}x t{i + 1}x") for i in range(30))]
+    frames = spark.createDataFrame([(u,) for u in urls], "url string").repartition(3), spark.createDataFrame(queries, "query_id long, query string")
+    rows = [(r.query_id, r.url, r.score) for r in discovery.scored_urls(*frames).collect()]
+    wanted = [(q, u, n) for i, (q, text) in enumerate(queries) for (_, u), n in brute(urls, [(i, text)]).items()]
+    assert sorted(rows) == sorted(wanted) and max(n for _, _, n in rows) == 300
+    assert [q for q, _, _ in rows] == sorted(q for q, _, _ in rows)
+    once = [(q, -n, u.encode()) for q, u, n in rows if q != 3]
+    assert once == sorted(once)
+
+
+def test_a_slice_gets_the_tokens_that_it_asks_for(spark):
+    block = [(i, ["a", f"b{i}"]) for i in range(90)]
+    urls = spark.createDataFrame([(f"a{i}", f"a b{i}c") for i in range(90)] + [("none", "none")], "url string, folded string").coalesce(1)
+    firsts, asked = url_scores.token_places([block, block])
+    assert firsts == [0, 91] and asked[0].tolist() == [0, 1] and asked[90].tolist() == [91, 92]
+    rows = url_scores._asked_tokens(url_scores._held_tokens(urls, block, 91), asked[90:], 30).collect()
+    assert len(rows) == 3 * 90 and len({(r.slice, r.url) for r in rows}) == 3 * 90
+    for r in rows:
+        own = {91 + 1 + q for q in range(30 * r.slice, 30 * r.slice + 30)} | {91}
+        assert r.tokens == sorted(k for k in own if k == 91 or f"b{k - 92}" in f"b{r.url[1:]}c")
